@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as T
+from ..functions.numbers import rounded
 
 
 def numbered(lines: DataFrame, side: list[str]) -> DataFrame:
@@ -42,7 +43,7 @@ def dispositions(lines: DataFrame, headers: DataFrame, book: str) -> DataFrame:
 
 def drops(judged: DataFrame, side: list[str]) -> DataFrame:
     """The audit of dropped lines."""
-    return judged.where("reason is not null").select(*side, F.lit("drop").alias("action"), "reason", T.strip(F.col("text")).alias("text"), F.bround("conf", 1).alias("conf"))
+    return judged.where("reason is not null").select(*side, F.lit("drop").alias("action"), "reason", T.strip(F.col("text")).alias("text"), rounded(F.col("conf"), 1).alias("conf"))
 
 
 def paragraphs(lines: DataFrame, side: list[str]) -> DataFrame:

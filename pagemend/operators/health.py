@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import HealthThresholds
 from ..functions import text as T
+from ..functions.numbers import rounded
 from ..functions.similarity import sequence_ratio
 
 
@@ -56,8 +57,8 @@ def health_columns(has_lexicon: bool) -> list[Column]:
     d = lambda x: F.lit(float(x))
     score = conf * d(0.55) + per("letters", "visible") * d(25) - per("weird", "visible") * d(120) - per("short", "words") * d(12) + F.coalesce(known * d(20), d(0)) + F.least(F.col("length"), F.lit(1600)) / d(1600) * d(5)
     return [
-        F.bround(score, 4).alias("score"), F.col("chars").cast("long").alias("chars"), F.col("words").cast("long").alias("words"), F.bround(conf, 4).alias("average_confidence"),
-        F.bround(per("weird", "visible"), 5).alias("garbage_ratio"), F.bround(per("short", "words"), 5).alias("short_word_ratio"), F.bround(known, 5).alias("dictionary_ratio"),
+        rounded(score, 4).alias("score"), F.col("chars").cast("long").alias("chars"), F.col("words").cast("long").alias("words"), rounded(conf, 4).alias("average_confidence"),
+        rounded(per("weird", "visible"), 5).alias("garbage_ratio"), rounded(per("short", "words"), 5).alias("short_word_ratio"), rounded(known, 5).alias("dictionary_ratio"),
     ]
 
 
@@ -111,7 +112,7 @@ def side_health(health: DataFrame, similarity: DataFrame, sides: DataFrame, side
     whole = sides.select(*side).join(judged, side, "left").join(passes, side, "left")
     none = F.col("best_source").isNull()
     return whole.select(
-        *side, F.when(none, F.lit(True)).otherwise(F.col("catastrophic")).alias("catastrophic"), "best_source", F.when(none, F.lit(0.0)).otherwise(F.bround("similarity", 4)).alias("cross_pass_similarity"),
+        *side, F.when(none, F.lit(True)).otherwise(F.col("catastrophic")).alias("catastrophic"), "best_source", F.when(none, F.lit(0.0)).otherwise(rounded(F.col("similarity"), 4)).alias("cross_pass_similarity"),
         F.when(none, F.array(F.lit("no_ocr_evidence"))).otherwise(F.col("reasons")).alias("reasons"), "passes",
     )
 

@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as T  # noqa: F401
+from ..functions.numbers import rounded
 
 
 def alternatives(candidates: DataFrame, key: str = "line_id", most: int = 4) -> DataFrame:
     """The ``most`` candidates of highest confidence of each line; ties stay in candidate order."""
     ranked = F.array_sort(F.collect_list(F.struct((-F.col("conf")).alias("down"), "cand_order", "text", "conf")))
-    return candidates.groupBy(key).agg(F.transform(F.slice(ranked, 1, most), lambda c: F.struct(c["text"].alias("text"), F.bround(c["conf"], 1).alias("conf"))).alias("alts"))
+    return candidates.groupBy(key).agg(F.transform(F.slice(ranked, 1, most), lambda c: F.struct(c["text"].alias("text"), rounded(c["conf"], 1).alias("conf"))).alias("alts"))
 
 
 def review_lines(lines: DataFrame, candidates: DataFrame, key: str = "line_id", low: float = 82.0) -> DataFrame:
     """Lines of low confidence, and suspects without an edit, with their best alternatives."""
     asked = lines.where((F.col("conf") < low) | ((F.size("reasons") > 0) & (F.size("edits") == 0)))
-    return asked.join(alternatives(candidates, key), key, "left").withColumns({"action": F.lit("review"), "alts": F.coalesce("alts", F.expr("cast(array() as array<struct<text:string,conf:double>>)")), "conf": F.bround("conf", 2)})
+    return asked.join(alternatives(candidates, key), key, "left").withColumns({"action": F.lit("review"), "alts": F.coalesce("alts", F.expr("cast(array() as array<struct<text:string,conf:double>>)")), "conf": rounded(F.col("conf"), 2)})
 
 
 def review_sides(sides: DataFrame) -> DataFrame:
