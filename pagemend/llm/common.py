@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 #: Rows handled at once inside a Python worker; bounds what a batch of very long texts occupies.
 ROWS_AT_ONCE = 64
 
+#: Rows up to which the small side of a join is broadcast (about 100 bytes each).
+BROADCAST_ROWS = 500_000
+
 #: For ``bytes.translate``: A-Z become a-z, every other ASCII byte outside 0-9 a-z becomes a space, bytes from 0x80 stay.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -51,10 +57,19 @@ def shared_checkpoints(spark: SparkSession) -> None:
     """Use the folder the cluster names in ``spark.checkpoint.dir``; a local one only where none is set (tests)."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pagemend-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            folder = tempfile.mkdtemp(prefix="pagemend-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
 
 
 def settle(df: DataFrame) -> DataFrame:
     """Compute once, write to the shared checkpoint folder, and cut the lineage."""
     shared_checkpoints(df.sparkSession)
     return df.checkpoint()
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A settled side, marked for broadcast only if it was counted and is small enough."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -19,14 +19,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import settle, table
+from .common import BROADCAST_ROWS, settle, small, table
 
 #: Words of a window.
 WINDOW = 10
 #: Words of a hashed run.
 K = 5
-#: Rows up to which the small side of a join is broadcast (about 100 bytes each).
-BROADCAST_ROWS = 500_000
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -62,11 +60,6 @@ def marks(words: Column, length: int, window: int, k: int) -> Column:
     return winnow(words, window, k) if length == window else grams(words, length)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A settled side, marked for broadcast only if it was counted and is small enough."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def item_windows(benchmark: DataFrame, id_col: str, text_col: str, window: int, k: int) -> DataFrame:
     """(item_id, length, mark, said): every window of every item, ``said`` being its words joined by a space."""
     items = benchmark.select(F.col(id_col).cast("string").alias("item_id"), words_of(F.col(text_col)).alias("w")).where("item_id is not null and size(w) > 0")

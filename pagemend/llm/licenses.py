@@ -6,8 +6,8 @@ model is the same everywhere and needs no corpus).  Weights are rounded to thous
 calibrated score at which a paragraph stops being unknown is set on held-out paragraphs.  The best family of a paragraph counts
 only if a template of that family confirms it: enough of the template's word pairs must occur in the paragraph.
 
-Scanning reads every text once for anchors.  The anchors are derived from the model: no paragraph without one of them can reach
-any family's threshold, since the positive weights of all other features together stay below it; so nothing is lost.
+Only paragraphs with a gate word can be a notice: gate words are the fewest long words of the templates such that every template
+has one.  Their test is a plain substring search, so nearly all text is read once and costs no more.
 
 Null, empty and word-less texts have no paragraphs and no licence.  A text is identified by (id, hash of the text): repeated rows
 give one result row.
@@ -23,8 +23,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, table
-from .decontaminate import let, small
+from .common import settle, small, table
 
 # Notices of the licence families, by SPDX-like family name.
 TEMPLATES = {
@@ -98,40 +97,38 @@ class Model:
     """``weights[family][feature]``, ``bias`` and ``floor`` in thousandths: a paragraph is the family's if bias + weights >= floor."""
 
     def __init__(self, weights, bias, floor):
-        self.weights, self.bias, self.floor = weights, bias, floor
-        self.anchors = self._anchors()
+        self.weights, self.bias, self.floor, self.gate = weights, bias, floor, gate_words()
 
     def score(self, family: str, feats: set[str]) -> int:
         own = self.weights[family]
         return self.bias[family] + sum(own.get(f, 0) for f in feats)
 
-    def best(self, feats: set[str]) -> tuple[str, int] | None:
+    def best(self, line: str) -> tuple[str, int] | None:
         """The family that is furthest above its floor, ties to the first name; None is the unknown class."""
+        if not any(g in line.lower() for g in self.gate):
+            return None
+        feats = features(tokens(line))
         over = sorted((-(s - self.floor[f]), f) for f in self.weights if (s := self.score(f, feats)) >= self.floor[f])
         return (over[0][1], -over[0][0]) if over else None
 
-    def _anchors(self) -> list[str]:
-        """Words such that no family reaches its floor by positive weights of features that hold none of them."""
-        anchors: list[str] = []
-        while True:
-            worst: dict[str, int] = {}
-            short = False
-            for family, own in self.weights.items():
-                left = {f: w for f, w in own.items() if w > 0 and not any(a in f for a in anchors)}
-                if self.bias[family] + sum(left.values()) >= self.floor[family]:
-                    short = True
-                    for f, w in left.items():
-                        for word in set(f.split()):
-                            worst[word] = worst.get(word, 0) + w * min(len(word), 6)
-            if not short:
-                return sorted(anchors)
-            anchors.append(max(sorted(worst), key=worst.get))
+
+def gate_words(letters: int = 7) -> list[str]:
+    """Fewest words of at least so many letters that together occur in every template (greedy; ties to the longer, then the first)."""
+    left = [n.lower() for notices in TEMPLATES.values() for n in notices]
+    choice = sorted({w for n in left for w in tokens(n) if len(w) >= letters})
+    gate = []
+    while left:
+        word = max(choice, key=lambda w: (sum(w in n for n in left), len(w), w))
+        gate.append(word)
+        left = [n for n in left if word not in n]
+    return sorted(gate)
 
 
 @functools.lru_cache(maxsize=1)
 def model() -> Model:
     """One logistic regression a family by gradient steps with an L1 shrink; floors calibrated on the held-out third."""
-    cases = generated_paragraphs()
+    known = {f for notices in TEMPLATES.values() for n in notices for f in features(tokens(n))}
+    cases = [(label, feats & known) for label, feats in generated_paragraphs()]
     fit = [c for i, c in enumerate(cases) if i % 3]
     check = [c for i, c in enumerate(cases) if not i % 3]
     weights, bias, floor = {}, {}, {}
@@ -145,7 +142,7 @@ def model() -> Model:
                 error = (label == family) - 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
                 if abs(error) < 0.01:
                     continue
-                step = rate * error / math.sqrt(len(feats))
+                step = rate * error / math.sqrt(max(1, len(feats)))
                 b += 0.1 * rate * error
                 for f in sorted(feats):
                     if error > 0 or f in w or label:
@@ -176,11 +173,11 @@ def scan_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``(key, text_hash, paragraph, family, over)``: confirmed licence paragraphs; ``over`` is the score above the floor in thousandths."""
     spark, fitted = docs.sparkSession, fitted or model()
     text = F.lower(F.col(text_col))
-    anchored = lambda c: F.greatest(*[c.contains(a) for a in fitted.anchors], F.lit(False))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("key"), F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0)).alias("text_hash"), text.alias("text")).where(anchored(F.col("text")))
-    lines = rows.select("key", "text_hash", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).where(anchored(F.col("line")))
+    gated = lambda c: F.greatest(*[c.contains(a) for a in fitted.gate], F.lit(False))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("key"), F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0)).alias("text_hash"), text.alias("text")).where(gated(F.col("text")))
+    lines = rows.select("key", "text_hash", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).where(gated(F.col("line")))
     lines = lines.select("key", "text_hash", "paragraph", F.explode(F.array(F.array_remove(F.split("line", _BETWEEN), ""))).alias("w")).distinct()
-    lines = settle(lines)  # few rows: the paragraphs that hold an anchor
+    lines = settle(lines)  # few rows: the paragraphs with a gate word
 
     def runs(w, n):
         return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
@@ -221,17 +218,18 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sql() -> str:
-    """The same scan in SQL, with the model as literal tables and without the anchors."""
+    """The same scan in SQL, with the model as literal tables."""
     fitted = model()
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     weights = ",".join(f"({quoted(f)},{quoted(g)},{w})" for f in sorted(fitted.weights) for g, w in fitted.weights[f].items())
     limits = ",".join(f"({quoted(f)},{fitted.floor[f] - fitted.bias[f]})" for f in sorted(fitted.weights))
     pairs = ",".join(f"({quoted(f)},{n},{quoted(p)})" for f, n, p in template_pairs())
+    gate = " OR ".join(f"contains(lower(line), {quoted(g)})" for g in fitted.gate)
     return rf"""
 WITH wt(family, gram, weight) AS (VALUES {weights}), lim(family, needed) AS (VALUES {limits}), tp(family, number, gram) AS (VALUES {pairs}),
 ts AS (SELECT family, number, count(*) AS size FROM tp GROUP BY ALL),
 l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS par FROM documents),
-t AS (SELECT doc_id, par, line, list_filter(regexp_split_to_array(lower(line), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM l),
+t AS (SELECT doc_id, par, line, list_filter(regexp_split_to_array(lower(line), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM l WHERE {gate}),
 g AS (SELECT DISTINCT doc_id, par, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS gram FROM t),
 s AS (SELECT doc_id, par, family, sum(weight) AS score FROM g JOIN wt USING (gram) GROUP BY ALL),
 o AS (SELECT doc_id, par, family, score - needed AS over_by FROM s JOIN lim USING (family) WHERE score >= needed),
