@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import DeepConfig
 from ..operators import gate, patch, queue
 from ..sources import json_files, marker_text
+from .stages import stage
 
 
 @dataclass
@@ -37,15 +38,15 @@ def run_deep(provider, audit: DataFrame, texts: DataFrame, config: DeepConfig =
     """``audit`` has book, item_id, page, side, reasons, before, after, edits and candidates; ``texts`` has book, text."""
     side = ["book", "page", "side"]
     pages = marker_text.page_lines(texts)
-    admitted = queue.admit(audit, pages, side).persist()
-    items = queue.batches(queue.queue(admitted), config.batch_size, ["book"], ["item_id"]).persist()
+    admitted = stage(queue.admit(audit, pages, side))
+    items = stage(queue.batches(queue.queue(admitted), config.batch_size, ["book"], ["item_id"]))
     asked = queue.prompts(items, ["book"], "item_id").repartition(config.workers)  # as many calls at once as workers
-    replies = json_files.extract_json(provider.reply(asked), "reply").persist()
+    replies = stage(json_files.extract_json(provider.reply(asked), "reply"))
     calls = replies.count()
     if failed := replies.where("json is null").count():
         raise RuntimeError(f"{failed} of {calls} batches were not answered; nothing was written")
     ops = json_files.reply_items(replies)
     none = F.expr("cast(array() as array<struct<kind:string,old:string,new:string,confidence:string>>)")
-    gated = gate.apply_ops(items.join(ops, "item_id", "left").withColumn("ops", F.coalesce("ops", none)), config.min_apply_confidence, config.max_ops_per_item).persist()
+    gated = stage(gate.apply_ops(items.join(ops, "item_id", "left").withColumn("ops", F.coalesce("ops", none)), config.min_apply_confidence, config.max_ops_per_item))
     changes = patch.replacements(gated.where("corrected <> current"), "book", "item_id")
     return DeepRun(admitted, items, gated, patch.patch(texts, changes, "book"), calls)

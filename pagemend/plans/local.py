@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from ..config import HealthThresholds
 from ..operators import align, cleanup, health, lines, refine, review
+from .stages import stage
 
 SIDE = ["book", "page", "side"]
 
 
 @dataclass
 class LocalRun:
-    """Tables of a run, each computed when read; ``evidence`` is persisted since engines are behind it."""
+    """Tables of a run, written at the boundaries of stages, since engines are behind them."""
 
     evidence: DataFrame
     before: DataFrame
@@ -59,34 +60,34 @@ class LocalRun:
 
 def run_local(provider, sides: DataFrame, lexicon: DataFrame, thresholds: HealthThresholds = HealthThresholds(), similarity=None) -> LocalRun:
     """``sides`` has book, page, side.  Engines are asked for collapsed sides and suspect lines only."""
-    base = provider.read_sides(sides, SIDE).persist()
+    base = stage(provider.read_sides(sides, SIDE))
     has_words = health.lexicon_size(lexicon) > 0
 
     def report(evidence):
         return health.side_health(health.pass_health(evidence, lexicon, SIDE), health.cross_similarity(evidence, SIDE, similarity), sides, SIDE, thresholds)
 
-    before = report(base).persist()
-    evidence = base.unionByName(provider.read_fallback(before.where("catastrophic"), SIDE)).persist()
-    after = report(evidence).persist()
+    before = stage(report(base))
+    evidence = stage(base.unionByName(provider.read_fallback(before.where("catastrophic"), SIDE)))
+    after = stage(report(evidence))
     chosen = after.where("best_source is not null").select(*SIDE, F.col("best_source").alias("source"), "catastrophic")
     anchor = lines.anchors(evidence.join(chosen, [*SIDE, "source"])).withColumnRenamed("source", "selected_pass")
-    anchor = anchor.withColumn("line_id", F.concat_ws("/", "book", "line_id")).persist()
-    readings = align.align(anchor, evidence, SIDE).persist()
+    anchor = stage(anchor.withColumn("line_id", F.concat_ws("/", "book", "line_id")))
+    readings = stage(align.align(anchor, evidence, SIDE))
     whole = align.gather(readings, "whole", "whole_candidates")
     empty = F.expr("cast(array() as array<struct<source:string,kind:string,text:string,conf:double,scale:double,psm:int>>)")
     held = anchor.join(whole, "line_id", "left").withColumn("whole_candidates", F.coalesce("whole_candidates", empty))
     flagged = refine.suspect_reasons(held, lexicon if has_words else None)
-    suspects = flagged.withColumn("reasons", F.when(F.col("catastrophic"), F.array_append("reasons", F.lit("whole_side_catastrophe"))).otherwise(F.col("reasons"))).persist()
-    asked = suspects.where("size(reasons) > 0 and not catastrophic").persist()
-    again = provider.read_lines(asked).persist()
-    ordered = readings.withColumn("cand_order", F.col("pass_order")).unionByName(again.withColumn("cand_order", F.col("pass_order") + 1000)).persist()
+    suspects = stage(flagged.withColumn("reasons", F.when(F.col("catastrophic"), F.array_append("reasons", F.lit("whole_side_catastrophe"))).otherwise(F.col("reasons"))))
+    asked = stage(suspects.where("size(reasons) > 0 and not catastrophic"))
+    again = stage(provider.read_lines(asked))
+    ordered = stage(readings.withColumn("cand_order", F.col("pass_order")).unionByName(again.withColumn("cand_order", F.col("pass_order") + 1000)))
     mine = ordered.join(asked.select("line_id"), "line_id", "left_semi")
     repaired = refine.refine(asked, refine.token_votes(asked, mine), lexicon if has_words else None)
     still = suspects.join(asked.select("line_id"), "line_id", "left_anti").withColumn("edits", F.expr("cast(array() as array<struct<action:string,old:string,new:string,reason:string,sources:array<string>>>)"))
-    refined = repaired.unionByName(still).persist()
+    refined = stage(repaired.unionByName(still))
     numbered = cleanup.numbered(refined, SIDE)
-    headers = cleanup.repeated_headers(numbered, chosen, "book").persist()
-    judged = cleanup.dispositions(numbered, headers, "book").persist()
-    pars = cleanup.paragraphs(judged.where("reason is null"), SIDE).persist()
+    headers = stage(cleanup.repeated_headers(numbered, chosen, "book"))
+    judged = stage(cleanup.dispositions(numbered, headers, "book"))
+    pars = stage(cleanup.paragraphs(judged.where("reason is null"), SIDE))
     texts = cleanup.book_texts(cleanup.side_texts(pars, SIDE, cleanup.side_tag(F.col("page"), F.col("side"))), "book", ["page", "side"])
     return LocalRun(evidence, before, after, refined, ordered, readings, judged, headers, pars, texts)
