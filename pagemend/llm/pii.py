@@ -74,7 +74,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 GENERATORS = (
     ("email", re.compile(r"[@\[(]"), re.compile(r"[A-Za-z0-9._%+-]{2,64}\s?(?:@|\(at\)|\[at\])\s?[A-Za-z0-9-]{2,63}\s?(?:\.|\(dot\)|\[dot\])\s?[A-Za-z]{2,10}\b", re.I)),
     ("card", re.compile(r"[0-9]{4}"), re.compile(r"(?<![0-9])[0-9]{4}(?P<mark>[ .-]?)[0-9]{4}(?P=mark)[0-9]{4}(?P=mark)[0-9]{2,7}(?![0-9])")),
-    ("phone", re.compile(r"[0-9]{3}"), re.compile(r"(?<![0-9.+-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9.-])")),
+    ("phone", re.compile(r"[0-9]{3}"), re.compile(r"(?<![0-9.+-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9]|[.-][0-9])")),
     ("account", re.compile(r"[0-9]{2}"), re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b")),
     ("identity", re.compile(r"[0-9]-[0-9]"), re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
     ("secret", re.compile(r"[:=]"), re.compile(r"""[:=]\s{0,2}["']?([A-Za-z0-9_+/=.-]{12,200})""")),
@@ -279,7 +279,9 @@ def chooser(precision: float = 0.99) -> tuple[Trees, dict[str, float]]:
         order = np.argsort(-p, kind="stable")
         good = np.cumsum(y[order]) / np.arange(1, len(order) + 1)
         fine = np.flatnonzero(good >= precision)
-        thresholds[kind] = max(0.5, float(p[order][fine[-1]]) if len(fine) else 1.1)
+        last = int(fine[-1]) if len(fine) else -1
+        below = float(p[order][last + 1]) if last + 1 < len(order) else 0.0
+        thresholds[kind] = max(0.5, (float(p[order][last]) + below) / 2) if last >= 0 else 1.1  # halfway to the next case
     return trees, thresholds
 
 

@@ -1,0 +1,83 @@
+import re
+
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from pagemend.llm import pii as P
+
+DDL = "doc_id long, text string, spans string, n_ip int"
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+
+
+def brute(text):
+    found = [("email", *m.span()) for m in EMAIL.finditer(text)]
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(x[-400:]) <= 255 and not x[:-400].strip("0") for x in m[0].split(".")):
+            found.append(("ip", *m.span()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m[0] if c.isdigit()]
+        if 14 <= len(d) <= 19 and (sum(d[-1::-2]) + sum(sum(divmod(2 * x, 10)) for x in d[-2::-2])) % 10 == 0:
+            found.append(("card", *m.span()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 10 <= sum(c.isdigit() for c in m[0]) <= 15:
+            found.append(("phone", *m.span()))
+    return sorted(found, key=lambda s: (s[1], P.KINDS.index(s[0])))
+
+
+CARD = "4111 1111 1111 1111"
+TEXTS = [
+    None, "", "plain words only", "mail a.b@c.d.example, or x@y", "@b.c@d.e a@b.c@d.e", "ip 1.2.3.4 999.1.1.1 1.2.3.4.5 0255.1.1.01 " + "0" * 5000 + "1.2.3.4", f"card {CARD} and 4111-1111-1111-1112, {CARD} {CARD}", "call +1 (555) 555-0100 now +12 3",
+    'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" end', "tel (212) 555-0134.", "order 4785380592391139 and sha 24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "ssn 123-45-6789", "é" * 1000 + " a@b.cd " + "x" * 100_000,
+]
+
+
+def test_base_spans_equal_the_formats():
+    for text in TEXTS[1:]:
+        assert sorted(P.base_spans(text), key=lambda s: (s[1], P.KINDS.index(s[0]))) == brute(text), text
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="a1+-.@ ()029%", max_size=60))
+def test_base_spans_on_any_text(text):
+    assert sorted(P.base_spans(text), key=lambda s: (s[1], P.KINDS.index(s[0]))) == brute(text)
+
+
+def test_method_adds_what_the_formats_miss_and_leaves_the_rest():
+    model = P.chooser()
+    added = lambda t: [t[a:b] for k, a, b in P.spans(t, model)[1] if (k, a, b) not in P.spans(t, model)[0]]
+    assert added(TEXTS[8]) == ["24be64439e3e49cf46b2d7c90f3602a3d0b907ff"]
+    assert added(TEXTS[9]) == ["(212) 555-0134"]
+    assert added(TEXTS[10]) == []
+    assert added("The year 1984 and 12 of 300, see section 4.5.6 at page 12-14.") == []
+    for text in TEXTS[1:]:
+        base, whole = P.spans(text, model)
+        assert set(base) <= set(whole)
+        rest = [s for s in whole if s not in base]
+        assert all(b <= x or y <= a for _, a, b in rest for _, x, y in base + [r for r in rest if r[1:] != (a, b)])
+
+
+def test_held_out_cases_are_told_apart():
+    trees, limits = P.chooser()
+    cases = P.generated_cases(600, seed=99)
+    chosen = np.array([trees.probability(P.features(t, k, a, b)) >= limits[k] for t, k, a, b, _ in cases])
+    label = np.array([c[4] for c in cases], bool)
+    assert (chosen & label).sum() / chosen.sum() >= 0.97
+    assert (chosen & label).sum() / label.sum() >= 0.8
+
+
+def test_query_and_redaction(spark, put):
+    rows = [(i, t, "x", 1) for i, t in enumerate(TEXTS)] + [(3, TEXTS[3], "x", 1), (None, "q@w.ee", "x", 1)]
+    d = put(documents=(rows, DDL))
+    out = P.op8_pii(spark, d).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        text = "q@w.ee" if r.doc_id is None else TEXTS[r.doc_id] or ""
+        want = brute(text)
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in want) for k in P.KINDS[:4]]
+        assert not want or set(P.written(want).split(",")) <= set(r.spans.split(","))
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    clean = {r.doc_id: r for r in P.redact(docs).collect()}
+    assert clean[0].text is None and clean[1].text == "" and clean[2].text == TEXTS[2]
+    assert clean[3].text == "mail [EMAIL], or x@y" and clean[3].spans == "x" and P.redact(docs).columns == docs.columns
+    assert P.op8_pii(spark, put(documents=([], DDL))).count() == 0
