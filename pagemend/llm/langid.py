@@ -60,7 +60,8 @@ def gram_counts(text: str | None) -> tuple[np.ndarray | None, int]:
         two = (a[:-1] ^ (a[:-1] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + a[1:]
         three = (two[:-1] ^ (two[:-1] >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) + a[2:]
         shift = np.uint64(64 - DIMENSIONS.bit_length() + 1)
-        part = np.bincount(np.concatenate([a[len(edge) :], two, three]) >> shift, minlength=DIMENSIONS)
+        old = max(1, len(edge))  # what the last block has counted
+        part = np.bincount(np.concatenate([a[old:], two[old - 1 :], three[max(0, old - 2) :]]) >> shift, minlength=DIMENSIONS)
         total = part if total is None else total + part
         edge = code[-2:]
     return (total, letters) if letters else (None, 0)
@@ -110,22 +111,32 @@ def spherical_means(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 def fit(samples: list[tuple[str, str]], clusters: int = CLUSTERS) -> Model:
     """From (language, text) rows; rows without a letter teach nothing."""
-    counted = [(lang, counts, text) for lang, text in samples if (counts := gram_counts(text)[0]) is not None]
-    languages = sorted({lang for lang, _, _ in counted})
+    counted = []  # (language, buckets, counts, text): only what is not zero, so the driver holds little
+    for lang, text in samples:
+        counts = gram_counts(text)[0]
+        if counts is not None:
+            at = np.flatnonzero(counts)
+            counted.append((lang, at.astype(np.int32), counts[at].astype(np.float32), text))
+    languages = sorted({c[0] for c in counted})
     if not languages:
         return Model([], np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, int), np.ones(DIMENSIONS, np.float32), [0.0])
     seen = np.zeros(DIMENSIONS)
-    for _, counts, _ in counted:
-        seen += counts > 0
+    for _, at, _, _ in counted:
+        seen[at] += 1
     idf = (np.log((1 + len(counted)) / (1 + seen)) + 1).astype(np.float32)
     centroids, owner = [], []
-    for at, lang in enumerate(languages):
-        centres = spherical_means(np.stack([weigh(c, idf) for name, c, _ in counted if name == lang]), clusters)
+    for number, lang in enumerate(languages):
+        own = [(at, values) for name, at, values, _ in counted if name == lang]
+        rows = np.zeros((len(own), DIMENSIONS), np.float32)
+        for row, (at, values) in zip(rows, own, strict=True):
+            row[at] = values
+            row[:] = weigh(row, idf)
+        centres = spherical_means(rows, clusters)
         centroids.append(centres)
-        owner += [at] * len(centres)
+        owner += [number] * len(centres)
     model = Model(languages, np.concatenate(centroids), np.array(owner), idf, [0.0])
     lowest: list = [None] * 21
-    for _, _, text in counted:
+    for _, _, _, text in counted:
         for power in range(2, 21):
             part = text[: 1 << power]
             counts, letters = gram_counts(part)
