@@ -64,10 +64,23 @@ def shared_checkpoints(spark: SparkSession) -> None:
         context.setCheckpointDir(folder)
 
 
+_CONSTRAINTS = "spark.sql.constraintPropagation.enabled"
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Compute once, write to the shared checkpoint folder, and cut the lineage."""
-    shared_checkpoints(df.sparkSession)
-    return df.checkpoint()
+    """Compute once, write to the shared checkpoint folder, and cut the lineage.
+
+    A checkpoint would carry along what the optimizer had inferred about its rows, which grows without bound over rounds of
+    joins; so that inference is off while it is made.
+    """
+    spark = df.sparkSession
+    shared_checkpoints(spark)
+    before = spark.conf.get(_CONSTRAINTS)
+    spark.conf.set(_CONSTRAINTS, "false")
+    try:
+        return df.checkpoint()
+    finally:
+        spark.conf.set(_CONSTRAINTS, before)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -8,10 +8,11 @@ Candidates are compared by a banded alignment of their words: a longest common s
 threshold must stay in, similarity ``2 * common / (words a + words b)``.  Pairs of ``SIMILARITY`` or more are links; documents
 joined by links are a class, named by its smallest id.
 
-No bucket is expanded into pairs.  Equal texts are collapsed first.  In each bucket all members are compared with one leader;
-members that are not linked to it stay for the next round with a new leader, until none is left.  Comparing with leaders
-suffices for classes, since a class is connected; leaders differ between the buckets of one document, so a link that one
-bucket does not show is shown by others.
+No large bucket is expanded into pairs.  Equal texts are collapsed first.  In a few of the samples each document is compared with
+the smallest leader of its buckets (a bucket's leader is its smallest id), which brings classes of copies together.  Then, in the
+buckets of all samples that hold more than one class, members of other classes are compared with the first and the last member.
+What is left there (documents that share just a frequent passage) is compared each with each if it is at most ``AT_ONCE`` documents;
+of more, the documents are sampled anew with more k-mers a sample, which parts chance meetings, and so on until none is left.
 
 Null texts are each alone (rows of one id and null text are one row).  Texts without a word are only equal to themselves, byte
 for byte.  Texts of fewer than ``K`` words are one k-mer.  Rows with equal id and text count once.
@@ -19,22 +20,26 @@ for byte.  Texts of fewer than ``K`` words are one k-mer.  Rows with equal id an
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FOLD, map_rows, settle, table
+from .common import FOLD, map_rows, settle, small, table
 
 #: Words of a k-mer.
 K = 5
 #: Hash orders, and labelled k-mers that each samples.
 SKETCHES, PICKS = 32, 4
+#: Members of a bucket that are compared each with each once its leader is done; larger rests are divided.
+AT_ONCE = 32
 #: Lowest similarity of a link.
 SIMILARITY = 0.8
 
 _BASE = np.uint64(0x100000001B3)
 _UNBASE = np.uint64(pow(0x100000001B3, -1, 1 << 64))
-_SEEDS = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(0xD6E8FEB86659FD93)
+_SEEDS = (np.arange(1, 1 << 14, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(0xD6E8FEB86659FD93)
 _POWERS: dict = {}
 
 
@@ -176,48 +181,130 @@ def verified(pairs: DataFrame, texts: DataFrame, at_least: float) -> DataFrame:
     return map_rows(both, ["a", "b", "text_a", "text_b"], "a long, b long, linked boolean", lambda: lambda a, b, x, y: (a, b, similar(x, y, at_least)))
 
 
-def classes_of(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(doc_id, class_id): the smallest id reachable over links, by rounds of neighbour minimum and pointer jumping."""
-    both = settle(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = settle(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("doc_id"), F.least("a", "low").alias("class_id")))
+def classes_of(links: DataFrame) -> DataFrame:
+    """(node, label) of all linked nodes: the smallest id reachable.
+
+    Each round lets every node point to its smallest neighbour, follows the pointers, and goes on with the links between the
+    places reached.  The first round follows three steps, which ends it for stars; later rounds follow to the very end, so what
+    is left shrinks at least by half in each.
+    """
+    edges = settle(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    labels, rounds = None, 0
+    while not edges.isEmpty():
+        ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("near")), F.struct(F.col("b").alias("node"), F.col("a").alias("near")))).alias("e")).select("e.*")
+        up = settle(ends.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("top")))
+        up = settle(further(further(up))) if not rounds else followed(up)
+        labels = up.withColumnRenamed("top", "label") if labels is None else settle(relabel(labels, "label", up.withColumnRenamed("top", "label")))
+        moved = edges.join(up.select(F.col("node").alias("a"), F.col("top").alias("x")), "a").join(up.select(F.col("node").alias("b"), F.col("top").alias("y")), "b")
+        edges = settle(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        rounds += 1
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("label")) if labels is None else labels
+
+
+def further(up: DataFrame) -> DataFrame:
+    """Every pointer replaced by that of the node it points to; all ends are nodes."""
+    return up.join(up.select(F.col("node").alias("top"), F.col("top").alias("next")), "top").select("node", F.col("next").alias("top"))
+
+
+def followed(up: DataFrame) -> DataFrame:
+    """Pointers followed until none moves."""
     while True:
-        near = both.join(labels.select(F.col("doc_id").alias("b"), F.col("class_id").alias("c")), "b").groupBy("a").agg(F.min("c").alias("c"))
-        stepped = labels.join(near.withColumnRenamed("a", "doc_id"), "doc_id", "left").select("doc_id", F.col("class_id").alias("was"), F.least("class_id", F.coalesce("c", "class_id")).alias("to"))
-        jump = labels.select(F.col("doc_id").alias("to"), F.col("class_id").alias("further"))
-        fresh = settle(stepped.join(jump, "to", "left").select("doc_id", "was", F.least("to", F.coalesce("further", "to")).alias("class_id")))
-        labels = fresh.select("doc_id", "class_id")
-        if fresh.where("class_id <> was").isEmpty():
-            break
-    return nodes.join(labels, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+        fresh = settle(up.join(up.select(F.col("node").alias("top"), F.col("top").alias("next")), "top"))
+        up = fresh.select("node", F.col("next").alias("top"))
+        if fresh.where("next <> top").isEmpty():
+            return up
+
+
+def relabel(df: DataFrame, column: str, labels: DataFrame) -> DataFrame:
+    """``df`` with a column's nodes replaced by their labels; nodes without one stay."""
+    found = labels.select(F.col("node").alias(column), F.col("label").alias("__label"))
+    return df.join(found, column, "left").withColumn(column, F.coalesce("__label", column)).drop("__label")
+
+
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after further links, which are first drawn between the classes that they join."""
+    wider = classes_of(relabel(relabel(links, "a", labels), "b", labels))
+    return settle(relabel(labels, "label", wider).unionByName(wider.join(labels.select("node"), "node", "left_anti")))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, sketches: int = SKETCHES, picks: int = PICKS, at_least: float = SIMILARITY) -> DataFrame:
+def mixed(members: DataFrame) -> DataFrame:
+    """Buckets (band, key) that hold documents of two and more classes, with their first and last member and those members' labels."""
+    found = members.groupBy("band", "key").agg(
+        F.min("doc_id").alias("lead"), F.max("doc_id").alias("last"), F.min_by("label", "doc_id").alias("lead_label"), F.max_by("label", "doc_id").alias("last_label"), F.min("label").alias("lo"), F.max("label").alias("hi")
+    )
+    return found.where("lo <> hi").drop("lo", "hi")
+
+
+def crowded_rest(left: DataFrame) -> DataFrame:
+    """Buckets with members of several classes, and how many."""
+    return left.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+
+
+def compared(left: DataFrame, texts: DataFrame, at_least: float, at_once: int) -> DataFrame:
+    """Links found by comparing each with each in buckets of at most ``at_once`` members."""
+    few = left.join(crowded_rest(left).where(F.col("n") <= at_once).select("band", "key"), ["band", "key"], "left_semi")
+    twos = few.select("band", "key", F.col("doc_id").alias("a"), F.col("label").alias("x")).join(few.select("band", "key", F.col("doc_id").alias("b"), F.col("label").alias("y")), ["band", "key"])
+    return settle(verified(twos.where("a < b and x <> y").select("a", "b").distinct(), texts, at_least).where("linked").select("a", "b"))
+
+
+def finer_members(texts: DataFrame, k: int, picks: int) -> DataFrame:
+    """Members of buckets by samples of ``picks`` k-mers, in so many hash orders that a pair of k-mer similarity 0.8 meets in one
+    (but for one in a hundred thousand)."""
+    sketches = math.ceil(11.5 / 0.8**picks)
+    kept = map_rows(texts, ["doc_id", "label", "text"], "doc_id long, label long, sigs array<long>", lambda: lambda key, label, text: (key, label, sketch(text, k, sketches, picks)))
+    return kept.select("doc_id", "label", F.posexplode("sigs").alias("band", "key"))
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, sketches: int = SKETCHES, picks: int = PICKS, at_least: float = SIMILARITY, at_once: int = AT_ONCE
+) -> DataFrame:
     """``(doc_id, same, class_id)``: a row for each distinct (id, text); ``same`` is the SHA-256 of the text."""
     rows = settle(sketches_of(docs, id_col, text_col, k, sketches, picks).where("doc_id is not null"))
     texts_of = rows.where("same is not null").groupBy("same").agg(F.min("doc_id").alias("rep"))
-    reps = settle(rows.where("size(sigs) > 0").join(texts_of.select("same", F.col("rep").alias("doc_id")), ["same", "doc_id"], "left_semi").dropDuplicates(["same"]).select("doc_id", "same", "sigs"))
-    members = reps.select("doc_id", F.posexplode("sigs").alias("band", "sig"))
-    # buckets of two and more different texts
-    crowded = members.groupBy("band", "sig").agg(F.count("*").alias("n"), F.min("doc_id").alias("lead")).where("n > 1")
-    waiting = settle(members.join(crowded.select("band", "sig", "lead"), ["band", "sig"]))
-    involved = waiting.select("doc_id").distinct()
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    texts = settle(texts.join(involved, "doc_id", "left_semi").withColumn("same", F.sha2(F.col("text").cast("binary"), 256)).join(reps.select("doc_id", "same"), ["doc_id", "same"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text"))
-    known = None
-    while not waiting.isEmpty():
-        asked = waiting.where("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
-        fresh = asked if known is None else asked.join(known, ["a", "b"], "left_anti")
-        said = verified(fresh, texts, at_least)
-        known = settle(said if known is None else known.unionByName(said))
-        apart = known.where("not linked").select(F.col("a").alias("lead"), F.col("b").alias("doc_id"))
-        left = waiting.join(apart, ["lead", "doc_id"], "left_semi")
-        again = left.groupBy("band", "sig").agg(F.count("*").alias("n"), F.min("doc_id").alias("next")).where("n > 1")
-        waiting = settle(left.join(again, ["band", "sig"]).select("doc_id", "band", "sig", F.col("next").alias("lead")))
-    links = known.where("linked") if known is not None else reps.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0)
-    named = classes_of(reps.select("doc_id"), links).withColumnRenamed("doc_id", "rep")
+    reps = rows.where("size(sigs) > 0").join(texts_of.select("same", F.col("rep").alias("doc_id")), ["same", "doc_id"], "left_semi").dropDuplicates(["same"])
+    reps = settle(reps.select("doc_id", "same", "sigs"))
+
+    def members(labels: DataFrame | None, bands: int) -> DataFrame:
+        held = reps.withColumn("label", F.col("doc_id")) if labels is None else reps.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+        return held.select("doc_id", "label", F.posexplode(F.slice("sigs", 1, bands)).alias("band", "key"))
+
+    # texts of the documents that share any bucket
+    crowded = members(None, sketches).groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
+    involved = members(None, sketches).join(crowded, ["band", "key"], "left_semi").select("doc_id").distinct()
+    involved = small(settle(reps.select("doc_id", "same").join(involved, "doc_id", "left_semi")))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.sha2(F.col(text_col).cast("binary"), 256).alias("same"), F.col(text_col).alias("text"))
+    texts = settle(texts.join(involved, ["doc_id", "same"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text"))
+    # in a few bands, each document with the smallest leader of its buckets: copies come together by one comparison a document
+    few_bands = members(None, max(1, sketches // 4))
+    first = few_bands.join(mixed(few_bands).select("band", "key", "lead"), ["band", "key"]).where("doc_id <> lead").groupBy("doc_id").agg(F.min("lead").alias("a"))
+    links = settle(verified(first.select("a", F.col("doc_id").alias("b")), texts, at_least)).where("linked").select("a", "b")
+    label = classes_of(links)
+    # in all bands, what is not yet of one class with the bucket's first or last member
+    rest, deeper, links = members(label, sketches), picks, links.limit(0)
+    while True:
+        strange = rest.join(mixed(rest), ["band", "key"]).where("label <> lead_label and label <> last_label or doc_id = last and label <> lead_label")
+        waiting = settle(strange.select("doc_id", "label", "band", "key", "lead", "last"))
+        pairs = waiting.select(F.explode(F.array(F.struct(F.col("lead").alias("a"), F.col("doc_id").alias("b")), F.struct(F.col("doc_id").alias("a"), F.col("last").alias("b")))).alias("p")).select("p.*").where("a <> b").distinct()
+        linked = settle(verified(pairs, texts, at_least).where("linked").select("a", "b"))
+        links = links.unionByName(linked)
+        left = waiting.where("doc_id <> last")
+        for one, other in (("lead", "doc_id"), ("doc_id", "last")):
+            left = left.join(linked.select(F.col("a").alias(one), F.col("b").alias(other)), [one, other], "left_anti")
+        left = settle(left.select("doc_id", "label", "band", "key"))
+        crowd = crowded_rest(left).where(F.col("n") > at_once)
+        if crowd.isEmpty():
+            break
+        # large rests: with the classes that have come together by now, sampled anew
+        label, links = joined(label, links), links.limit(0)
+        left = settle(relabel(left.select("doc_id", F.col("doc_id").alias("label"), "band", "key"), "label", label))
+        links = links.unionByName(compared(left, texts, at_least, at_once))
+        many = left.join(crowded_rest(left).where(F.col("n") > at_once).select("band", "key"), ["band", "key"], "left_semi")
+        deeper += 3
+        rest = settle(finer_members(texts.join(small(settle(many.select("doc_id", "label").distinct())), "doc_id"), k, deeper))
+    label = joined(label, links.unionByName(compared(left, texts, at_least, at_once)))
     # equal texts share the class of their representative; a class is named by its smallest id
-    keyed = rows.select("doc_id", "same").distinct().join(texts_of, "same", "left").select("doc_id", "same", F.coalesce("rep", "doc_id").alias("rep"))
-    return keyed.join(named, "rep", "left").select("doc_id", "same", F.coalesce("class_id", "rep").alias("class_id"))
+    keyed = rows.select("doc_id", "same").distinct().join(texts_of, "same", "left").select("doc_id", "same", F.coalesce("rep", "doc_id").alias("class_id"))
+    return relabel(keyed, "class_id", label).select("doc_id", "same", "class_id")
 
 
 def keep_one(docs: DataFrame, at_least: float = SIMILARITY) -> DataFrame:
