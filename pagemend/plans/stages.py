@@ -18,4 +18,10 @@ def stage(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="pagemend-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+    constraints = "spark.sql.constraintPropagation.enabled"  # else a checkpoint carries along all that was inferred about its rows
+    before = spark.conf.get(constraints)
+    spark.conf.set(constraints, "false")
+    try:
+        return df.checkpoint()
+    finally:
+        spark.conf.set(constraints, before)

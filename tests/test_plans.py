@@ -14,7 +14,8 @@ from pagemend.plans.local import run_local
 from pagemend.plans.providers import TableProvider, find_program
 from pagemend.schemas import AUDIT, EVIDENCE
 from pagemend.sinks import epub
-from pagemend.sources import images, json_files, lexicon, marker_text
+from pagemend.sinks.logs import RunLog
+from pagemend.sources import images, json_files, lexicon, marker_text, pdf
 from pagemend.streaming import queue_stream
 
 CLEAN = ["Người đọc có thể hiểu nội dung chính của trang sách này một cách rõ ràng.", "Các câu văn được nối tiếp nhau bằng những ý tưởng đầy đủ và tự nhiên.", "Không có dấu hiệu hỏng nào trong phần văn bản được nhận dạng ở đây."]
@@ -148,6 +149,21 @@ def test_images(spark):
     images.check_range(1, 9, 9)
 
 
+def test_pages_of_a_book(spark, tmp_path):
+    (tmp_path / "book.pdf").write_bytes(b"xxx")
+    drawn = (len, lambda content, index, scale: np.full((30, 60, 3), 10 * index, np.uint8))
+    got = pdf.sides(spark, str(tmp_path / "book.pdf"), 2, 3, renderer=drawn).collect()
+    assert sorted((r.page, r.side) for r in got) == [(2, "L"), (2, "R"), (3, "L"), (3, "R")] and all(r.channels == 3 for r in got)
+    with pytest.raises(ValueError):
+        pdf.spreads(spark, str(tmp_path / "book.pdf"), 2, 4, renderer=drawn)
+
+
+def test_log(tmp_path, capsys):
+    with RunLog(tmp_path / "a" / "run.log") as log:
+        log("één 100 %")
+    assert (tmp_path / "a" / "run.log").read_text(encoding="utf-8") == "één 100 %\n" and "100 %" in capsys.readouterr().out
+
+
 def test_command_line(spark, tmp_path):
     provider = sources(spark)
     provider.whole.drop("book").write.parquet(str(tmp_path / "e"))
