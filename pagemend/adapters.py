@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 
-EMPTY = F.lit("")
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
