@@ -6,8 +6,9 @@ model is the same everywhere and needs no corpus).  Weights are rounded to thous
 calibrated score at which a paragraph stops being unknown is set on held-out paragraphs.  The best family of a paragraph counts
 only if a template of that family confirms it: enough of the template's word pairs must occur in the paragraph.
 
-Only paragraphs with a gate word can be a notice: gate words are the fewest long words of the templates such that every template
-has one.  Their test is a plain substring search, so nearly all text is read once and costs no more.
+Only paragraphs with a gate word can be a notice: in every template the word pairs without one are too few to confirm it, so no
+paragraph that the model and a template would accept is passed over.  Their test is a plain substring search, so nearly all text
+is read once and costs no more.  The SQL and ``Model.best`` go without it.
 
 Null, empty and word-less texts have no paragraphs and no licence.  A text is identified by (id, hash of the text): repeated rows
 give one result row.
@@ -19,8 +20,9 @@ import functools
 import math
 import random
 import re
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import settle, small, table
@@ -39,7 +41,7 @@ TEMPLATES = {
     "lgpl": ("This library is licensed under the GNU Lesser General Public License, version 3.", "Licensed under the GNU LGPL v2.1.", "SPDX-License-Identifier: LGPL-3.0-only"),
     "mit": ("Released under the MIT License.", "Licensed under the MIT License.", "SPDX-License-Identifier: MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."),
     "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0"),
-    "proprietary": ("All rights reserved. No part of this work may be reproduced without permission.", "Proprietary and confidential. Unauthorized copying is prohibited.", "Copyright (c). All rights reserved."),
+    "proprietary": ("All rights reserved. No part of this work may be reproduced without permission.", "Proprietary and confidential. Unauthorized copying is prohibited.", "Copyright (c). All rights reserved.", "All rights reserved."),
     "unlicense": ("This is free and unencumbered software released into the public domain.", "Released under the Unlicense.", "SPDX-License-Identifier: Unlicense"),
 }
 # Paragraphs that speak of licences, rights or the families' words without being a notice.
@@ -55,6 +57,8 @@ FILLER = "the a of and to in is that it for was on are with as his they be at on
 GRAMS = (1, 2, 3)
 #: Share of a template's word pairs that must occur in a paragraph for the template to confirm its family.
 CONFIRM_PERCENT = 60
+#: Letters from which on a gate word is searched as a substring.
+LONG = 7
 _BETWEEN = r"[^a-z0-9]+"
 
 
@@ -97,7 +101,8 @@ class Model:
     """``weights[family][feature]``, ``bias`` and ``floor`` in thousandths: a paragraph is the family's if bias + weights >= floor."""
 
     def __init__(self, weights, bias, floor):
-        self.weights, self.bias, self.floor, self.gate = weights, bias, floor, gate_words()
+        self.weights, self.bias, self.floor = weights, bias, floor
+        self.gate = [""]  # what a line must hold to be scored here and in the SQL: nothing
 
     def score(self, family: str, feats: set[str]) -> int:
         own = self.weights[family]
@@ -112,18 +117,39 @@ class Model:
         return (over[0][1], -over[0][0]) if over else None
 
 
-def gate_words(letters: int = 7) -> list[str]:
-    """Fewest words of at least so many letters that together occur in every template (greedy; ties to the longer, then the first)."""
-    left = [n.lower() for notices in TEMPLATES.values() for n in notices]
-    choice = sorted({w for n in left for w in tokens(n) if len(w) >= letters})
-    gate = []
-    while left:
-        word = max(choice, key=lambda w: (sum(w in n for n in left), len(w), w))
+def gate_words(letters: int = LONG) -> list[str]:
+    """Words of which every confirmed paragraph holds one: they leave each template too few word pairs to confirm it (greedy).
+
+    Words of at least ``letters`` letters come first, then words that ordinary prose does not use.
+    """
+    prose = {*FILLER, *(w for other in OTHERS for w in tokens(other))}
+    every = []  # of each template the pairs without a gate word, and how many of them have to go
+    for notices in TEMPLATES.values():
+        for notice in notices:
+            words = tokens(notice)
+            pairs = set(zip(words, words[1:], strict=False))
+            every.append((pairs, len(pairs) - (len(pairs) * CONFIRM_PERCENT - 1) // 100))
+    choice = sorted({w for pairs, _ in every for p in pairs for w in p})
+    holds = lambda pair, w: any(w in x if len(w) >= letters else w == x for x in pair)
+    gate, left = [], every
+    while left := [x for x in left if x[1] > 0]:
+        gain = {w: sum(min(more, sum(holds(p, w) for p in pairs)) for pairs, more in left) for w in choice}
+        word = max(choice, key=lambda w: (gain[w] > 0, len(w) >= letters, w not in prose, gain[w], len(w), w))  # noqa: B023
         gate.append(word)
-        left = [n for n in left if word not in n]
+        left = [(rest, more - len(pairs) + len(rest)) for pairs, more in left for rest in [{p for p in pairs if not holds(p, word)}]]
+    for word in reversed(gate):  # those that later ones made needless
+        rest = [w for w in gate if w != word]
+        if all(sum(any(holds(p, w) for w in rest) for p in pairs) >= more for pairs, more in every):
+            gate = rest
     return sorted(gate)
 
 
+def gated(text: Column) -> Column:
+    """Whether a lower-case text holds a gate word; short ones count only as whole words."""
+    whole = lambda w: text.contains(w) & text.rlike(f"(?<![a-z0-9]){w}(?![a-z0-9])")
+    return reduce(lambda one, other: one | other, [text.contains(w) if len(w) >= LONG else whole(w) for w in sorted(gate_words(), key=lambda w: (len(w) < LONG, w))])
+
+
 @functools.lru_cache(maxsize=1)
 def model() -> Model:
     """One logistic regression a family by gradient steps with an L1 shrink; floors calibrated on the held-out third."""
@@ -173,7 +199,6 @@ def scan_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``(key, text_hash, paragraph, family, over)``: confirmed licence paragraphs; ``over`` is the score above the floor in thousandths."""
     spark, fitted = docs.sparkSession, fitted or model()
     text = F.lower(F.col(text_col))
-    gated = lambda c: F.greatest(*[c.contains(a) for a in fitted.gate], F.lit(False))
     rows = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("key"), F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0)).alias("text_hash"), text.alias("text")).where(gated(F.col("text")))
     lines = rows.select("key", "text_hash", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).where(gated(F.col("line")))
     lines = lines.select("key", "text_hash", "paragraph", F.explode(F.array(F.array_remove(F.split("line", _BETWEEN), ""))).alias("w")).distinct()

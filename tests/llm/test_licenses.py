@@ -44,3 +44,29 @@ def test_every_template_is_found_and_others_are_unknown():
 
 def test_empty_table(spark):
     assert L.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_no_notice_is_lost_before_the_classifier(spark, put, prose):
+    import duckdb
+
+    fitted = L.model()
+    cut = [" ".join(n.split()[i : len(n.split()) - j]) for v in L.TEMPLATES.values() for n in v for i in range(4) for j in range(4)]  # in part, as far as 60% confirm
+    texts = ["All rights reserved.", prose(3, 40) + "\nAll rights reserved.\n" + prose(4, 9), "(c) 2001 ACME, ALL RIGHTS RESERVED", *cut]
+    d = put(documents=([(i, t, "x", 1) for i, t in enumerate(texts)], DDL))
+    out = {r.doc_id: tuple(r) for r in L.op2_licenses(spark, d).collect()}
+    for i, t in enumerate(texts):
+        want = brute(t, fitted)
+        assert out[i][2:4] == (len(want), ",".join(sorted({f for f, _ in want}))), t
+    assert [out[i][4] for i in range(3)] == ["proprietary"] * 3
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{d}/documents.parquet/*.parquet')")
+    assert sorted(con.execute(L.op2_sql()).fetchall()) == sorted(out.values())
+
+
+def test_pairs_without_a_gate_word_confirm_no_template():
+    gate = L.gate_words()
+    for notice in (n for v in L.TEMPLATES.values() for n in v):
+        words = L.tokens(notice)
+        pairs = set(zip(words, words[1:], strict=False))
+        free = [p for p in pairs if not any(g in w if len(g) >= L.LONG else g == w for g in gate for w in p)]
+        assert 100 * len(free) < L.CONFIRM_PERCENT * len(pairs), notice
