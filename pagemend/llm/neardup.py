@@ -8,11 +8,11 @@ Candidates are compared by a banded alignment of their words: a longest common s
 threshold must stay in, similarity ``2 * common / (words a + words b)``.  Pairs of ``SIMILARITY`` or more are links; documents
 joined by links are a class, named by its smallest id.
 
-No large bucket is expanded into pairs.  Equal texts are collapsed first.  In a few of the samples each document is compared with
-the smallest leader of its buckets (a bucket's leader is its smallest id), which brings classes of copies together.  Then, in the
-buckets of all samples that hold more than one class, members of other classes are compared with the first and the last member.
-What is left there (documents that share just a frequent passage) is compared each with each if it is at most ``AT_ONCE`` documents;
-of more, the documents are sampled anew with more k-mers a sample, which parts chance meetings, and so on until none is left.
+Equal texts are collapsed first.  In a few of the samples each document is compared with the smallest leader of its buckets (a
+bucket's leader is its smallest id), and then, in the buckets of all samples that hold more than one class, with the first and the
+last member: so classes of copies come together cheaply.  Then every pair of a bucket that is still of two classes is compared.
+Buckets of more than ``AT_ONCE`` documents are not expanded into pairs of rows: blocks of them meet block by block, where bounds
+that any pair at the threshold must reach rule most pairs out, the others are aligned, and pairs joined meanwhile are left out.
 
 Null texts are each alone (rows of one id and null text are one row).  Texts without a word are only equal to themselves, byte
 for byte.  Texts of fewer than ``K`` words are one k-mer.  Rows with equal id and text count once.
@@ -32,8 +32,10 @@ from .common import FOLD, map_rows, settle, small, table
 K = 5
 #: Hash orders, and labelled k-mers that each samples.
 SKETCHES, PICKS = 32, 4
-#: Members of a bucket that are compared each with each once its leader is done; larger rests are divided.
+#: Members of a bucket whose pairs are written out as rows; larger buckets are compared in blocks.
 AT_ONCE = 32
+#: Documents of a block.
+BLOCK = 512
 #: Lowest similarity of a link.
 SIMILARITY = 0.8
 
@@ -240,11 +242,82 @@ def crowded_rest(left: DataFrame) -> DataFrame:
     return left.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
 
 
-def compared(left: DataFrame, texts: DataFrame, at_least: float, at_once: int) -> DataFrame:
-    """Links found by comparing each with each in buckets of at most ``at_once`` members."""
-    few = left.join(crowded_rest(left).where(F.col("n") <= at_once).select("band", "key"), ["band", "key"], "left_semi")
+def compared(rest: DataFrame, tried: DataFrame, texts: DataFrame, at_least: float, at_once: int) -> DataFrame:
+    """Links found by comparing each with each in buckets of at most ``at_once`` members, but for the pairs ``tried``."""
+    few = rest.join(crowded_rest(rest).where(F.col("n") <= at_once).select("band", "key"), ["band", "key"], "left_semi")
     twos = few.select("band", "key", F.col("doc_id").alias("a"), F.col("label").alias("x")).join(few.select("band", "key", F.col("doc_id").alias("b"), F.col("label").alias("y")), ["band", "key"])
-    return settle(verified(twos.where("a < b and x <> y").select("a", "b").distinct(), texts, at_least).where("linked").select("a", "b"))
+    pairs = twos.where("a < b and x <> y").select("a", "b").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    return settle(verified(pairs, texts, at_least).where("linked").select("a", "b"))
+
+
+def possible(hashes: list[np.ndarray], at_least: float) -> np.ndarray:
+    """Pairs of texts, by their word hashes, that may reach ``at_least``; no pair that does is left out.
+
+    Of ``common`` aligned words all but one start a shared pair of words, unless another word stands between in one of the texts:
+    at least ``3 * common - 1 - total`` pairs of words are shared, and twice the shorter length is no less than ``2 * common``.
+    """
+    n = len(hashes)
+    sizes = np.array([len(x) for x in hashes])
+    total = sizes[:, None] + sizes
+    pairs = [labelled(kmer_hashes(x, 2)) if len(x) > 1 else x[:0] for x in hashes]
+    owner = np.repeat(np.arange(n), [len(x) for x in pairs])
+    _, place, count = np.unique(np.concatenate(pairs), return_inverse=True, return_counts=True)
+    often = count > 1
+    number = np.cumsum(often) - 1
+    owner, place = owner[often[place]], number[place[often[place]]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    shared = np.zeros((n, n), np.float32)
+    for lo in range(0, int(often.sum()), 2048):
+        cut = slice(*np.searchsorted(place, (lo, lo + 2048)))
+        part = np.zeros((n, 2048), np.float32)
+        part[owner[cut], place[cut] - lo] = 1
+        shared += part @ part.T
+    return (shared + 1 + 1e-6 * total >= (1.5 * at_least - 1) * total) & (2 * np.minimum(sizes[:, None], sizes) >= at_least * total)
+
+
+def links_of_blocks(ids: list, labels: list, blocks: list, sigs: list, texts: list, band: int, at_least: float) -> list[tuple[int, int]]:
+    """Links between two blocks of a bucket, or within one, enough to join all that are alike; pairs of an earlier bucket are left to that."""
+    open_pairs = np.triu(possible([word_hashes(t) for t in texts], at_least), 1)
+    label, block, sigs = np.array(labels), np.array(blocks), np.array(sigs)
+    open_pairs &= label[:, None] != label
+    if len(set(blocks)) > 1:
+        open_pairs &= block[:, None] != block
+    for earlier in range(band):
+        open_pairs &= sigs[:, earlier, None] != sigs[:, earlier]
+    top = {x: x for x in labels}
+
+    def root(x):
+        while top[x] != x:
+            top[x] = x = top[top[x]]
+        return x
+
+    links = []
+    for i, j in np.argwhere(open_pairs).tolist():
+        x, y = root(labels[i]), root(labels[j])
+        if x != y and similar(texts[i], texts[j], at_least):
+            top[max(x, y)] = min(x, y)
+            links.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+    return links
+
+
+def compared_in_blocks(rest: DataFrame, reps: DataFrame, texts: DataFrame, at_least: float, at_once: int, block: int) -> DataFrame:
+    """Links found by comparing each with each in buckets of more than ``at_once`` members."""
+    many = crowded_rest(rest).where(F.col("n") > at_once).select("band", "key", F.ceil(F.col("n") / block).cast("int").alias("parts"))
+    held = rest.join(many, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("band", "key", "doc_id", "label", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+    held = held.join(texts.join(reps.select("doc_id", "sigs"), "doc_id"), "doc_id")
+
+    def run(rows):
+        import pyarrow as pa
+
+        column = lambda name: rows[name].to_pylist()
+        links = []
+        if rows["p"][0].as_py() == rows["q"][0].as_py() or len(set(column("block"))) > 1:  # not a block that has no partner
+            links = links_of_blocks(*(column(x) for x in ("doc_id", "label", "block", "sigs", "text")), rows["band"][0].as_py(), at_least)
+        return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
+
+    return settle(held.groupBy("band", "key", "p", "q").applyInArrow(run, "a long, b long").distinct())
 
 
 def finer_members(texts: DataFrame, k: int, picks: int) -> DataFrame:
@@ -256,7 +329,7 @@ def finer_members(texts: DataFrame, k: int, picks: int) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, sketches: int = SKETCHES, picks: int = PICKS, at_least: float = SIMILARITY, at_once: int = AT_ONCE
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, sketches: int = SKETCHES, picks: int = PICKS, at_least: float = SIMILARITY, at_once: int = AT_ONCE, block: int = BLOCK
 ) -> DataFrame:
     """``(doc_id, same, class_id)``: a row for each distinct (id, text); ``same`` is the SHA-256 of the text."""
     rows = settle(sketches_of(docs, id_col, text_col, k, sketches, picks).where("doc_id is not null"))
@@ -280,28 +353,18 @@ def near_duplicates(
     links = settle(verified(first.select("a", F.col("doc_id").alias("b")), texts, at_least)).where("linked").select("a", "b")
     label = classes_of(links)
     # in all bands, what is not yet of one class with the bucket's first or last member
-    rest, deeper, links = members(label, sketches), picks, links.limit(0)
-    while True:
-        strange = rest.join(mixed(rest), ["band", "key"]).where("label <> lead_label and label <> last_label or doc_id = last and label <> lead_label")
-        waiting = settle(strange.select("doc_id", "label", "band", "key", "lead", "last"))
-        pairs = waiting.select(F.explode(F.array(F.struct(F.col("lead").alias("a"), F.col("doc_id").alias("b")), F.struct(F.col("doc_id").alias("a"), F.col("last").alias("b")))).alias("p")).select("p.*").where("a <> b").distinct()
-        linked = settle(verified(pairs, texts, at_least).where("linked").select("a", "b"))
-        links = links.unionByName(linked)
-        left = waiting.where("doc_id <> last")
-        for one, other in (("lead", "doc_id"), ("doc_id", "last")):
-            left = left.join(linked.select(F.col("a").alias(one), F.col("b").alias(other)), [one, other], "left_anti")
-        left = settle(left.select("doc_id", "label", "band", "key"))
-        crowd = crowded_rest(left).where(F.col("n") > at_once)
-        if crowd.isEmpty():
-            break
-        # large rests: with the classes that have come together by now, sampled anew
-        label, links = joined(label, links), links.limit(0)
-        left = settle(relabel(left.select("doc_id", F.col("doc_id").alias("label"), "band", "key"), "label", label))
-        links = links.unionByName(compared(left, texts, at_least, at_once))
-        many = left.join(crowded_rest(left).where(F.col("n") > at_once).select("band", "key"), ["band", "key"], "left_semi")
-        deeper += 3
-        rest = settle(finer_members(texts.join(small(settle(many.select("doc_id", "label").distinct())), "doc_id"), k, deeper))
-    label = joined(label, links.unionByName(compared(left, texts, at_least, at_once)))
+    rest = members(label, sketches)
+    strange = rest.join(mixed(rest), ["band", "key"]).where("label <> lead_label and label <> last_label or doc_id = last and label <> lead_label")
+    pairs = strange.select(F.explode(F.array(F.struct(F.col("lead").alias("a"), F.col("doc_id").alias("b")), F.struct(F.col("doc_id").alias("a"), F.col("last").alias("b")))).alias("p")).select("p.*").where("a <> b").distinct()
+    tried = settle(verified(pairs, texts, at_least))
+    label = joined(label, tried.where("linked").select("a", "b"))
+    # whatever two classes still meet in a bucket, every pair of theirs
+    rest = members(label, sketches)
+    rest = settle(rest.join(crowded_rest(rest).select("band", "key"), ["band", "key"], "left_semi"))
+    links = compared(rest, tried, texts, at_least, at_once)
+    if not crowded_rest(rest).where(F.col("n") > at_once).isEmpty():
+        links = links.unionByName(compared_in_blocks(rest, reps, texts, at_least, at_once, block))
+    label = joined(label, links)
     # equal texts share the class of their representative; a class is named by its smallest id
     keyed = rows.select("doc_id", "same").distinct().join(texts_of, "same", "left").select("doc_id", "same", F.coalesce("rep", "doc_id").alias("class_id"))
     return relabel(keyed, "class_id", label).select("doc_id", "same", "class_id")

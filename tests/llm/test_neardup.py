@@ -60,6 +60,25 @@ def test_classes_equal_brute_force(spark, prose):
     assert out == {i: root(i) for i in range(len(texts))}
 
 
+def chained(prose):
+    """Four texts of which only neighbours are alike."""
+    words = prose(70, 100).split()
+    fresh = lambda lo, n: [f"z{lo + i}" for i in range(n)]
+    return [" ".join(fresh(0, 12 * i) + words[12 * i :]) for i in range(4)]
+
+
+def test_members_linked_only_in_the_middle_of_a_bucket_come_together(spark, prose):
+    texts = chained(prose)
+    assert [alike(a, b) for a, b in combinations(texts, 2)] == [True, False, False, True, False, True]
+    sketched, N.sketches_of = N.sketches_of, lambda docs, *more: docs.selectExpr("doc_id", "sha2(cast(text as binary), 256) as same", "array(7L, 7L) as sigs")  # one bucket
+    try:
+        for at_once in (2, 32):
+            rows = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
+            assert {r.class_id for r in N.near_duplicates(rows, sketches=2, at_once=at_once, block=2).collect()} == {1}, at_once
+    finally:
+        N.sketches_of = sketched
+
+
 def test_query_and_one_of_each(spark, put, prose):
     base = prose(1, 200)
     rows = [(5, base, "x", "y", 1), (9, edited(base, 1, 3), "x", "y", 1), (7, base, "x", "y", 1), (2, prose(2, 100), "x", "y", 1), (5, base, "x", "y", 1), (3, None, None, None, None), (None, "no id", "x", "y", 1)]
