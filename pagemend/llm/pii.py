@@ -77,8 +77,8 @@ GENERATORS = (
     ("phone", re.compile(r"[0-9]{3}"), re.compile(r"(?<![0-9.+-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9]|[.-][0-9])")),
     ("account", re.compile(r"[0-9]{2}"), re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b")),
     ("identity", re.compile(r"[0-9]-[0-9]"), re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
-    ("secret", re.compile(r"[:=]"), re.compile(r"""[:=]\s{0,2}["']?([A-Za-z0-9_+/=.-]{12,200})""")),
-    ("secret", re.compile(r"[0-9]"), re.compile(r"(?<![A-Za-z0-9])([A-Fa-f0-9]{32,128})(?![A-Za-z0-9])")),
+    ("secret", re.compile(r"[:=]"), re.compile(r"""[:=]\s{0,2}["']?([A-Za-z0-9_+/=.-]{12,}+)""")),
+    ("secret", re.compile(r"[0-9]"), re.compile(r"(?<![A-Za-z0-9])([A-Fa-f0-9]{32,}+)(?![A-Za-z0-9])")),
 )
 _NAMED = re.compile(r"[A-Za-z_]{3,24}\s{0,2}$")
 # Words near a span that speak for (first) or against (last) personal data.
@@ -260,6 +260,15 @@ def generated_cases(n: int = 2400, seed: int = 11) -> list[tuple[str, str, int,
         left = " ".join(word() for _ in range(r.randint(0, 6))) + " " + lead + ("" if kind == "secret" else " ")
         text = left + span + r.choice((" ", ". ", ", ", '" ')) + " ".join(word() for _ in range(r.randint(0, 6)))
         cases.append((text, kind, len(left), len(left) + len(span), int(true)))
+    for _ in range(n // 20):  # signed tokens and keys of several hundred characters, and chains of words as long
+        true = r.random() < 0.5
+        cue, against, length = r.choice(CUES["secret"]), r.choice(AGAINST), r.randint(130, 1000)
+        if true:
+            span, lead = r.choice((hexed(length), mixed(length), f"{mixed(36)}.{mixed(length)}.{mixed(43)}")), r.choice((f'{cue} = "', f"{cue}=", f"{cue}: ", f"{cue} = "))
+        else:
+            span, lead = r.choice(((hexed(length), against + " "), (".".join(word() for _ in range(length // 5)), word() + "="), (mixed(length), against + ": ")))
+        left = " ".join(word() for _ in range(r.randint(0, 6))) + " " + lead
+        cases.append((left + span + r.choice((" ", ", ", '" ')) + " ".join(word() for _ in range(r.randint(0, 6))), "secret", len(left), len(left) + len(span), int(true)))
     return cases
 
 

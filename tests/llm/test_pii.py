@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -81,3 +82,13 @@ def test_query_and_redaction(spark, put):
     assert clean[0].text is None and clean[1].text == "" and clean[2].text == TEXTS[2]
     assert clean[3].text == "mail [EMAIL], or x@y" and clean[3].spans == "x" and P.redact(docs).columns == docs.columns
     assert P.op8_pii(spark, put(documents=([], DDL))).count() == 0
+
+
+def test_long_secrets_are_taken_whole():
+    r, model = random.Random(3), P.chooser()
+    made = lambda n, chars: "".join(r.choice(chars) for _ in range(n))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for secret in (*(made(n, letters) for n in (201, 400, 3000)), *(made(n, "0123456789abcdef") for n in (129, 256, 1000)), f"{made(36, letters)}.{made(500, letters)}.{made(43, letters)}"):
+        assert P.redact_text(f'set token = "{secret}" and go on', model) == 'set token = "[SECRET]" and go on', secret
+    bare = made(300, "0123456789abcdef")
+    assert ("secret", 4, 304) in P.propose(f"key {bare} end")
