@@ -2,7 +2,8 @@
 
 The standard-library parser's events are cut into lines at block elements.  Each line has a text-to-tag ratio; the ratios are
 smoothed with a Gaussian and split into two clusters by a threshold, and the dense cluster's lines vote for the region of the
-page that holds the article.  All lines of that region come out, short ones too, except those inside elements that are never
+page that holds the article.  All lines of that region come out, short ones too, and where no article element names it also the
+blocks beside it and around it that are mostly dense text or headings, except those inside elements that are never
 article text (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments).
 
 A null or empty page, and a page without text, gives an empty string.  Unclosed and misnested elements are tolerated: a block
@@ -30,6 +31,7 @@ BLOCKS = frozenset("address article aside blockquote body center dd details dial
 NEVER = frozenset("head script style noscript template svg math iframe object nav header footer aside form button select textarea input option label menu dialog canvas audio video".split())
 REGIONS = frozenset("body div section article main td table tbody tr html center".split())
 ARTICLE = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Names that sites give to parts that are no article, as words of class, id and role.
 ASIDE_WORDS = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead topbar footer bottombar sidebar aside complementary ad ads advert adverts advertisement advertising banner contentinfo sponsor sponsored "
@@ -68,29 +70,29 @@ def is_aside(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
 
 
 class Region:
-    """An open or closed container; ``mass`` is the dense text under it."""
+    """An open or closed container; ``mass`` is the dense text under it, ``good`` that of dense lines and headings by themselves, of ``size``."""
 
-    __slots__ = ("tag", "parent", "depth", "article", "mass")
+    __slots__ = ("tag", "parent", "depth", "article", "mass", "good", "size")
 
     def __init__(self, tag, parent, article):
-        self.tag, self.parent, self.article, self.mass = tag, parent, article, 0
+        self.tag, self.parent, self.article, self.mass, self.good, self.size = tag, parent, article, 0, 0, 0
         self.depth = parent.depth + 1 if parent else 0
 
 
 class Lines(HTMLParser):
-    """Collects (region, text, tags) lines outside of never-article elements."""
+    """Collects (region, text, tags, heading) lines outside of never-article elements."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Region("", None, False)
         self.open: list[tuple[str, Region, bool]] = []
         self.region, self.hidden, self.buffer, self.tags = self.root, 0, [], 0
-        self.lines: list[tuple[Region, str, int]] = []
+        self.lines: list[tuple[Region, str, int, bool]] = []
 
     def cut(self):
         if self.buffer:
             if text := _SPACE.sub(" ", "".join(self.buffer)).strip():
-                self.lines.append((self.region, text, self.tags))
+                self.lines.append((self.region, text, self.tags, any(x[0] in HEADINGS for x in self.open)))
                 self.tags = 0
             self.buffer = []
 
@@ -195,13 +197,18 @@ def main_text(html: str | None) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    ratios = np.array([len(text) / max(1, tags) for _, text, tags in lines])
+    ratios = np.array([len(text) / max(1, tags) for _, text, tags, _ in lines])
+    chosen_lines = dense(ratios)
+    level = np.log1p(smooth(ratios))[chosen_lines].min()
+    good_lines = [heading or bool(chosen and own >= level) for (*_, heading), chosen, own in zip(lines, chosen_lines, np.log1p(ratios), strict=True)]
     children: dict[int, list[Region]] = {}
     seen = set()
-    for (region, text, _), chosen in zip(lines, dense(ratios), strict=True):
+    for (region, text, _, _), chosen, good in zip(lines, chosen_lines, good_lines, strict=True):
         at = region
         while at is not None:
             at.mass += len(text) * bool(chosen)
+            at.good += len(text) * good
+            at.size += len(text)
             if at.parent is not None and id(at) not in seen:
                 seen.add(id(at))
                 children.setdefault(id(at.parent), []).append(at)
@@ -214,7 +221,7 @@ def main_text(html: str | None) -> str:
         if articles and sum(x.mass for x in articles) >= 0.5 * total:  # one article, or an unbroken run of them
             best = articles[0] if len(articles) == 1 else at
             only = {id(x) for x in articles}
-            return "\n\n".join(text for region, text, _ in lines if _under(region, only))
+            return "\n\n".join(text for region, text, *_ in lines if _under(region, only))
         into = max(below, key=lambda x: x.mass, default=None)
         if into is None or into.mass < SHARE * total:
             break
@@ -222,7 +229,22 @@ def main_text(html: str | None) -> str:
     # a chain of single containers may hold nothing more than a paragraph: without an article element keep the widest region with the same text
     while best.parent is not None and best.parent.mass == best.mass and best.parent.tag not in ("body", "html", ""):
         best = best.parent
-    return "\n\n".join(text for region, text, _ in lines if _under(region, {id(best)}))
+    around, at = set(), best.parent
+    while at is not None:
+        around.add(id(at))
+        at = at.parent
+    return "\n\n".join(text for (region, text, *_), good in zip(lines, good_lines, strict=True) if _under(region, {id(best)}) or _beside(region, around, good))
+
+
+def _beside(region: Region, around: set[int], good: bool) -> bool:
+    """Whether a line outside the article's region belongs to it: good itself right in a container around that, else in a mostly good block."""
+    if id(region) in around:
+        return good
+    while id(region) not in around:
+        if 2 * region.good >= region.size:
+            return True
+        region = region.parent
+    return False
 
 
 def _under(region: Region | None, regions: set[int]) -> bool:

@@ -35,6 +35,15 @@ def test_region_is_found_without_an_article_element():
     assert out.split("\n\n") == ["Head", *[f"{LONG * 2}{i}".strip() for i in range(6)], "Short."]
 
 
+def test_blocks_beside_the_region_are_kept_without_an_article_element():
+    body = lambda n, at=0: "".join(f"<p>{LONG * 2}{i}</p>" for i in range(at, at + n))
+    want = lambda n, at=0: [f"{LONG * 2}{i}" for i in range(at, at + n)]
+    side = "<div><ul>" + "".join(f'<li><a href="/{i}">link {i}</a></li>' for i in range(20)) + "</ul></div>"
+    assert H.main_text(f"<body><h1>T</h1><div>{body(17)}</div><div>{body(3, 17)}</div></body>").split("\n\n") == ["T", *want(20)]
+    assert H.main_text(page(f"<h1>T</h1><div>{body(6)}</div>", NAV, FOOT)).split("\n\n") == ["T", *want(6)]
+    assert H.main_text(page(f"<div><h1>T</h1></div><div>{body(17)}</div><div>{body(3, 17)}</div>", NAV + side, side + FOOT)).split("\n\n") == ["T", *want(20)]
+
+
 def test_nothing_and_junk():
     assert [H.main_text(x) for x in (None, "", "   ", "<", "<p", "</div></p>", "<script>x")] == ["", "", "", "<", "<p", "", ""]
     assert H.main_text("just words\n and more") == "just words and more"
