@@ -20,8 +20,6 @@ for byte.  Texts of fewer than ``K`` words are one k-mer.  Rows with equal id an
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -320,14 +318,6 @@ def compared_in_blocks(rest: DataFrame, reps: DataFrame, texts: DataFrame, at_le
     return settle(held.groupBy("band", "key", "p", "q").applyInArrow(run, "a long, b long").distinct())
 
 
-def finer_members(texts: DataFrame, k: int, picks: int) -> DataFrame:
-    """Members of buckets by samples of ``picks`` k-mers, in so many hash orders that a pair of k-mer similarity 0.8 meets in one
-    (but for one in a hundred thousand)."""
-    sketches = math.ceil(11.5 / 0.8**picks)
-    kept = map_rows(texts, ["doc_id", "label", "text"], "doc_id long, label long, sigs array<long>", lambda: lambda key, label, text: (key, label, sketch(text, k, sketches, picks)))
-    return kept.select("doc_id", "label", F.posexplode("sigs").alias("band", "key"))
-
-
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, sketches: int = SKETCHES, picks: int = PICKS, at_least: float = SIMILARITY, at_once: int = AT_ONCE, block: int = BLOCK
 ) -> DataFrame:

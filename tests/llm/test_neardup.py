@@ -79,6 +79,16 @@ def test_members_linked_only_in_the_middle_of_a_bucket_come_together(spark, pros
         N.sketches_of = sketched
 
 
+def test_pairs_of_a_large_bucket_are_found_as_in_a_small_one(prose):
+    texts = [prose(800 + i, 100, 100_000) for i in range(150)]
+    texts += [" ".join([*t.split()[:40], *(f"new{i}x{j}" for j in range(19)), *t.split()[59:]]) for i, t in enumerate(texts)]  # one replaced block each
+    assert all(alike(texts[i], texts[150 + i]) for i in range(150))
+    ids = list(range(300))
+    want = [(i, 150 + i) for i in range(150)]
+    assert N.links_of_blocks(ids, ids, [0] * 300, [[1]] * 300, texts, 0, 0.8) == want
+    assert N.links_of_blocks(ids, ids, [0] * 150 + [1] * 150, [[1]] * 300, texts, 0, 0.8) == want
+
+
 def test_query_and_one_of_each(spark, put, prose):
     base = prose(1, 200)
     rows = [(5, base, "x", "y", 1), (9, edited(base, 1, 3), "x", "y", 1), (7, base, "x", "y", 1), (2, prose(2, 100), "x", "y", 1), (5, base, "x", "y", 1), (3, None, None, None, None), (None, "no id", "x", "y", 1)]
