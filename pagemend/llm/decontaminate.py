@@ -6,7 +6,7 @@ missed.  Test-side fingerprints are joined to the training side's; each hit is t
 word by word, so no hash collision counts.  Items of fewer words than a window are one window of their own length, hashed whole.
 
 A training text is identified by (id, hash of the text): repeated rows give one result row, null ids are kept.  Null and empty
-texts have no words.  Item ids that are null are left out of item lists.  Overlapping hits count each word once.
+texts have no words.  Items with a null id count as hits and are left out of item lists.  Overlapping hits count each word once.
 
 The only things broadcast are benchmark windows and ids of hit documents, each counted first; above ``BROADCAST_ROWS`` the joins shuffle.
 """
@@ -62,7 +62,7 @@ def marks(words: Column, length: int, window: int, k: int) -> Column:
 
 def item_windows(benchmark: DataFrame, id_col: str, text_col: str, window: int, k: int) -> DataFrame:
     """(item_id, length, mark, said): every window of every item, ``said`` being its words joined by a space."""
-    items = benchmark.select(F.col(id_col).cast("string").alias("item_id"), words_of(F.col(text_col)).alias("w")).where("item_id is not null and size(w) > 0")
+    items = benchmark.select(F.col(id_col).cast("string").alias("item_id"), words_of(F.col(text_col)).alias("w")).where("size(w) > 0")
     items = items.withColumn("length", F.least(F.size("w"), F.lit(window)))
 
     def windows(w, length):

@@ -76,3 +76,10 @@ def test_winnowing_selects_the_least_hash_of_every_window(spark, prose):
     w = words(prose(5, 60))
     row = spark.createDataFrame([(w,)], "w array<string>").select(D.winnow(D.F.col("w")).alias("m"), D.grams(D.F.col("w"), 5).alias("g")).first()
     assert list(row.m) == [min(row.g[i : i + 6]) for i in range(len(w) - 9)]
+
+
+def test_items_without_an_id_are_hits(spark, prose):
+    text = prose(100, 12)
+    docs = spark.createDataFrame([(1, text + " more"), (2, prose(5, 30))], "doc_id long, text string")
+    out = {r.doc_id: (r.n_hit, list(r["items"])) for r in D.contamination(docs, spark.createDataFrame([(None, text)], "item_id long, text string")).collect()}
+    assert out == {1: (12, []), 2: (0, [])}
