@@ -8,38 +8,41 @@ Candidates are compared by a banded alignment of their words: a longest common s
 threshold must stay in, similarity ``2 * common / (words a + words b)``.  Pairs of ``SIMILARITY`` or more are links; documents
 joined by links are a class, named by its smallest id.
 
-Equal texts are collapsed first.  In a few of the samples each document is compared with the smallest leader of its buckets (a
-bucket's leader is its smallest id), and then, in the buckets of all samples that hold more than one class, with the first and the
-last member: so classes of copies come together cheaply.  Then every pair of a bucket that is still of two classes is compared.
-Buckets of more than ``AT_ONCE`` documents are not expanded into pairs of rows: blocks of them meet block by block, where bounds
-that any pair at the threshold must reach rule most pairs out, the others are aligned, and pairs joined meanwhile are left out.
-
-Null texts are each alone (rows of one id and null text are one row).  Texts without a word are only equal to themselves, byte
-for byte.  Texts of fewer than ``K`` words are one k-mer.  Rows with equal id and text count once.
+``K``, ``PICKS`` and ``SKETCHES`` are set for the threshold: at an alignment of 0.8 by words replaced all over a text the labelled
+word pairs agree to 0.47, and such a pair meets in a sample with probability ``1 - (1 - 0.47 ** 3) ** 40``, 0.98 and more.
+
+Equal texts are collapsed first; a node is a distinct text.  In a few of the samples each text is compared with the leader of its
+buckets, and then, in all buckets that hold more than one class, with the first and the last member: so classes of copies come
+together cheaply.  Then every pair of a bucket that is still of two classes is compared, in buckets of any size: those of more than
+``AT_ONCE`` texts are not expanded into pairs of rows, but blocks of them meet block by block, where bounds that any pair at the
+threshold must reach rule most pairs out, the others are aligned, and pairs joined meanwhile are left out.
+
+A row of the result is a distinct (id, text).  Ids are of any type that can be ordered; null ids are ids like others and come last.
+One id with two texts is two rows.  Null texts are each alone.  Texts without a word are only equal to themselves, byte for byte.
+Texts of fewer than ``K`` words are one k-mer.  Empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FOLD, map_rows, settle, small, table
+from .common import FOLD, fold_words, map_rows, settle, small, table
 
 #: Words of a k-mer.
-K = 5
+K = 2
 #: Hash orders, and labelled k-mers that each samples.
-SKETCHES, PICKS = 32, 4
+SKETCHES, PICKS = 40, 3
 #: Members of a bucket whose pairs are written out as rows; larger buckets are compared in blocks.
 AT_ONCE = 32
-#: Documents of a block.
-BLOCK = 512
+#: Documents of a block, and bytes of their texts, about.
+BLOCK, BLOCK_BYTES = 512, 16 << 20
 #: Lowest similarity of a link.
 SIMILARITY = 0.8
 
 _BASE = np.uint64(0x100000001B3)
 _UNBASE = np.uint64(pow(0x100000001B3, -1, 1 << 64))
-_SEEDS = (np.arange(1, 1 << 14, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(0xD6E8FEB86659FD93)
 _POWERS: dict = {}
 
 
@@ -94,6 +97,11 @@ def labelled(kmers: np.ndarray) -> np.ndarray:
     return mix(kmers + mix(label * np.uint64(0xBF58476D1CE4E5B9)) * (label > 0))
 
 
+def seeds_of(lo: int, hi: int) -> np.ndarray:
+    """The seeds of hash orders ``lo`` to ``hi``, exclusive."""
+    return (np.arange(lo + 1, hi + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(0xD6E8FEB86659FD93)
+
+
 def sketch(text: str | None, k: int = K, sketches: int = SKETCHES, picks: int = PICKS) -> list[int]:
     """One signed 64-bit signature for each hash order; empty without words."""
     kmers = kmer_hashes(word_hashes(text), k)
@@ -103,7 +111,7 @@ def sketch(text: str | None, k: int = K, sketches: int = SKETCHES, picks: int =
     out = np.empty(sketches, np.uint64)
     at_once = max(1, (1 << 18) // len(kmers))  # hash orders computed together
     for lo in range(0, sketches, at_once):
-        seeds = _SEEDS[lo : min(lo + at_once, sketches), None]
+        seeds = seeds_of(lo, min(lo + at_once, sketches))[:, None]
         ranks = (kmers ^ seeds) * np.uint64(0xBF58476D1CE4E5B9)
         ranks ^= ranks >> np.uint64(29)
         ranks *= np.uint64(0x94D049BB133111EB)
@@ -166,18 +174,23 @@ def similar(a: str, b: str, at_least: float = SIMILARITY) -> bool:
 
 
 def sketches_of(docs: DataFrame, id_col: str, text_col: str, k: int, sketches: int, picks: int) -> DataFrame:
-    """(doc_id, same: hash of the text, null for null text, sigs)."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.when(F.col(text_col).isNotNull(), F.sha2(F.col(text_col).cast("binary"), 256)).alias("same"), F.col(text_col).alias("text"))
+    """(id, same: hash of the text, null for null text, n_words, size in bytes, sigs)."""
+    rows = docs.select(F.col(id_col).alias("id"), F.when(F.col(text_col).isNotNull(), F.sha2(F.col(text_col).cast("binary"), 256)).alias("same"), F.octet_length(text_col).alias("size"), F.col(text_col).alias("text"))
 
     def setup():
-        return lambda key, same, text: (key, same, sketch(text, k, sketches, picks))
+        return lambda key, same, size, text: (key, same, len(fold_words(text)), size, sketch(text, k, sketches, picks))
+
+    return map_rows(rows, ["id", "same", "size", "text"], f"id {dict(rows.dtypes)['id']}, same string, n_words int, size int, sigs array<long>", setup)
+
 
-    return map_rows(rows, ["doc_id", "same", "text"], "doc_id long, same string, sigs array<long>", setup)
+def reaches(words_a: Column, words_b: Column, at_least: float) -> Column:
+    """Whether texts of these lengths can reach a similarity at all."""
+    return 2 * F.least(words_a, words_b) >= at_least * (words_a + words_b)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, at_least: float) -> DataFrame:
-    """(a, b, linked) for pairs of representatives, by alignment of their texts."""
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    """(a, b, linked) for pairs of nodes, by alignment of their texts."""
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     return map_rows(both, ["a", "b", "text_a", "text_b"], "a long, b long, linked boolean", lambda: lambda a, b, x, y: (a, b, similar(x, y, at_least)))
 
 
@@ -228,23 +241,20 @@ def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def mixed(members: DataFrame) -> DataFrame:
-    """Buckets (band, key) that hold documents of two and more classes, with their first and last member and those members' labels."""
-    found = members.groupBy("band", "key").agg(
-        F.min("doc_id").alias("lead"), F.max("doc_id").alias("last"), F.min_by("label", "doc_id").alias("lead_label"), F.max_by("label", "doc_id").alias("last_label"), F.min("label").alias("lo"), F.max("label").alias("hi")
+    """Buckets that hold nodes of two and more classes: their size, their first and last member and those members' labels."""
+    found = members.groupBy("sig").agg(
+        F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("node").alias("lead"), F.max("node").alias("last"), F.min_by("label", "node").alias("lead_label"), F.max_by("label", "node").alias("last_label"),
+        F.min("label").alias("lo"), F.max("label").alias("hi"),
     )
     return found.where("lo <> hi").drop("lo", "hi")
 
 
-def crowded_rest(left: DataFrame) -> DataFrame:
-    """Buckets with members of several classes, and how many."""
-    return left.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-
-
-def compared(rest: DataFrame, tried: DataFrame, texts: DataFrame, at_least: float, at_once: int) -> DataFrame:
-    """Links found by comparing each with each in buckets of at most ``at_once`` members, but for the pairs ``tried``."""
-    few = rest.join(crowded_rest(rest).where(F.col("n") <= at_once).select("band", "key"), ["band", "key"], "left_semi")
-    twos = few.select("band", "key", F.col("doc_id").alias("a"), F.col("label").alias("x")).join(few.select("band", "key", F.col("doc_id").alias("b"), F.col("label").alias("y")), ["band", "key"])
-    pairs = twos.where("a < b and x <> y").select("a", "b").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
+def compared(rest: DataFrame, buckets: DataFrame, tried: DataFrame, texts: DataFrame, at_least: float) -> DataFrame:
+    """Links found by comparing each with each in these buckets, but for the pairs ``tried``."""
+    few = rest.join(buckets.select("sig"), "sig", "left_semi")
+    side = lambda node, label, words: few.select("sig", F.col("node").alias(node), F.col("label").alias(label), F.col("n_words").alias(words))
+    twos = side("a", "x", "wa").join(side("b", "y", "wb"), "sig").where((F.col("a") < F.col("b")) & (F.col("x") != F.col("y")) & reaches(F.col("wa"), F.col("wb"), at_least))
+    pairs = twos.select("a", "b").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
     return settle(verified(pairs, texts, at_least).where("linked").select("a", "b"))
 
 
@@ -299,12 +309,12 @@ def links_of_blocks(ids: list, labels: list, blocks: list, sigs: list, texts: li
     return links
 
 
-def compared_in_blocks(rest: DataFrame, reps: DataFrame, texts: DataFrame, at_least: float, at_once: int, block: int) -> DataFrame:
-    """Links found by comparing each with each in buckets of more than ``at_once`` members."""
-    many = crowded_rest(rest).where(F.col("n") > at_once).select("band", "key", F.ceil(F.col("n") / block).cast("int").alias("parts"))
-    held = rest.join(many, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("band", "key", "doc_id", "label", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
-    held = held.join(texts.join(reps.select("doc_id", "sigs"), "doc_id"), "doc_id")
+def compared_in_blocks(rest: DataFrame, buckets: DataFrame, texts: DataFrame, at_least: float, block: int) -> DataFrame:
+    """Links found by comparing each with each in these buckets, block by block."""
+    many = buckets.select("sig", F.ceil(F.greatest(F.col("n") / block, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("parts"))
+    held = rest.join(many, "sig").withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("sig", "band", "node", "label", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+    held = held.join(texts, "node")
 
     def run(rows):
         import pyarrow as pa
@@ -312,61 +322,70 @@ def compared_in_blocks(rest: DataFrame, reps: DataFrame, texts: DataFrame, at_le
         column = lambda name: rows[name].to_pylist()
         links = []
         if rows["p"][0].as_py() == rows["q"][0].as_py() or len(set(column("block"))) > 1:  # not a block that has no partner
-            links = links_of_blocks(*(column(x) for x in ("doc_id", "label", "block", "sigs", "text")), rows["band"][0].as_py(), at_least)
+            links = links_of_blocks(*(column(x) for x in ("node", "label", "block", "sigs", "text")), rows["band"][0].as_py(), at_least)
         return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
 
-    return settle(held.groupBy("band", "key", "p", "q").applyInArrow(run, "a long, b long").distinct())
+    return settle(held.groupBy("sig", "p", "q").applyInArrow(run, "a long, b long").distinct())
 
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, sketches: int = SKETCHES, picks: int = PICKS, at_least: float = SIMILARITY, at_once: int = AT_ONCE, block: int = BLOCK
 ) -> DataFrame:
-    """``(doc_id, same, class_id)``: a row for each distinct (id, text); ``same`` is the SHA-256 of the text."""
-    rows = settle(sketches_of(docs, id_col, text_col, k, sketches, picks).where("doc_id is not null"))
-    texts_of = rows.where("same is not null").groupBy("same").agg(F.min("doc_id").alias("rep"))
-    reps = rows.where("size(sigs) > 0").join(texts_of.select("same", F.col("rep").alias("doc_id")), ["same", "doc_id"], "left_semi").dropDuplicates(["same"])
-    reps = settle(reps.select("doc_id", "same", "sigs"))
-
-    def members(labels: DataFrame | None, bands: int) -> DataFrame:
-        held = reps.withColumn("label", F.col("doc_id")) if labels is None else reps.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-        return held.select("doc_id", "label", F.posexplode(F.slice("sigs", 1, bands)).alias("band", "key"))
-
-    # texts of the documents that share any bucket
-    crowded = members(None, sketches).groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
-    involved = members(None, sketches).join(crowded, ["band", "key"], "left_semi").select("doc_id").distinct()
-    involved = small(settle(reps.select("doc_id", "same").join(involved, "doc_id", "left_semi")))
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.sha2(F.col(text_col).cast("binary"), 256).alias("same"), F.col(text_col).alias("text"))
-    texts = settle(texts.join(involved, ["doc_id", "same"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text"))
-    # in a few bands, each document with the smallest leader of its buckets: copies come together by one comparison a document
-    few_bands = members(None, max(1, sketches // 4))
-    first = few_bands.join(mixed(few_bands).select("band", "key", "lead"), ["band", "key"]).where("doc_id <> lead").groupBy("doc_id").agg(F.min("lead").alias("a"))
-    links = settle(verified(first.select("a", F.col("doc_id").alias("b")), texts, at_least)).where("linked").select("a", "b")
+    """``(id_col, same, copies, class_id, class_same)``: a row for each distinct (id, text), of ``copies`` rows; ``same`` is the SHA-256 of the text.
+
+    ``class_id`` and ``class_same`` are those of the class's first row, by id and then by ``same``, and so tell classes apart even
+    where one id has several texts.
+    """
+    rows = settle(sketches_of(docs, id_col, text_col, k, sketches, picks))
+    # a node is a distinct text; its number is fixed by being written
+    nodes = settle(rows.where("same is not null").groupBy("same").agg(F.first("n_words").alias("n_words"), F.first("size").alias("size"), F.first("sigs").alias("sigs")).withColumn("node", F.monotonically_increasing_id()))
+    every = nodes.select("node", "n_words", "size", F.posexplode("sigs").alias("band", "sig"))
+    crowded = every.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1")
+    members = settle(every.join(crowded.select("sig"), "sig", "left_semi"))  # whoever shares a bucket with another text
+    involved = small(settle(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "same", "sigs")))
+    texts = docs.select(F.sha2(F.col(text_col).cast("binary"), 256).alias("same"), F.col(text_col).alias("text")).join(involved, "same")
+    texts = settle(texts.dropDuplicates(["node"]).select("node", "sigs", "text"))
+
+    def labelled_by(labels: DataFrame) -> DataFrame:
+        return relabel(members.withColumn("label", F.col("node")), "label", labels)
+
+    # in a few bands, each text with the smallest leader of its buckets: copies come together by one comparison a text
+    start = members.where(F.col("band") < max(1, sketches // 4)).withColumn("label", F.col("node"))
+    first = start.join(mixed(start).select("sig", "lead"), "sig").where("node <> lead").groupBy("node").agg(F.min("lead").alias("a"))
+    links = settle(verified(first.select("a", F.col("node").alias("b")), texts, at_least)).where("linked").select("a", "b")
     label = classes_of(links)
     # in all bands, what is not yet of one class with the bucket's first or last member
-    rest = members(label, sketches)
-    strange = rest.join(mixed(rest), ["band", "key"]).where("label <> lead_label and label <> last_label or doc_id = last and label <> lead_label")
-    pairs = strange.select(F.explode(F.array(F.struct(F.col("lead").alias("a"), F.col("doc_id").alias("b")), F.struct(F.col("doc_id").alias("a"), F.col("last").alias("b")))).alias("p")).select("p.*").where("a <> b").distinct()
+    rest = settle(labelled_by(label))
+    strange = rest.join(mixed(rest), "sig").where("label <> lead_label and label <> last_label or node = last and label <> lead_label")
+    pairs = strange.select(F.explode(F.array(F.struct(F.col("lead").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("last").alias("b")))).alias("p")).select("p.*").where("a <> b").distinct()
     tried = settle(verified(pairs, texts, at_least))
     label = joined(label, tried.where("linked").select("a", "b"))
     # whatever two classes still meet in a bucket, every pair of theirs
-    rest = members(label, sketches)
-    rest = settle(rest.join(crowded_rest(rest).select("band", "key"), ["band", "key"], "left_semi"))
-    links = compared(rest, tried, texts, at_least, at_once)
-    if not crowded_rest(rest).where(F.col("n") > at_once).isEmpty():
-        links = links.unionByName(compared_in_blocks(rest, reps, texts, at_least, at_once, block))
+    rest = labelled_by(label)
+    buckets = settle(mixed(rest).select("sig", "n", "bytes"))
+    rest = settle(rest.join(buckets.select("sig"), "sig", "left_semi"))
+    large = (F.col("n") > at_once) | (F.col("bytes") > BLOCK_BYTES)
+    links = compared(rest, buckets.where(~large), tried, texts, at_least)
+    if not buckets.where(large).isEmpty():
+        links = links.unionByName(compared_in_blocks(rest, buckets.where(large), texts, at_least, block))
     label = joined(label, links)
-    # equal texts share the class of their representative; a class is named by its smallest id
-    keyed = rows.select("doc_id", "same").distinct().join(texts_of, "same", "left").select("doc_id", "same", F.coalesce("rep", "doc_id").alias("class_id"))
-    return relabel(keyed, "class_id", label).select("doc_id", "same", "class_id")
-
-
-def keep_one(docs: DataFrame, at_least: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one row of each class, all columns kept: that of the smallest id.  Rows with a null id stay."""
-    found = near_duplicates(docs, at_least=at_least)
-    kept = settle(found.where("doc_id = class_id").groupBy(F.col("class_id").alias("__id")).agg(F.min("same").alias("__same")))
-    same = F.sha2(docs["text"].cast("binary"), 256)
-    chosen = docs.join(kept, (docs["doc_id"] == kept["__id"]) & same.eqNullSafe(kept["__same"]), "left_semi").dropDuplicates(["doc_id"])
-    return chosen.unionByName(docs.where("doc_id is null"))
+    # rows by the class of their text
+    keyed = rows.groupBy("id", "same").agg(F.count("*").alias("copies"))
+    told = relabel(keyed.where("same is not null").join(nodes.select("same", F.col("node").alias("label")), "same"), "label", label)
+    named = told.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "same")).alias("head"))
+    out = told.join(named, "label").select("id", "same", "copies", F.col("head.id").alias("class_id"), F.col("head.same").alias("class_same"))
+    alone = keyed.where("same is null").select("id", "same", "copies", F.col("id").alias("class_id"), F.col("same").alias("class_same"))
+    return out.unionByName(alone).withColumnRenamed("id", id_col)
+
+
+def keep_one(docs: DataFrame, at_least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each class, all columns kept: that of the smallest id.  Rows of equal (id, text) are one."""
+    found = near_duplicates(docs, id_col, text_col, at_least=at_least)
+    head = F.col(id_col).eqNullSafe(F.col("class_id")) & F.col("same").eqNullSafe(F.col("class_same"))
+    kept = settle(found.where(head).select(F.col(id_col).alias("__id"), F.col("same").alias("__same"), "copies"))
+    marked = docs.withColumn("__of", F.sha2(F.col(text_col).cast("binary"), 256))
+    among = lambda some: marked.join(some.select("__id", "__same"), F.col(id_col).eqNullSafe(F.col("__id")) & F.col("__of").eqNullSafe(F.col("__same")), "left_semi")
+    return among(kept.where("copies = 1")).unionByName(among(small(kept.where("copies > 1"))).dropDuplicates([id_col, "__of"])).drop("__of")
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

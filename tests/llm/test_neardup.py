@@ -5,6 +5,7 @@ from itertools import combinations
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from pagemend.llm import neardup as N
 from pagemend.llm.common import fold_words
@@ -70,7 +71,7 @@ def chained(prose):
 def test_members_linked_only_in_the_middle_of_a_bucket_come_together(spark, prose):
     texts = chained(prose)
     assert [alike(a, b) for a, b in combinations(texts, 2)] == [True, False, False, True, False, True]
-    sketched, N.sketches_of = N.sketches_of, lambda docs, *more: docs.selectExpr("doc_id", "sha2(cast(text as binary), 256) as same", "array(7L, 7L) as sigs")  # one bucket
+    sketched, N.sketches_of = N.sketches_of, lambda docs, *more: docs.selectExpr("doc_id as id", "sha2(cast(text as binary), 256) as same", "100 as n_words", "octet_length(text) as size", "array(7L, 8L) as sigs")  # one bucket
     try:
         for at_once in (2, 32):
             rows = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
@@ -93,7 +94,7 @@ def test_query_and_one_of_each(spark, put, prose):
     base = prose(1, 200)
     rows = [(5, base, "x", "y", 1), (9, edited(base, 1, 3), "x", "y", 1), (7, base, "x", "y", 1), (2, prose(2, 100), "x", "y", 1), (5, base, "x", "y", 1), (3, None, None, None, None), (None, "no id", "x", "y", 1)]
     d = put(documents=(rows, DDL))
-    assert sorted((r.doc_id, r.class_id) for r in N.op10_near_dedup(spark, d).collect()) == [(2, 2), (3, 3), (5, 5), (7, 5), (9, 5)]
+    assert sorted(((r.doc_id, r.class_id) for r in N.op10_near_dedup(spark, d).collect()), key=lambda r: (r[0] is None, r[0])) == [(2, 2), (3, 3), (5, 5), (7, 5), (9, 5)] + [(None, None)]
     docs = spark.read.parquet(f"{d}/documents.parquet")
     kept = N.keep_one(docs)
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["2", "3", "5", "None"] and kept.columns == docs.columns
@@ -101,6 +102,48 @@ def test_query_and_one_of_each(spark, put, prose):
     assert N.op10_near_dedup(spark, d).count() == 0
 
 
+def replaced(text, seed, share):
+    """Words replaced all over a text."""
+    r = random.Random(seed)
+    w = text.split()
+    for at in r.sample(range(len(w)), round(share * len(w))):
+        w[at] = f"new{r.randrange(10**6)}"
+    return " ".join(w)
+
+
+def test_recall_of_scattered_changes(prose):
+    """Of pairs whose alignment reaches the threshold, nearly all share a sample, however short the texts and scattered the changes."""
+    for words in (12, 60, 300):
+        for percent in (2, 5, 8, 10, 12, 15, 18, 20):
+            pairs = [(t, replaced(t, 31 * i + percent, percent / 100)) for i in range(60) for t in [prose(5000 + i, words)]]
+            pairs = [p for p in pairs if alike(*p)]
+            met = sum(bool(set(N.sketch(a)) & set(N.sketch(b))) for a, b in pairs)
+            assert len(pairs) >= 55 and met >= 0.9 * len(pairs), (words, percent, met, len(pairs))
+
+
+def test_recall_from_end_to_end(spark, prose):
+    shares = (0.05, 0.1, 0.12, 0.15, 0.18)
+    rows = [(2 * i + j, t) for i in range(50) for base in [prose(7000 + i, 300)] for j, t in enumerate((base, replaced(base, i, shares[i % 5])))]
+    near = {i for i in range(50) if alike(rows[2 * i][1], rows[2 * i + 1][1])}
+    out = {r.doc_id: r.class_id for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(near) >= 45 and sum(out[2 * i] == out[2 * i + 1] for i in near) >= 0.95 * len(near)
+
+
+def test_one_id_with_two_texts_and_ids_of_other_types(spark, prose):
+    a, z = prose(1, 80), prose(2, 80)
+    rows = [("1", a), ("1", z), ("2", edited(z, 3, 2)), (None, edited(a, 4, 2)), (None, prose(5, 80)), (None, prose(5, 80)), ("3", ""), ("4", ""), ("5", None), ("5", None)]
+    docs = spark.createDataFrame(rows, "name string, body string").withColumns({"same": F.lit(1), "sigs": F.lit("x"), "node": F.lit(2)})
+    out = [(r.name, r.same, r.class_id, r.class_same) for r in N.near_duplicates(docs, "name", "body").collect()]
+    assert len(out) == 8 and len({x[2:] for x in out}) == 5
+    kept = N.keep_one(docs, id_col="name", text_col="body")
+    assert kept.columns == docs.columns
+    assert sorted((r.name or "null", r.body or str(r.body)) for r in kept.collect()) == sorted([("1", a), ("1", z), ("null", rows[4][1]), ("3", ""), ("5", "None")])
+
+
+def test_seeds_go_on(prose):
+    assert len(set(N.sketch(prose(1, 300), sketches=20_000))) == 20_000
+
+
 def test_long_texts_and_a_large_group(spark, prose):
     base = prose(3, 20_000)
     rows = [(0, base), (1, edited(base, 5, 200)), (2, prose(4, 20_000))] + [(10 + i, edited(prose(9, 80), i, 2)) for i in range(150)]
