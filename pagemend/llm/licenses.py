@@ -1,17 +1,19 @@
 """Licence scan: a trained paragraph classifier, confirmed by templates; DataFrame operations only.
 
-A paragraph is a line with a word.  Its features are its distinct word 1- to 3-grams.  For each licence family a sparse logistic
-regression was trained (in this module, from the templates below, their variations and invented other paragraphs; seeded, so the
-model is the same everywhere and needs no corpus).  Weights are rounded to thousandths, so scores are exact whole numbers.  The
-calibrated score at which a paragraph stops being unknown is set on held-out paragraphs.  The best family of a paragraph counts
-only if a template of that family confirms it: enough of the template's word pairs must occur in the paragraph.
+A paragraph is a run of ``1`` to ``WRAP`` neighbouring lines without a blank line between, so that notices broken over lines are seen
+whole.  Its features are its distinct word 1- to 3-grams.  For each licence family a sparse logistic regression was trained (in this
+module, from the templates below, their variations and invented other paragraphs, whose ordinary words speak against a licence;
+seeded, so the model is the same everywhere and needs no corpus).  Weights are rounded to thousandths, so scores are exact whole
+numbers.  Scores are calibrated to probabilities on held-out paragraphs (Platt); below ``UNKNOWN`` a paragraph is of no family.  The
+best family of a paragraph counts only if a template of that family confirms it: enough of the template's word pairs must occur in
+the paragraph.  Of confirmed paragraphs of one family inside each other the innermost counts.
 
 Only paragraphs with a gate word can be a notice: in every template the word pairs without one are too few to confirm it, so no
 paragraph that the model and a template would accept is passed over.  Their test is a plain substring search, so nearly all text
 is read once and costs no more.  The SQL and ``Model.best`` go without it.
 
 Null, empty and word-less texts have no paragraphs and no licence.  A text is identified by (id, hash of the text): repeated rows
-give one result row.
+give one result row.  Null ids are ids like others.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import settle, small, table
 
@@ -57,6 +60,10 @@ FILLER = "the a of and to in is that it for was on are with as his they be at on
 GRAMS = (1, 2, 3)
 #: Share of a template's word pairs that must occur in a paragraph for the template to confirm its family.
 CONFIRM_PERCENT = 60
+#: Lines over which a notice may be broken.
+WRAP = 4
+#: Probability under which a paragraph is of the unknown class.
+UNKNOWN = 0.5
 #: Letters from which on a gate word is searched as a substring.
 LONG = 7
 _BETWEEN = r"[^a-z0-9]+"
@@ -98,25 +105,47 @@ def generated_paragraphs(seed: int = 5) -> list[tuple[str, set[str]]]:
 
 
 class Model:
-    """``weights[family][feature]``, ``bias`` and ``floor`` in thousandths: a paragraph is the family's if bias + weights >= floor."""
+    """``weights[family][feature]``, ``bias`` and ``floor`` in thousandths: a paragraph is the family's if bias + weights >= floor.
 
-    def __init__(self, weights, bias, floor):
-        self.weights, self.bias, self.floor = weights, bias, floor
-        self.gate = [""]  # what a line must hold to be scored here and in the SQL: nothing
+    ``curve[family]`` is the slope and the shift of the calibrated probability of a score.
+    """
+
+    def __init__(self, weights, bias, floor, curve):
+        self.weights, self.bias, self.floor, self.curve = weights, bias, floor, curve
 
     def score(self, family: str, feats: set[str]) -> int:
         own = self.weights[family]
         return self.bias[family] + sum(own.get(f, 0) for f in feats)
 
-    def best(self, line: str) -> tuple[str, int] | None:
+    def probability(self, family: str, feats: set[str]) -> float:
+        slope, shift = self.curve[family]
+        return 1 / (1 + math.exp(-max(-60.0, min(60.0, slope * self.score(family, feats) / 1000 + shift))))
+
+    def best(self, paragraph: str) -> tuple[str, int] | None:
         """The family that is furthest above its floor, ties to the first name; None is the unknown class."""
-        if not any(g in line.lower() for g in self.gate):
-            return None
-        feats = features(tokens(line))
+        feats = features(tokens(paragraph))
         over = sorted((-(s - self.floor[f]), f) for f in self.weights if (s := self.score(f, feats)) >= self.floor[f])
         return (over[0][1], -over[0][0]) if over else None
 
 
+def calibrated(scores: list[float], labels: list[bool], steps: int = 50) -> tuple[float, float]:
+    """Slope and shift of a logistic line through scores, by Newton steps; targets are smoothed by one case of each side (Platt)."""
+    yes, no = sum(labels), len(labels) - sum(labels)
+    target = [(yes + 1) / (yes + 2) if label else 1 / (no + 2) for label in labels]
+    slope, shift = 1.0, math.log((yes + 1) / (no + 1))
+    for _ in range(steps):
+        g1 = g2 = h11 = h12 = h22 = 0.0
+        for s, t in zip(scores, target, strict=True):
+            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, slope * s + shift))))
+            g1, g2, w = g1 + s * (p - t), g2 + p - t, p * (1 - p) + 1e-6
+            h11, h12, h22 = h11 + w * s * s, h12 + w * s, h22 + w
+        det = h11 * h22 - h12 * h12
+        step1, step2 = (h22 * g1 - h12 * g2) / det, (h11 * g2 - h12 * g1) / det
+        size = max(1.0, abs(step1), abs(step2) / 4)
+        slope, shift = slope - step1 / size, shift - step2 / size
+    return slope, shift
+
+
 def gate_words(letters: int = LONG) -> list[str]:
     """Words of which every confirmed paragraph holds one: they leave each template too few word pairs to confirm it (greedy).
 
@@ -152,12 +181,11 @@ def gated(text: Column) -> Column:
 
 @functools.lru_cache(maxsize=1)
 def model() -> Model:
-    """One logistic regression a family by gradient steps with an L1 shrink; floors calibrated on the held-out third."""
-    known = {f for notices in TEMPLATES.values() for n in notices for f in features(tokens(n))}
-    cases = [(label, feats & known) for label, feats in generated_paragraphs()]
-    fit = [c for i, c in enumerate(cases) if i % 3]
+    """One logistic regression a family by gradient steps with an L1 shrink; probabilities calibrated on the held-out third."""
+    cases = generated_paragraphs()
+    fit = [(label, sorted(feats)) for i, (label, feats) in enumerate(cases) if i % 3]
     check = [c for i, c in enumerate(cases) if not i % 3]
-    weights, bias, floor = {}, {}, {}
+    weights, bias, floor, curve = {}, {}, {}, {}
     for family in sorted(TEMPLATES):
         w: dict[str, float] = {}
         b = -2.0
@@ -170,18 +198,16 @@ def model() -> Model:
                     continue
                 step = rate * error / math.sqrt(max(1, len(feats)))
                 b += 0.1 * rate * error
-                for f in sorted(feats):
-                    if error > 0 or f in w or label:
-                        w[f] = w.get(f, 0.0) + step
+                for f in feats:
+                    w[f] = w.get(f, 0.0) + step
             shrink = 0.004 * rate
             w = {f: v - math.copysign(shrink, v) for f, v in w.items() if abs(v) > shrink}
         weights[family] = {f: round(1000 * v) for f, v in sorted(w.items()) if abs(v) >= 0.05}
         bias[family] = round(1000 * b)
-        score = lambda feats, own=weights[family], start=bias[family]: start + sum(own.get(f, 0) for f in feats)
-        yes = sorted(score(f) for label, f in check if label == family)
-        no = max(score(f) for label, f in check if label != family)
-        floor[family] = max(bias[family] + 1, (yes[0] + no) // 2 if no < yes[0] else no + 1)
-    return Model(weights, bias, floor)
+        scores = [(bias[family] + sum(weights[family].get(f, 0) for f in feats)) / 1000 for _, feats in check]
+        slope, shift = curve[family] = calibrated(scores, [label == family for label, _ in check])
+        floor[family] = max(bias[family] + 1, math.ceil(1000 * (math.log(UNKNOWN / (1 - UNKNOWN)) - shift) / slope))
+    return Model(weights, bias, floor, curve)
 
 
 def template_pairs() -> list[tuple[str, int, str]]:
@@ -196,22 +222,29 @@ def template_pairs() -> list[tuple[str, int, str]]:
 
 
 def scan_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fitted: Model | None = None) -> DataFrame:
-    """``(key, text_hash, paragraph, family, over)``: confirmed licence paragraphs; ``over`` is the score above the floor in thousandths."""
+    """``(key, text_hash, line, wide, family, over)``: innermost confirmed paragraphs, by their first line and number of lines.
+
+    ``over`` is the score above the floor in thousandths.
+    """
     spark, fitted = docs.sparkSession, fitted or model()
     text = F.lower(F.col(text_col))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("key"), F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0)).alias("text_hash"), text.alias("text")).where(gated(F.col("text")))
-    lines = rows.select("key", "text_hash", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).where(gated(F.col("line")))
-    lines = lines.select("key", "text_hash", "paragraph", F.explode(F.array(F.array_remove(F.split("line", _BETWEEN), ""))).alias("w")).distinct()
+    rows = docs.select(*identity(id_col, text_col), text.alias("text")).where(gated(F.col("text")))
+    rows = rows.select("key", "text_hash", F.explode(F.array(F.split("text", "\n"))).alias("ls"))
+    wide = lambda i, n: F.slice(F.col("ls"), i, n)
+    whole = lambda i, n: (i + n <= F.size("ls") + 1) & ((n == 1) | ~F.exists(wide(i, n), lambda x: ~x.rlike(r"[^\x20\x09-\x0D]")))
+    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.size("ls")), lambda i: F.transform(F.filter(F.sequence(F.lit(1), F.lit(WRAP)), lambda n: whole(i, n)), lambda n: F.struct(i.alias("line"), n.alias("wide"), F.array_join(wide(i, n), "\n").alias("said")))))
+    lines = rows.select("key", "text_hash", F.explode(spans).alias("p")).select("key", "text_hash", "p.*").where(gated(F.col("said")))
+    lines = lines.select("key", "text_hash", "line", "wide", F.explode(F.array(F.array_remove(F.split("said", _BETWEEN), ""))).alias("w")).distinct()
     lines = settle(lines)  # few rows: the paragraphs with a gate word
 
     def runs(w, n):
         return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
-    grams = lines.select("key", "text_hash", "paragraph", F.explode(F.array_distinct(F.concat(*[runs(F.col("w"), n) for n in GRAMS]))).alias("gram"))
+    at = ["key", "text_hash", "line", "wide"]
+    grams = lines.select(*at, F.explode(F.array_distinct(F.concat(*[runs(F.col("w"), n) for n in GRAMS]))).alias("gram"))
     names = sorted(fitted.weights)
     table_of = spark.createDataFrame([(f, g, w) for f in names for g, w in fitted.weights[f].items()], "family string, gram string, weight long")
     limits = spark.createDataFrame([(f, fitted.floor[f] - fitted.bias[f]) for f in names], "family string, needed long")
-    at = ["key", "text_hash", "paragraph"]
     scored = grams.join(F.broadcast(table_of), "gram").groupBy(*at, "family").agg(F.sum("weight").alias("score"))  # the model is a constant
     over = scored.join(F.broadcast(limits), "family").where("score >= needed").select(*at, "family", (F.col("score") - F.col("needed")).alias("over"))
     best = over.groupBy(*at).agg(F.min(F.struct((-F.col("over")).alias("less"), "family")).alias("b")).select(*at, "b.family", (-F.col("b.less")).alias("over"))
@@ -219,19 +252,28 @@ def scan_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = pairs.groupBy("family", "number").agg(F.count("*").alias("size"))
     found = best.join(grams, at).join(F.broadcast(pairs), ["family", "gram"]).groupBy(*at, "family", "over", "number").agg(F.count("*").alias("n"))
     sure = found.join(F.broadcast(sizes), ["family", "number"]).where(F.col("n") * 100 >= F.col("size") * CONFIRM_PERCENT)
-    return sure.select(*at, "family", "over").distinct()
+    # of each first line the shortest, unless one that begins later ends no later
+    first = sure.groupBy("key", "text_hash", "family", "line").agg(F.min(F.struct("wide", "over")).alias("b")).select("key", "text_hash", "family", "line", "b.wide", "b.over")
+    later = W.partitionBy("key", "text_hash", "family").orderBy("line").rangeBetween(1, WRAP - 1)
+    inner = F.min(F.col("line") + F.col("wide")).over(later)
+    return first.withColumn("inner", inner).where(F.col("inner").isNull() | (F.col("inner") > F.col("line") + F.col("wide"))).drop("inner")
+
+
+def identity(id_col: str, text_col: str) -> list[Column]:
+    """What a text is known by: its id as a string, null apart from any string, and a hash of the text."""
+    return [F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("null")).alias("key"), F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0)).alias("text_hash")]
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fitted: Model | None = None) -> DataFrame:
     """``(id_col, n_paragraphs, n_licenses, families, license)`` for every distinct (id, text).
 
-    ``families`` are the confirmed families, sorted and comma-joined; ``license`` is the one furthest above its floor (ties to
-    the first name), ``unknown`` where no paragraph is confirmed.
+    ``n_paragraphs`` are lines with a word, ``n_licenses`` the confirmed notices, ``families`` theirs, sorted and comma-joined;
+    ``license`` is the one furthest above its floor (ties to the first name), ``unknown`` where nothing is confirmed.
     """
     found = settle(scan_paragraphs(docs, id_col, text_col, fitted))
     marked = found.groupBy("key", "text_hash").agg(F.count("*").alias("n_licenses"), F.array_join(F.sort_array(F.collect_set("family")), ",").alias("families"), F.min(F.struct((-F.col("over")).alias("less"), "family")).alias("b"))
     lines = F.size(F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: x.rlike("[A-Za-z0-9]"))).cast("long")
-    whole = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("key"), F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0)).alias("text_hash"), lines.alias("n_paragraphs"))
+    whole = docs.select(F.col(id_col).alias("doc_id"), *identity(id_col, text_col), lines.alias("n_paragraphs"))
     whole = whole.groupBy("key", "text_hash").agg(F.max("doc_id").alias("doc_id"), F.max("n_paragraphs").alias("n_paragraphs"))
     joined = whole.join(small(settle(marked)), ["key", "text_hash"], "left")
     return joined.select(F.col("doc_id").alias(id_col), "n_paragraphs", F.coalesce("n_licenses", F.lit(0)).alias("n_licenses"), F.coalesce("families", F.lit("")).alias("families"), F.coalesce("b.family", F.lit("unknown")).alias("license"))
@@ -243,27 +285,31 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sql() -> str:
-    """The same scan in SQL, with the model as literal tables."""
+    """The same scan in SQL, with the model as literal tables and no test before it: every paragraph is scored."""
     fitted = model()
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     weights = ",".join(f"({quoted(f)},{quoted(g)},{w})" for f in sorted(fitted.weights) for g, w in fitted.weights[f].items())
     limits = ",".join(f"({quoted(f)},{fitted.floor[f] - fitted.bias[f]})" for f in sorted(fitted.weights))
     pairs = ",".join(f"({quoted(f)},{n},{quoted(p)})" for f, n, p in template_pairs())
-    gate = " OR ".join(f"contains(lower(line), {quoted(g)})" for g in fitted.gate)
     return rf"""
 WITH wt(family, gram, weight) AS (VALUES {weights}), lim(family, needed) AS (VALUES {limits}), tp(family, number, gram) AS (VALUES {pairs}),
 ts AS (SELECT family, number, count(*) AS size FROM tp GROUP BY ALL),
-l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS par FROM documents),
-t AS (SELECT doc_id, par, line, list_filter(regexp_split_to_array(lower(line), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM l WHERE {gate}),
-g AS (SELECT DISTINCT doc_id, par, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS gram FROM t),
-s AS (SELECT doc_id, par, family, sum(weight) AS score FROM g JOIN wt USING (gram) GROUP BY ALL),
-o AS (SELECT doc_id, par, family, score - needed AS over_by FROM s JOIN lim USING (family) WHERE score >= needed),
-b AS (SELECT doc_id, par, family, over_by FROM o QUALIFY row_number() OVER (PARTITION BY doc_id, par ORDER BY over_by DESC, family) = 1),
-c AS (SELECT b.doc_id, b.par, b.family, b.over_by, tp.number, count(*) AS n FROM b JOIN g USING (doc_id, par) JOIN tp ON tp.family = b.family AND tp.gram = g.gram GROUP BY ALL),
-k AS (SELECT DISTINCT doc_id, par, family, over_by FROM c JOIN ts USING (family, number) WHERE n * 100 >= size * {CONFIRM_PERCENT}),
+d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS said FROM d),
+u AS (SELECT doc_id, ls, par, unnest(range(1, {WRAP + 1})) AS wide FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS par FROM d)),
+v AS (SELECT doc_id, par, wide, ls[par : par + wide - 1] AS part FROM u WHERE par + wide <= len(ls) + 1),
+t AS (SELECT doc_id, par, wide, list_filter(regexp_split_to_array(lower(array_to_string(part, chr(10))), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM v
+  WHERE wide = 1 OR len(list_filter(part, lambda x: NOT regexp_matches(x, '[^ 	-]'))) = 0),
+g AS (SELECT DISTINCT doc_id, par, wide, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS gram FROM t),
+s AS (SELECT doc_id, par, wide, family, sum(weight) AS score FROM g JOIN wt USING (gram) GROUP BY ALL),
+o AS (SELECT doc_id, par, wide, family, score - needed AS over_by FROM s JOIN lim USING (family) WHERE score >= needed),
+b AS (SELECT doc_id, par, wide, family, over_by FROM o QUALIFY row_number() OVER (PARTITION BY doc_id, par, wide ORDER BY over_by DESC, family) = 1),
+c AS (SELECT b.doc_id, b.par, b.wide, b.family, b.over_by, tp.number, count(*) AS n FROM b JOIN g USING (doc_id, par, wide) JOIN tp ON tp.family = b.family AND tp.gram = g.gram GROUP BY ALL),
+k0 AS (SELECT DISTINCT doc_id, par, wide, family, over_by FROM c JOIN ts USING (family, number) WHERE n * 100 >= size * {CONFIRM_PERCENT}),
+k AS (SELECT * FROM k0 WHERE NOT EXISTS (SELECT 1 FROM k0 AS x WHERE x.doc_id = k0.doc_id AND x.family = k0.family AND x.par >= k0.par AND x.par + x.wide <= k0.par + k0.wide AND x.wide < k0.wide)),
 m AS (SELECT doc_id, count(*) AS n_licenses, string_agg(DISTINCT family, ',' ORDER BY family) AS families FROM k GROUP BY doc_id),
 p AS (SELECT doc_id, family FROM k QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY over_by DESC, family) = 1),
-n AS (SELECT doc_id, count(*) FILTER (regexp_matches(line, '[A-Za-z0-9]')) AS n_paragraphs FROM l GROUP BY doc_id)
+n AS (SELECT doc_id, count(*) FILTER (regexp_matches(said, '[A-Za-z0-9]')) AS n_paragraphs FROM l GROUP BY doc_id)
 SELECT doc_id, n_paragraphs::BIGINT AS n_paragraphs, coalesce(n_licenses, 0)::BIGINT AS n_licenses, coalesce(families, '') AS families, coalesce(p.family, 'unknown') AS license
 FROM n LEFT JOIN m USING (doc_id) LEFT JOIN p USING (doc_id)
 """
