@@ -1,16 +1,19 @@
 """Personal data: high-recall generators propose overlapping spans, boosted trees choose among them.
 
 The base spans (email, ip, card, phone) follow fixed formats and always stay.  Wider generators propose further spans: written-out
-emails, phones in national form, numbers shaped like cards, keys and tokens, account and identity numbers.  A gradient-boosted
-ensemble scores each proposal by its format and its surroundings; scores are calibrated (Platt) and a threshold for each kind,
-set on held-out generated cases for high precision, selects.  Of overlapping selections the most probable stays; none may
-overlap a base span.  The trees are fitted on cases generated from a seed, so they need no corpus and no labels.
-
-Null and empty texts have no spans; repeated rows repeat; texts are searched whole.
+emails, addresses of version 6, phones in national form, numbers shaped like cards, account and identity numbers, and secrets: values
+after a sign, hexadecimal keys, tokens with a known beginning, private key blocks and passwords.  A gradient-boosted ensemble scores
+each proposal by its format and its surroundings.  It is fitted on cases generated from a seed, so it needs no corpus and no labels:
+one third fits the trees, one calibrates the scores (Platt), and on one a threshold for each kind is set for high precision.  Of
+overlapping selections the most probable stays; none may overlap a base span.
+
+Null and empty texts have no spans; repeated rows repeat; texts are searched whole and no span has a greatest length, but for formats
+that fix one.
 """
 
 import functools
 import hashlib
+import ipaddress
 import math
 import random
 import re
@@ -70,22 +73,36 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+# How tokens of public services begin.
+PREFIXES = r"AKIA|ASIA|AIza|(?:sk|pk|rk)_(?:live|test)_|sk-|gh[opsur]_|github_pat_|glpat-|xox[abeoprs]-|npm_|hf_|SG\.|eyJ"
+# How a password is announced in the four languages of the corpus and in settings.
+PASSWORDS = r"password|passwd|passphrase|passcode|pwd|passwort|kennwort|contraseña|clave|mot de passe|pin"
+
 # Wide generators: kind, what a text must hold for the pattern to be tried, and the pattern; group 1, where there is one, is the span.
 GENERATORS = (
-    ("email", re.compile(r"[@\[(]"), re.compile(r"[A-Za-z0-9._%+-]{2,64}\s?(?:@|\(at\)|\[at\])\s?[A-Za-z0-9-]{2,63}\s?(?:\.|\(dot\)|\[dot\])\s?[A-Za-z]{2,10}\b", re.I)),
+    ("email", re.compile(r"[@\[(]"), re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,}+\s?(?:@|\(at\)|\[at\])\s?[A-Za-z0-9-]{2,}+\s?(?:\.|\(dot\)|\[dot\])\s?[A-Za-z]{2,}+\b", re.I)),
+    ("ip", re.compile(r":"), re.compile(r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f]*:[0-9A-Fa-f]*:)[0-9A-Fa-f:]{3,39}+(?![0-9A-Za-z:])")),
     ("card", re.compile(r"[0-9]{4}"), re.compile(r"(?<![0-9])[0-9]{4}(?P<mark>[ .-]?)[0-9]{4}(?P=mark)[0-9]{4}(?P=mark)[0-9]{2,7}(?![0-9])")),
     ("phone", re.compile(r"[0-9]{3}"), re.compile(r"(?<![0-9.+-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9]|[.-][0-9])")),
+    ("phone", re.compile(r"0"), re.compile(r"(?<![0-9.+-])\(?0[0-9]{1,4}\)?[ /-]{1,3}[0-9]{3,8}(?:[ -][0-9]{2,5}){0,2}(?![0-9]|[.-][0-9])")),
+    ("phone", re.compile(r"0"), re.compile(r"(?<![0-9.+-])0[1-9](?:[ .-]?[0-9]{2}){4}(?![0-9]|[.-][0-9])")),
     ("account", re.compile(r"[0-9]{2}"), re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b")),
     ("identity", re.compile(r"[0-9]-[0-9]"), re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
     ("secret", re.compile(r"[:=]"), re.compile(r"""[:=]\s{0,2}["']?([A-Za-z0-9_+/=.-]{12,}+)""")),
     ("secret", re.compile(r"[0-9]"), re.compile(r"(?<![A-Za-z0-9])([A-Fa-f0-9]{32,}+)(?![A-Za-z0-9])")),
+    ("secret", re.compile(PREFIXES), re.compile(rf"(?<![A-Za-z0-9_])((?:{PREFIXES})[A-Za-z0-9_.-]{{8,}}+)")),
+    ("secret", re.compile(PASSWORDS, re.I), re.compile(rf"""(?<![A-Za-z])(?:{PASSWORDS})(?![A-Za-z])["']?\s{{0,2}}(?:[:=]|is|ist|es|est)\s{{0,2}}["']?([^\s"']{{4,}}+)""", re.I)),
 )
 _NAMED = re.compile(r"[A-Za-z_]{3,24}\s{0,2}$")
+_KNOWN = re.compile(PREFIXES)
+_KEY_BLOCK = re.compile(r"-----(BEGIN|END) [A-Z0-9 ]{0,40}PRIVATE KEY-----")
+_BEHIND = ".,;:)]}>"
 # Words near a span that speak for (first) or against (last) personal data.
 CUES = {
     "email": ("mail", "contact", "write"),
     "card": ("card", "visa", "credit", "pay", "amex", "master"),
-    "phone": ("phone", "tel", "call", "fax", "mobile", "cell", "contact"),
+    "ip": ("ip", "addr", "host", "server", "dns", "ping"),
+    "phone": ("phone", "tel", "call", "fax", "mobil", "cell", "contact", "ruf", "llam"),
     "account": ("iban", "account", "bank", "transfer"),
     "identity": ("ssn", "social security", "tax id", "identity", "passport"),
     "secret": ("token", "secret", "key", "passw", "auth", "bearer", "credential", "api"),
@@ -102,8 +119,21 @@ def propose(text: str) -> list[tuple[str, int, int]]:
         for m in pattern.finditer(text):
             if kind == "secret" and m[0][0] in ":=" and not _NAMED.search(text[max(0, m.start() - 28) : m.start()]):
                 continue
-            found.append((kind, *(m.span(1) if kind == "secret" else m.span())))
-    return found
+            start, end = m.span(1) if kind == "secret" else m.span()
+            while kind == "secret" and end - start > 4 and text[end - 1] in _BEHIND:
+                end -= 1
+            found.append((kind, start, end))
+    if "PRIVATE KEY-----" in text:
+        begin = None
+        for m in _KEY_BLOCK.finditer(text):
+            if m[1] == "BEGIN":
+                begin = m.start() if begin is None else begin
+            elif begin is not None:
+                found.append(("secret", begin, m.end()))
+                begin = None
+        if begin is not None:  # a block that is cut off
+            found.append(("secret", begin, len(text)))
+    return list(dict.fromkeys(found))
 
 
 def entropy(text: str) -> float:
@@ -115,7 +145,7 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
     span = text[start:end]
     digits = digits_of(span)
     left, right = text[max(0, start - CONTEXT) : start].lower(), text[end : end + CONTEXT].lower()
-    near = left[-24:]
+    near = left[-28:]
     return [
         float(KINDS.index(kind)),
         float(end - start),
@@ -135,9 +165,24 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         float(any(c.isupper() for c in span)) + 2.0 * any(c.islower() for c in span),
         float(bool(re.search(r"[=:]\s*[\"']?$", left))),
         float(digits[:1] in ("0", "1") and bool(digits)),
+        float(kind == "ip" and six(span)),
+        float(bool(_KNOWN.match(span))) + 2.0 * span.startswith("-----BEGIN"),
+        float(bool(_SAID.search(near))),
+        float(sum(bool(re.search(x, span)) for x in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))),
     ]
 
 
+_SAID = re.compile(rf"(?:{PASSWORDS})[\"']?\s*(?:[:=]|is|ist|es|est)\s*[\"']?$", re.I)
+
+
+def six(span: str) -> bool:
+    """Whether this is an address of version 6."""
+    try:
+        return ipaddress.ip_address(span).version == 6
+    except ValueError:
+        return False
+
+
 def iban_rest(span: str) -> float:
     plain = re.sub(r"\s", "", span)
     number = "".join(str(int(c, 36)) for c in plain[4:] + plain[:4])
@@ -202,7 +247,7 @@ class Trees:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, self.scale * self.margin(row) + self.shift))))
 
 
-def generated_cases(n: int = 2400, seed: int = 11) -> list[tuple[str, str, int, int, int]]:
+def generated_cases(n: int = 5400, seed: int = 11) -> list[tuple[str, str, int, int, int]]:
     """(text, kind, start, end, label): look-alikes and true cases in invented sentences."""
     r = random.Random(seed)
     word = lambda: "".join(r.choice(("an", "er", "th", "on", "de", "re", "la", "ti", "sch", "ou")) for _ in range(r.randint(1, 4)))
@@ -227,11 +272,36 @@ def generated_cases(n: int = 2400, seed: int = 11) -> list[tuple[str, str, int,
         return f"DE{check if good else (check + r.randint(1, 90)) % 97:02d}{body}"
 
     def phone():
-        return r.choice((f"({number(3)}) 555-{number(4)}", f"{r.randint(201, 989)}-555-{number(4)}", f"{r.randint(201, 989)} {r.randint(200, 999)} {number(4)}"))
+        area = r.randint(201, 989)
+        return r.choice((
+            f"({area}) {r.randint(200, 999)}-{number(4)}", f"{area}-{r.randint(200, 999)}-{number(4)}", f"{area} {r.randint(200, 999)} {number(4)}", f"{area}.{r.randint(200, 999)}.{number(4)}",
+            f"0{r.randint(10, 9999)}{r.choice((' ', '/', '-', ' / '))}{number(r.randint(5, 8))}", f"0{r.randint(1, 9)} {number(2)} {number(2)} {number(2)} {number(2)}", f"{r.choice('679')}{number(2)} {number(3)} {number(3)}",
+        ))
+
+    def address():
+        groups = [f"{r.randrange(1 << 16):x}" for _ in range(8)]
+        if r.random() < 0.6:
+            at, n = r.randint(1, 5), r.randint(2, 3)
+            return ":".join(groups[:at]) + "::" + ":".join(groups[at + n :])
+        return ":".join(groups)
+
+    def prefixed():
+        big = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(n))
+        return r.choice((
+            r.choice(("AKIA", "ASIA")) + big(16), r.choice(("sk_live_", "sk_test_", "rk_live_", "pk_live_")) + mixed(24), r.choice(("ghp_", "gho_", "ghs_")) + mixed(36), "glpat-" + mixed(20), "AIza" + mixed(35),
+            f"xoxb-{number(11)}-{number(12)}-{mixed(24)}", "npm_" + mixed(36), "hf_" + mixed(34), f"SG.{mixed(22)}.{mixed(43)}", "sk-" + mixed(48), f"eyJ{mixed(33)}.eyJ{mixed(r.randint(40, 300))}.{mixed(43)}",
+        ))
+
+    def password():
+        return r.choice((word() + number(r.randint(1, 4)), word().capitalize() + number(r.randint(1, 4)) + r.choice("!#$%&*?"), word() + r.choice("!#$%&*?_") + word() + number(1), mixed(r.randint(6, 12)) + number(1), number(r.randint(4, 8))))
+
+    def key_block():
+        name = r.choice(("RSA ", "EC ", "OPENSSH ", "")) + "PRIVATE KEY"
+        return f"-----BEGIN {name}-----\n" + "\n".join(mixed(64) for _ in range(r.randint(2, 30))) + f"\n-----END {name}-----"
 
     cases = []
     for _ in range(n):
-        kind = r.choice(("email", "card", "phone", "account", "identity", "secret"))
+        kind = r.choice(("email", "ip", "card", "phone", "phone", "account", "identity", "secret", "secret", "secret"))
         true = r.random() < 0.5
         cue, against = r.choice(CUES[kind]), r.choice(AGAINST)
         if kind == "email":
@@ -242,9 +312,12 @@ def generated_cases(n: int = 2400, seed: int = 11) -> list[tuple[str, str, int,
         elif kind == "card":
             span = grouped(good_card(), r.choice(". -")) if true else r.choice((bad_card(), grouped(bad_card(), r.choice(" .-"))))
             lead = cue if true and r.random() < 0.5 else against if r.random() < 0.4 else word()
+        elif kind == "ip":
+            span = address() if true else r.choice((f"{number(2)}:{number(2)}:{number(2)}", f"{hexed(2)}:{hexed(2)}:{hexed(2)}:{hexed(2)}:{hexed(2)}:{hexed(2)}", f"{number(1)}:{number(2)}:{number(3)}"))
+            lead = cue if r.random() < 0.4 else word()
         elif kind == "phone":
-            span = phone() if true else r.choice((f"{number(3)} {number(3)} {number(3)}", f"{number(4)}-{number(4)}-{number(4)}", f"{number(2)}.{number(3)}.{number(3)}"))
-            lead = r.choice((cue, cue + ":", word() if span[0] == "(" else cue)) if true else r.choice((against, word()))
+            span = phone() if true else r.choice((phone(), f"{number(3)} {number(3)} {number(3)}", f"{number(4)}-{number(4)}-{number(4)}", f"{number(2)}.{number(3)}.{number(3)}", f"0{number(3)}-{number(4)}", f"0{number(1)}-{number(4)}"))
+            lead = r.choice((cue, cue + ":", word() if span[0] == "(" else cue)) if true else r.choice((against, word())) if span[0] != "(" else against
         elif kind == "account":
             span = iban(true)
             lead = cue if r.random() < 0.5 else word()
@@ -253,7 +326,14 @@ def generated_cases(n: int = 2400, seed: int = 11) -> list[tuple[str, str, int,
             lead = cue if true else r.choice((against, word()))
         else:
             true_span = r.choice((hexed(40), mixed(32), hexed(32), mixed(20), hexed(64)))
-            if true:
+            style, said = r.random(), r.choice(PASSWORDS.split("|"))
+            if style < 0.25:
+                span, lead = prefixed() if true else r.choice(("sk-", "hf_", "npm_", "AIza", "eyJ")) + r.choice((word() + "-" + word() + "-" + word() + word(), word() + "_" + word() + "_" + word() + word())), r.choice((word() + " ", cue + " ", word() + ": "))
+            elif style < 0.5:
+                span, lead = password() if true else r.choice((word() + word(), word() + word() + word(), word().capitalize() + word())), said + r.choice((": ", "=", " = ", " is ", ': "'))
+            elif style < 0.55 and true:
+                span, lead = key_block(), r.choice(("", word() + "\n", cue + ": "))
+            elif true:
                 span, lead = true_span, r.choice((f'{cue} = "', f"{cue}=", f"{cue}: ", f"{cue} = "))
             else:
                 span, lead = r.choice(((hexed(40), against + " "), (hexed(32), against + ": "), (word() + word() + word() + word(), word() + ": "), (word() + "." + word() + "." + word(), word() + "="), (mixed(24), against + ": ")))
@@ -274,12 +354,12 @@ def generated_cases(n: int = 2400, seed: int = 11) -> list[tuple[str, str, int,
 
 @functools.lru_cache(maxsize=1)
 def chooser(precision: float = 0.99) -> tuple[Trees, dict[str, float]]:
-    """The fitted trees and, for each kind, the lowest threshold with that precision on held-out generated cases."""
+    """The fitted trees and, for each kind, the lowest threshold with that precision on generated cases that neither fit nor calibration saw."""
     cases = generated_cases()
     rows = np.array([features(text, kind, a, b) for text, kind, a, b, _ in cases])
     label = np.array([c[4] for c in cases], float)
-    fit, check = np.arange(len(cases)) % 3 != 0, np.arange(len(cases)) % 3 == 0
-    trees = Trees().fit(rows[fit], label[fit], rows[check], label[check])
+    fit, curve, check = (np.arange(len(cases)) % 3 == third for third in range(3))
+    trees = Trees().fit(rows[fit], label[fit], rows[curve], label[curve])
     thresholds = {}
     chance = np.array([trees.probability(row) for row in rows])
     for kind in sorted({c[1] for c in cases}):
@@ -355,7 +435,7 @@ def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of base spans, their digest, and all spans of every whole text of documents."""
+    """Counts of base spans, their digest, and all spans and their number of every whole text of documents."""
     docs = table(spark, sf_dir, "documents")
     shipped = spark.sparkContext.broadcast(chooser())
 
@@ -365,8 +445,8 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         def row(key, text):
             base, whole = spans(text, model)
             counts = [sum(s[0] == k for s in base) for k in KINDS[:4]]
-            return (key, *counts, hashlib.sha256(written(base).encode()).hexdigest(), written(whole))
+            return (key, *counts, hashlib.sha256(written(base).encode()).hexdigest(), written(whole), len(whole))
 
         return row
 
-    return map_rows(docs, ["doc_id", "text"], "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string", setup)
+    return map_rows(docs, ["doc_id", "text"], "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long", setup)
