@@ -19,7 +19,8 @@ PIECE = 1 << 16
 #: The rank file is shipped to executors; a vocabulary above this size is refused rather than broadcast.
 MAX_RANK_BYTES = 64 << 20
 
-_CUT = re.compile(r"(?<=\S)(?=\s)")
+# what is no space in Python is none in the pattern either; the characters behind are spaces in both
+_CUT = re.compile(r"(?<=\S)(?=[ \t\r\n])")
 _ENCODERS: dict = {}
 
 

@@ -130,7 +130,7 @@ def format_chat(df: DataFrame, template: Template | None = None, conv_col: str =
 def chat_digests(formatted: DataFrame, template: Template | None = None) -> DataFrame:
     """Reads the segments of ``format_chat`` back, conversation by conversation, and digests turns and loss text.
 
-    Must run on ``format_chat``'s own output, whose partitions hold whole conversations in order.
+    Must run on ``format_chat``'s own output, whose partitions hold whole conversations in order; rows out of order are an error.
     """
     template = template or Template()
     kind = dict(formatted.dtypes)["conv_id"]
@@ -156,7 +156,10 @@ def chat_digests(formatted: DataFrame, template: Template | None = None) -> Data
                     if nth == 0:
                         if now:
                             out.append(done(now))
-                        now = {"conv": conv, "turns": 0, "all": hashlib.sha256(), "loss_chars": 0, "loss": hashlib.sha256(), "chars": 0, "valid": True, "role": ""}
+                        now = {"conv": conv, "turns": 0, "all": hashlib.sha256(), "loss_chars": 0, "loss": hashlib.sha256(), "chars": 0, "valid": True, "role": "", "rows": 0}
+                    if not now or now["conv"] != conv or now["rows"] != nth:
+                        raise ValueError(f"turn {nth} of conversation {conv} is out of order")
+                    now["rows"] += 1
                     whole = "".join(s["text"] for s in segments)
                     now["chars"] += len(whole)
                     now["valid"] &= step

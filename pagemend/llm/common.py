@@ -6,8 +6,9 @@ import atexit
 import shutil
 import tempfile
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -15,8 +16,8 @@ from pyspark.sql.types import StructType
 #: Rows handled at once inside a Python worker; bounds what a batch of very long texts occupies.
 ROWS_AT_ONCE = 64
 
-#: Rows up to which the small side of a join is broadcast (about 100 bytes each).
-BROADCAST_ROWS = 500_000
+#: Bytes up to which the small side of a join is broadcast.
+BROADCAST_BYTES = 24 << 20
 
 #: For ``bytes.translate``: A-Z become a-z, every other ASCII byte outside 0-9 a-z becomes a space, bytes from 0x80 stay.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -53,12 +54,19 @@ def map_rows(df: DataFrame, inputs: list, schema: str, setup: Callable[[], Calla
     return df.select(*inputs).mapInArrow(run, schema)
 
 
+def identity(id_col: str, text_col: str) -> list[Column]:
+    """What a text is known by: ``key``, its id as a string, null apart from any string, and ``text_hash``, a hash of the text."""
+    return [F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("null")).alias("key"), F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0)).alias("text_hash")]
+
+
 def shared_checkpoints(spark: SparkSession) -> None:
-    """Use the folder the cluster names in ``spark.checkpoint.dir``; a local one only where none is set (tests)."""
+    """Use the folder the cluster names in ``spark.checkpoint.dir``; one of its own only where driver and executors are one process."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             folder = tempfile.mkdtemp(prefix="pagemend-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
@@ -83,6 +91,9 @@ def settle(df: DataFrame) -> DataFrame:
         spark.conf.set(_CONSTRAINTS, before)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A settled side, marked for broadcast only if it was counted and is small enough."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A settled side, marked for broadcast only if its values and 16 bytes a column and row were summed up and are few enough bytes."""
+    wide = [F.octet_length(c) if kind in ("string", "binary") else F.lit(0) for c, kind in df.dtypes]
+    wide += [F.coalesce(F.size(c), F.lit(0)) * 16 for c, kind in df.dtypes if kind.startswith("array")]
+    held = df.agg(F.sum(reduce(lambda a, b: a + F.coalesce(b, F.lit(0)), wide, F.lit(16 * len(df.columns)).cast("long")))).first()[0]
+    return F.broadcast(df) if (held or 0) <= most else df

@@ -8,7 +8,7 @@ word by word, so no hash collision counts.  Items of fewer words than a window a
 A training text is identified by (id, hash of the text): repeated rows give one result row, null ids are kept.  Null and empty
 texts have no words.  Items with a null id count as hits and are left out of item lists.  Overlapping hits count each word once.
 
-The only things broadcast are benchmark windows and ids of hit documents, each counted first; above ``BROADCAST_ROWS`` the joins shuffle.
+The only things broadcast are benchmark windows and ids of hit documents, their bytes summed up first; above ``BROADCAST_BYTES`` the joins shuffle.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import BROADCAST_ROWS, settle, small, table
+from .common import BROADCAST_BYTES, identity, settle, small, table
 
 #: Words of a window.
 WINDOW = 10
@@ -73,14 +73,14 @@ def item_windows(benchmark: DataFrame, id_col: str, text_col: str, window: int,
     return items.select("item_id", "length", F.explode(every).alias("x")).select("item_id", "length", F.col("x.mark").alias("mark"), F.col("x.said").alias("said")).distinct()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, k: int = K, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, k: int = K, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``(doc_id, text_hash, n_words, n_hit, items array<string>)``: one row per distinct (id, text), hit or not."""
     items = settle(item_windows(benchmark, item_id, item_text, window, k))
     lengths = sorted(r[0] for r in items.select("length").distinct().collect())  # at most `window` numbers
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")).alias("key"), F.coalesce(F.xxhash64(F.col(doc_text)), F.lit(0)).alias("text_hash"), F.col(doc_text).alias("text"))
+    source = docs.select(F.col(doc_id).alias("doc_id"), *identity(doc_id, doc_text), F.col(doc_text).alias("text"))
 
     # 1. fingerprints of all texts against those of all items
-    wanted = small(settle(items.select("length", "mark").distinct()), broadcast_rows)
+    wanted = small(settle(items.select("length", "mark").distinct()), broadcast_bytes)
     prints_of = lambda n: F.transform(F.array_distinct(marks(F.col("w"), n, window, k)), lambda m: F.struct(F.lit(n).alias("length"), m.alias("mark")))
     prints = F.concat(*map(prints_of, lengths)) if lengths else F.array().cast("array<struct<length:int,mark:bigint>>")
     split = source.select("doc_id", "key", "text_hash", F.explode(F.array(words_of(F.col("text")))).alias("w"))
@@ -89,7 +89,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     every = settle(met.groupBy("key", "text_hash").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.count("met").alias("met")))
 
     # 2. the texts that met one: extend each hit to its window and compare the words
-    hit = small(settle(every.where("met > 0").select("key", "text_hash")), broadcast_rows)
+    hit = small(settle(every.where("met > 0").select("key", "text_hash")), broadcast_bytes)
     near = source.join(hit, ["key", "text_hash"], "left_semi").dropDuplicates(["key", "text_hash"]) if lengths else source.limit(0)
     near = near.select("key", "text_hash", F.explode(F.array(words_of(F.col("text")))).alias("w"))
 
@@ -101,14 +101,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
     every_spot = F.concat(*[spots(n) for n in lengths]) if lengths else F.array().cast("array<struct<length:int,mark:bigint,at:bigint,said:string>>")
     spot = near.select("key", "text_hash", F.explode(every_spot).alias("s")).select("key", "text_hash", "s.*")
-    texts = small(settle(items.select("length", "mark", "said").distinct()), broadcast_rows)
+    texts = small(settle(items.select("length", "mark", "said").distinct()), broadcast_bytes)
     shared = settle(spot.join(texts, ["length", "mark", "said"], "left_semi"))
 
     order = W.partitionBy("key", "text_hash").orderBy("at", "length")
     before = F.max(F.col("at") + F.col("length")).over(order.rowsBetween(W.unboundedPreceding, -1))
     covered = shared.select("key", "text_hash", F.greatest(F.lit(0), F.col("at") + F.col("length") - F.greatest("at", F.coalesce(before, F.lit(0)))).alias("new"))
     hits = covered.groupBy("key", "text_hash").agg(F.sum("new").alias("n_hit"))
-    whose = shared.select("key", "text_hash", "length", "mark", "said").distinct().join(small(items, broadcast_rows), ["length", "mark", "said"]).select("key", "text_hash", "item_id").distinct()
+    whose = shared.select("key", "text_hash", "length", "mark", "said").distinct().join(small(items, broadcast_bytes), ["length", "mark", "said"]).select("key", "text_hash", "item_id").distinct()
     lists = whose.groupBy("key", "text_hash").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     out = every.join(hits, ["key", "text_hash"], "left").join(lists, ["key", "text_hash"], "left")
     return out.select("doc_id", "text_hash", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
@@ -116,9 +116,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows that hold a window of a benchmark item; all columns stay."""
-    found = settle(contamination(docs, benchmark).where("n_hit > 0").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__key"), F.col("text_hash").alias("__hash")))
-    bad = small(found)
-    return docs.join(bad, (F.coalesce(docs["doc_id"].cast("string"), F.lit("null")) == bad["__key"]) & (F.coalesce(F.xxhash64(docs["text"]), F.lit(0)) == bad["__hash"]), "left_anti")
+    found = settle(contamination(docs, benchmark).where("n_hit > 0").select(*identity("doc_id", "text")[:1], "text_hash"))
+    bad = small(found.select(F.col("key").alias("__key"), F.col("text_hash").alias("__hash")))
+    key, text_hash = identity("doc_id", "text")
+    return docs.join(bad, (key == F.col("__key")) & (text_hash == F.col("__hash")), "left_anti")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

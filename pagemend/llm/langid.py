@@ -5,7 +5,8 @@ spherical k-means over a bounded sample of labelled rows; the prediction is the
 cosine.  A text too far from every centroid, for its length, is marked as rejected.
 
 Null texts and texts without a letter are ``und`` with score 0, and rejected.  If nothing can be learned, every text is.
-Ties go to the first language in sort order.  Texts are read whole, in blocks, so memory does not follow their length.
+Ties go to the first language in sort order.  Texts are read whole, in blocks, so memory does not follow their length.  The fit
+collects counts of hashed n-grams, at most about ``FIT_ROWS`` rows of ``DIMENSIONS`` numbers for each language, and no texts.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ DIMENSIONS = 1 << 14
 CLUSTERS = 3
 #: Labelled rows that a language contributes to the fit, at most (chosen by a hash of the id).
 FIT_ROWS = 300
-#: Languages that can be learned; bounds the model that is shipped to executors.
+#: Languages that can be learned; more are refused, since they would not bound the model that is shipped to executors.
 MAX_LANGUAGES = 500
 #: Characters handled at once.
 BLOCK = 1 << 20
@@ -109,24 +110,18 @@ def spherical_means(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres.astype(np.float32)
 
 
-def fit(samples: list[tuple[str, str]], clusters: int = CLUSTERS) -> Model:
-    """From (language, text) rows; rows without a letter teach nothing."""
-    counted = []  # (language, buckets, counts, text): only what is not zero, so the driver holds little
-    for lang, text in samples:
-        counts = gram_counts(text)[0]
-        if counts is not None:
-            at = np.flatnonzero(counts)
-            counted.append((lang, at.astype(np.int32), counts[at].astype(np.float32), text))
-    languages = sorted({c[0] for c in counted})
+def fit(samples: list[tuple[str, np.ndarray, np.ndarray]], clusters: int = CLUSTERS) -> Model:
+    """Centroids from (language, buckets, counts) of texts with a letter; the model's floors are still to be set."""
+    languages = sorted({c[0] for c in samples})
     if not languages:
         return Model([], np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, int), np.ones(DIMENSIONS, np.float32), [0.0])
     seen = np.zeros(DIMENSIONS)
-    for _, at, _, _ in counted:
+    for _, at, _ in samples:
         seen[at] += 1
-    idf = (np.log((1 + len(counted)) / (1 + seen)) + 1).astype(np.float32)
+    idf = (np.log((1 + len(samples)) / (1 + seen)) + 1).astype(np.float32)
     centroids, owner = [], []
     for number, lang in enumerate(languages):
-        own = [(at, values) for name, at, values, _ in counted if name == lang]
+        own = [(at, values) for name, at, values in samples if name == lang]
         rows = np.zeros((len(own), DIMENSIONS), np.float32)
         for row, (at, values) in zip(rows, own, strict=True):
             row[at] = values
@@ -134,39 +129,70 @@ def fit(samples: list[tuple[str, str]], clusters: int = CLUSTERS) -> Model:
         centres = spherical_means(rows, clusters)
         centroids.append(centres)
         owner += [number] * len(centres)
-    model = Model(languages, np.concatenate(centroids), np.array(owner), idf, [0.0])
-    lowest: list = [None] * 21
-    for _, _, _, text in counted:
-        for power in range(2, 21):
-            part = text[: 1 << power]
-            counts, letters = gram_counts(part)
-            if counts is not None:
-                at = min(letters.bit_length(), 20)
-                score = model.nearest(counts)[1]
-                lowest[at] = score if lowest[at] is None else min(lowest[at], score)
-            if len(part) < 1 << power:
-                break
-    for at in range(1, 21):  # lengths that were not seen are held to the nearest shorter one
+    return Model(languages, np.concatenate(centroids), np.array(owner), idf, [0.0])
+
+
+#: Length classes (bits of the number of letters) that have a floor of their own.
+LENGTHS = 21
+
+
+def lowest_by_length(model: Model, text: str | None) -> list[float | None]:
+    """The lowest cosine of a text and of its beginnings of 4, 8, 16, ... characters, by length class."""
+    lowest: list = [None] * LENGTHS
+    for power in range(2, LENGTHS):
+        part = (text or "")[: 1 << power]
+        counts, letters = gram_counts(part)
+        if counts is not None:
+            at = min(letters.bit_length(), LENGTHS - 1)
+            score = model.nearest(counts)[1]
+            lowest[at] = score if lowest[at] is None else min(lowest[at], score)
+        if len(part) < 1 << power:
+            break
+    return lowest
+
+
+def floors(lowest: list[float | None]) -> list[float]:
+    """The rejection threshold of each length class: lengths that were not seen are held to the nearest shorter one, and a shorter text may be as far as any longer one."""
+    lowest = list(lowest)
+    for at in range(1, len(lowest)):
         lowest[at] = lowest[at - 1] if lowest[at] is None else lowest[at]
-    floor, so_far = [], 1.0
-    for value in reversed(lowest):  # a shorter text may be as far as any longer one
+    out, so_far = [], 1.0
+    for value in reversed(lowest):
         so_far = min(so_far, 0.0 if value is None else value)
-        floor.append(REJECT_SHARE * so_far)
-    model.floor = floor[::-1]
-    return model
+        out.append(REJECT_SHARE * so_far)
+    return out[::-1]
 
 
-def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", usable: Column | None = None, fit_rows: int = FIT_ROWS) -> Model:
+def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", usable: Column | None = None, fit_rows: int = FIT_ROWS, languages: int = MAX_LANGUAGES) -> Model:
     """Fit on at most about ``fit_rows`` rows of each language, chosen by a hash of the id, among rows where ``usable`` holds."""
     rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.where(usable) if usable is not None else rows
-    counts = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col).alias("lang")).count().limit(languages + 1).collect()}
+    if len(counts) > languages:
+        raise ValueError(f"more than {languages} languages; raise the bound if the executors can hold {CLUSTERS} x {DIMENSIONS} numbers for each")
     if not counts:
         return fit([])
     share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, fit_rows / n))])
-    unit = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    chosen = rows.where(unit < F.coalesce(F.try_element_at(share, F.col(lang_col)), F.lit(0.0)))
-    return fit([(r[0], r[1]) for r in chosen.select(lang_col, text_col).orderBy(F.xxhash64(F.col(id_col).cast("string")), text_col).limit(2 * fit_rows * len(counts)).collect()])
+    order = F.xxhash64(F.col(id_col).cast("string"))
+    chosen = rows.where(F.pmod(order, F.lit(1 << 20)) / F.lit(float(1 << 20)) < F.coalesce(F.try_element_at(share, F.col(lang_col)), F.lit(0.0)))
+
+    def counted():
+        def row(lang, order, text):
+            found = gram_counts(text)[0]
+            at = np.flatnonzero(found) if found is not None else np.zeros(0, int)
+            return lang, order, at.tolist(), found[at].tolist() if len(at) else []
+
+        return row
+
+    most = 2 * fit_rows * len(counts)  # of rows that share an id all are chosen
+    grams = map_rows(chosen, [F.col(lang_col), order, F.col(text_col)], "lang string, at_hash long, buckets array<int>, counts array<long>", counted).where("size(buckets) > 0")
+    model = fit([(r[0], np.array(r[1], np.int32), np.array(r[2], np.float32)) for r in grams.orderBy("at_hash", "lang", "buckets", "counts").limit(most).select("lang", "buckets", "counts").collect()])
+    if not model.languages:
+        return model
+    shipped = df.sparkSession.sparkContext.broadcast(model)
+    lows = map_rows(chosen, [F.col(text_col)], "low array<double>", lambda: lambda text: (lowest_by_length(shipped.value, text),))
+    model.floor = floors(list(lows.agg(*[F.min(F.get("low", F.lit(at))) for at in range(LENGTHS)]).first()))
+    return model
 
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import settle, small, table
+from .common import identity, settle, small, table
 
 # Notices of the licence families, by SPDX-like family name.
 TEMPLATES = {
@@ -234,13 +234,19 @@ def scan_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = lambda i, n: (i + n <= F.size("ls") + 1) & ((n == 1) | ~F.exists(wide(i, n), lambda x: ~x.rlike(r"[^\x20\x09-\x0D]")))
     spans = F.flatten(F.transform(F.sequence(F.lit(1), F.size("ls")), lambda i: F.transform(F.filter(F.sequence(F.lit(1), F.lit(WRAP)), lambda n: whole(i, n)), lambda n: F.struct(i.alias("line"), n.alias("wide"), F.array_join(wide(i, n), "\n").alias("said")))))
     lines = rows.select("key", "text_hash", F.explode(spans).alias("p")).select("key", "text_hash", "p.*").where(gated(F.col("said")))
-    lines = lines.select("key", "text_hash", "line", "wide", F.explode(F.array(F.array_remove(F.split("said", _BETWEEN), ""))).alias("w")).distinct()
-    lines = settle(lines)  # few rows: the paragraphs with a gate word
+    lines = lines.select("key", "text_hash", "line", "wide", F.explode(F.array(F.array_remove(F.split("said", _BETWEEN), ""))).alias("w"))
 
     def runs(w, n):
         return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
     at = ["key", "text_hash", "line", "wide"]
+    # what templates confirm: only their own word pairs leave the scan
+    pairs = spark.createDataFrame(template_pairs(), "family string, number int, gram string")
+    sizes = pairs.groupBy("family", "number").agg(F.count("*").alias("size"))
+    seen = lines.select(*at, F.explode(runs(F.col("w"), 2)).alias("gram")).join(F.broadcast(pairs), "gram").groupBy(*at, "family", "number").agg(F.size(F.collect_set("gram")).alias("n"))
+    sure = settle(seen.join(F.broadcast(sizes), ["family", "number"]).where(F.col("n") * 100 >= F.col("size") * CONFIRM_PERCENT).select(*at, "family").distinct())
+    # scores of those paragraphs
+    lines = lines.join(small(sure.select(*at).distinct()), at, "left_semi").distinct()
     grams = lines.select(*at, F.explode(F.array_distinct(F.concat(*[runs(F.col("w"), n) for n in GRAMS]))).alias("gram"))
     names = sorted(fitted.weights)
     table_of = spark.createDataFrame([(f, g, w) for f in names for g, w in fitted.weights[f].items()], "family string, gram string, weight long")
@@ -248,10 +254,7 @@ def scan_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scored = grams.join(F.broadcast(table_of), "gram").groupBy(*at, "family").agg(F.sum("weight").alias("score"))  # the model is a constant
     over = scored.join(F.broadcast(limits), "family").where("score >= needed").select(*at, "family", (F.col("score") - F.col("needed")).alias("over"))
     best = over.groupBy(*at).agg(F.min(F.struct((-F.col("over")).alias("less"), "family")).alias("b")).select(*at, "b.family", (-F.col("b.less")).alias("over"))
-    pairs = spark.createDataFrame(template_pairs(), "family string, number int, gram string")
-    sizes = pairs.groupBy("family", "number").agg(F.count("*").alias("size"))
-    found = best.join(grams, at).join(F.broadcast(pairs), ["family", "gram"]).groupBy(*at, "family", "over", "number").agg(F.count("*").alias("n"))
-    sure = found.join(F.broadcast(sizes), ["family", "number"]).where(F.col("n") * 100 >= F.col("size") * CONFIRM_PERCENT)
+    sure = best.join(sure, [*at, "family"], "left_semi")
     # of each first line the shortest, unless one that begins later ends no later
     first = sure.groupBy("key", "text_hash", "family", "line").agg(F.min(F.struct("wide", "over")).alias("b")).select("key", "text_hash", "family", "line", "b.wide", "b.over")
     later = W.partitionBy("key", "text_hash", "family").orderBy("line").rangeBetween(1, WRAP - 1)
@@ -259,11 +262,6 @@ def scan_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return first.withColumn("inner", inner).where(F.col("inner").isNull() | (F.col("inner") > F.col("line") + F.col("wide"))).drop("inner")
 
 
-def identity(id_col: str, text_col: str) -> list[Column]:
-    """What a text is known by: its id as a string, null apart from any string, and a hash of the text."""
-    return [F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("null")).alias("key"), F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0)).alias("text_hash")]
-
-
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fitted: Model | None = None) -> DataFrame:
     """``(id_col, n_paragraphs, n_licenses, families, license)`` for every distinct (id, text).
 
@@ -299,7 +297,8 @@ l AS (SELECT doc_id, unnest(ls) AS said FROM d),
 u AS (SELECT doc_id, ls, par, unnest(range(1, {WRAP + 1})) AS wide FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS par FROM d)),
 v AS (SELECT doc_id, par, wide, ls[par : par + wide - 1] AS part FROM u WHERE par + wide <= len(ls) + 1),
 t AS (SELECT doc_id, par, wide, list_filter(regexp_split_to_array(lower(array_to_string(part, chr(10))), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM v
-  WHERE wide = 1 OR len(list_filter(part, lambda x: NOT regexp_matches(x, '[^ 	-]'))) = 0),
+  WHERE wide = 1 OR len(list_filter(part, lambda x: NOT regexp_matches(x, '[^ 	-
+]'))) = 0),
 g AS (SELECT DISTINCT doc_id, par, wide, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS gram FROM t),
 s AS (SELECT doc_id, par, wide, family, sum(weight) AS score FROM g JOIN wt USING (gram) GROUP BY ALL),
 o AS (SELECT doc_id, par, wide, family, score - needed AS over_by FROM s JOIN lim USING (family) WHERE score >= needed),

@@ -51,7 +51,7 @@ def test_equals_brute_force(spark, prose):
 
 def test_shuffled_joins_give_the_same(spark, prose):
     docs, items = fixture(prose)
-    check(spark, docs, items, broadcast_rows=0)
+    check(spark, docs, items, broadcast_bytes=0)
 
 
 def test_empty_tables(spark, prose):
@@ -83,3 +83,11 @@ def test_items_without_an_id_are_hits(spark, prose):
     docs = spark.createDataFrame([(1, text + " more"), (2, prose(5, 30))], "doc_id long, text string")
     out = {r.doc_id: (r.n_hit, list(r["items"])) for r in D.contamination(docs, spark.createDataFrame([(None, text)], "item_id long, text string")).collect()}
     assert out == {1: (12, []), 2: (0, [])}
+
+
+def test_an_id_named_null_is_not_a_null_id(spark, prose):
+    text = prose(100, 12)
+    docs = spark.createDataFrame([("null", text), (None, text), ("null", "clean"), (None, None), ("=", "")], "doc_id string, text string")
+    items = spark.createDataFrame([(1, text)], "item_id long, text string")
+    assert sorted((str(r.doc_id), r.doc_id is None, r.n_hit) for r in D.contamination(docs, items).collect()) == [("=", False, 0), ("None", True, 0), ("None", True, 12), ("null", False, 0), ("null", False, 12)]
+    assert sorted((str(r.doc_id), str(r.text)) for r in D.clean(docs, items).collect()) == [("=", ""), ("None", "None"), ("null", "clean")]

@@ -1,6 +1,9 @@
 import random
 import zlib
 
+import numpy as np
+import pytest
+
 from pagemend.llm import langid as L
 
 DDL = "doc_id long, text string, lang string, source string, score string"
@@ -47,13 +50,25 @@ def test_blocks_do_not_change_counts(monkeypatch):
     assert n == m and abs(one - many).sum() == 0
 
 
-def test_sample_is_bounded(spark):
+def test_sample_is_bounded(spark, monkeypatch):
     rows = spark.createDataFrame([(i, f"text of row {i}", "aa") for i in range(3000)], "doc_id long, text string, lang string")
-    seen = []
-    real = L.fit
-    try:
-        L.fit = lambda samples: seen.append(len(samples)) or real(samples[:5])
-        L.learn(rows, fit_rows=50)
-    finally:
-        L.fit = real
+    seen, real = [], L.fit
+    monkeypatch.setattr(L, "fit", lambda samples: seen.append(len(samples)) or real(samples[:5]))
+    L.learn(rows, fit_rows=50)
     assert 20 <= seen[0] <= 100
+
+
+def test_more_languages_than_the_bound_are_refused(spark):
+    rows = spark.createDataFrame([(i, "some words", f"l{i}") for i in range(4)], "doc_id long, text string, lang string")
+    assert len(L.learn(rows, languages=4).languages) == 4
+    with pytest.raises(ValueError):
+        L.learn(rows, languages=3)
+
+
+def test_nearest_centroid_equals_brute_force():
+    model = L.fit([(lang, np.flatnonzero(c), c[np.flatnonzero(c)].astype(np.float32)) for _, t, lang, _, _ in table(60) for c in [L.gram_counts(t)[0]]])
+    for _, t, _, _, _ in table(30):
+        v = L.weigh(L.gram_counts(t)[0], model.idf).tolist()
+        near = [sum(a * b for a, b in zip(v, c, strict=True)) for c in model.centroids.tolist()]
+        lang, score = model.nearest(L.gram_counts(t)[0])
+        assert abs(score - max(near)) < 1e-5 and lang == model.owner[near.index(max(near))]

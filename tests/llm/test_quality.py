@@ -41,7 +41,7 @@ def test_measures_equal_brute_force(spark, put, prose):
 def test_order_is_by_rejection_per_cost_and_keeps_the_verdict(prose):
     texts = cases(prose)
     ticks = iter(range(10**6))
-    order = Q.plan_cascade(texts, clock=lambda: next(ticks))  # every rule costs the same
+    order = Q.plan_cascade([Q.trials(t, clock=lambda: next(ticks)) for t in texts])  # every rule costs the same
     rejected = [sum(r.rejects(Q.Measured(t)) for t in texts) for r in order]
     assert rejected[0] == max(rejected)
     assert {r.name for r in order} == {r.name for r in Q.RULES}
