@@ -6,7 +6,8 @@ decontaminate  documents that hold a window of a benchmark item go
 redact         personal data in the texts is replaced by its kind
 tokenize       each text is encoded to ids; the last stage returns (doc_id, lang, source, n_tokens, ids)
 
-All stages but the last return the columns of documents.  Rows with a null id are kept by near_dedup as they are.
+All stages but the last return the columns of documents.  Null ids are ids like others; rows of equal id and text are one from
+near_dedup on, one id with two texts stays two rows.
 """
 
 import uuid
@@ -62,18 +63,29 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
         return row
 
-    return map_rows(docs, ["doc_id", "lang", "source", "text"], "doc_id long, lang string, source string, n_tokens long, ids array<int>", setup)
+    kinds = dict(docs.dtypes)
+    held = ", ".join(f"{c} {kinds[c]}" for c in ("doc_id", "lang", "source"))
+    return map_rows(docs, ["doc_id", "lang", "source", "text"], f"{held}, n_tokens long, ids array<int>", setup)
 
 
 STAGES = [("language", language), ("near_dedup", near_dedup), ("decontaminate", decontaminated), ("redact", redact), ("tokenize", tokenize)]
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of the shared storage."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what lies between them is written to the shared checkpoint folder."""
+    """All stages over documents; what lies between them is written to the shared checkpoint folder, and goes when its successor is written."""
     shared_checkpoints(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, before)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
