@@ -1,4 +1,5 @@
-"""Text measures as Column expressions: everything here runs inside whole-stage codegen.
+"""Text measures as Column expressions.  Those without a lambda run inside whole-stage codegen; lambdas are interpreted, so what they
+use more than once is bound by ``let`` or ``pinned``.
 
 Character classes are spelled out because Java's ``\\w`` and ``\\s`` are not the classes the semantics need.
 """
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 LETTERS = r"\p{L}\p{N}_À-ỹĐđ"
 WORD = f"[{LETTERS}]+"
 SPACE = r"\s\x1c-\x1f\x85\p{Z}"
+SPACES = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 GARBAGE = rf"[^{LETTERS}{SPACE}.,;:!?…'\"“”‘’()\-–—/+%&]"
 TOKEN_EDGES = ".,;:!?…'\"“”‘’()[]{}<>+-–—/*"
 PAGE_NUMBER = rf"^[{SPACE}\-—–_]*[Il|1O0-9]{{1,5}}[{SPACE}\-—–_.]*$"
@@ -51,9 +53,9 @@ def pinned(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def strip_accents(text: Column, fold_d: bool = True) -> Column:
-    """Text without diacritics; exact for Latin scripts, ``similarity.strip_accents_exact`` serves all."""
+    """Text without diacritics; exact for Latin scripts, ``similarity.fold_exact`` serves all.  ASCII text is left as it is."""
     source, target = accent_table(fold_d)
-    return F.regexp_replace(F.translate(text, source, target), r"\p{Mn}", "")
+    return F.when(F.length(text) == F.octet_length(text), text).otherwise(F.regexp_replace(F.translate(text, source, target), r"\p{Mn}", ""))
 
 
 def fold(text: Column) -> Column:
@@ -63,7 +65,7 @@ def fold(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Text without white space (any, not only blanks) at either end."""
-    return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def tokens(text: Column) -> Column:

@@ -77,7 +77,9 @@ def apply_ops(items: DataFrame, min_confidence: float = 0.97, most: int = 3) ->
             .when(occurrences(state["text"], o["old"]) != 1, F.lit("old_not_unique_token_in_current"))
         )
         same_shape = T.let(F.struct(T.shape(o["old"]).alias("a"), T.shape(o["new"]).alias("b")), lambda s: (s["a"] != "") & (s["a"] == s["b"]))
-        return F.struct(early.alias("early"), votes(F.col("__cores"), o["old"]).alias("old_votes"), votes(F.col("__cores"), o["new"]).alias("new_votes"), same_shape.alias("same_shape"))
+        proof = F.struct(votes(F.col("__cores"), o["old"]).alias("old_votes"), votes(F.col("__cores"), o["new"]).alias("new_votes"), same_shape.alias("same_shape"))
+        # evidence is gathered only for what nothing else speaks against
+        return T.let(early, lambda e: T.let(F.when(e.isNull(), proof), lambda p: F.struct(e.alias("early"), p["old_votes"].alias("old_votes"), p["new_votes"].alias("new_votes"), p["same_shape"].alias("same_shape"))))
 
     def judge(o, e):
         needs = required(min_confidence, e["new_votes"], e["same_shape"])

@@ -12,8 +12,11 @@ from ..functions.similarity import sequence_ratio
 
 
 def reading_texts(evidence: DataFrame, side: list[str]) -> DataFrame:
-    """The text of each reading: its non-blank rows in order, one a line, with count and sum of known confidences."""
-    rows = evidence.withColumn("said", ~T.blank(F.col("text")))
+    """The text of each reading: its non-blank rows in order, one a line, with count and sum of known confidences.
+
+    Rows are dealt by side, so whatever is grouped or joined by side afterwards meets without another exchange.
+    """
+    rows = evidence.select(*side, "source", "pass_order", "row_no", "text", "conf").repartition(*side).withColumn("said", ~T.blank(F.col("text")))
     return rows.groupBy(*side, "source", "pass_order").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("said"), F.struct("row_no", "text")))), lambda r: r["text"]), "\n").alias("text"),
         F.sum(F.when(F.col("said") & (F.col("conf") >= 0), F.col("conf"))).alias("conf_sum"),
@@ -21,32 +24,37 @@ def reading_texts(evidence: DataFrame, side: list[str]) -> DataFrame:
     )
 
 
-def lexicon_size(lexicon: DataFrame) -> int:
-    """Whether there is a lexicon decides which measures exist; counted once."""
-    return lexicon.limit(1).count()
+#: Bytes up to which a lexicon is broadcast; a larger one is met by a join of distinct words.
+LEXICON_BYTES = 32 << 20
+
 
+def lexicon_facts(lexicon: DataFrame) -> tuple[bool, bool]:
+    """Whether there are words (that decides which measures exist), and whether they are few enough to broadcast; one job."""
+    n, held = lexicon.agg(F.count("*"), F.sum(F.octet_length("word") + 16)).first()
+    return n > 0, (held or 0) <= LEXICON_BYTES
 
-def pass_health(evidence: DataFrame, lexicon: DataFrame, side: list[str], small_lexicon: bool = False) -> DataFrame:
+
+def pass_health(evidence: DataFrame, lexicon: DataFrame, side: list[str], facts: tuple[bool, bool] | None = None) -> DataFrame:
     """Counts, ratios and score of every reading.
 
-    Words are exploded once; the lexicon joins the few distinct cores of each reading, so a frequent word costs one row a reading.
+    A broadcast lexicon marks each word where it stands; the counts then need no exchange of words.  A larger lexicon joins the
+    few distinct cores of each reading, so a frequent word costs one row a reading.
     """
-    texts = reading_texts(evidence, side)
-    key = [*side, "source", "pass_order"]
-    words = texts.select(*key, F.explode(T.words(F.col("text"))).alias("word"))
-    words = words.select(*key, T.token_core(F.col("word")).alias("core"), F.col("word").rlike(r"\p{Nd}").alias("digit"))
-    counted = words.select(*key, F.length("core").alias("n"), F.when((F.length("core") >= 3) & ~F.col("digit"), F.col("core")).alias("core"))
-    grouped = counted.groupBy(*key, "core").agg(F.count("*").alias("times"), F.count_if(F.col("n") <= 2).alias("short"))
-    known = F.broadcast(lexicon) if small_lexicon else lexicon
-    met = grouped.join(known.select(F.col("word").alias("core"), F.lit(1).alias("known")), "core", "left")
-    tallies = met.groupBy(*key).agg(
-        F.sum("times").alias("words"), F.sum("short").alias("short"),
-        F.coalesce(F.sum(F.when(F.col("core").isNotNull(), F.col("times"))), F.lit(0)).alias("eligible"), F.coalesce(F.sum(F.when(F.col("known") == 1, F.col("times"))), F.lit(0)).alias("hits"),
-    )
-    text = F.col("text")
-    measured = texts.select(*key, "conf_sum", "conf_n", F.length(text).alias("length"), F.length(T.strip(text)).alias("chars"), T.visible(text).alias("visible"), T.garbage(text).alias("weird"), T.count_of(text, r"\p{L}").alias("letters"))
-    rows = measured.join(tallies, key, "left").na.fill(0, ["words", "short", "eligible", "hits"])
-    return rows.select(*key, *health_columns(lexicon_size(lexicon) > 0))
+    has_words, few = facts or lexicon_facts(lexicon)
+    text, key = F.col("text"), [*side, "source", "pass_order"]
+    measured = [F.length(text).alias("length"), F.length(T.strip(text)).alias("chars"), T.visible(text).alias("visible"), T.garbage(text).alias("weird"), T.count_of(text, r"\p{L}").alias("letters")]
+    rows = reading_texts(evidence, side).select(*key, "conf_sum", "conf_n", *measured, T.words(text).alias("found"))
+    key = [*key, "conf_sum", "conf_n", "length", "chars", "visible", "weird", "letters"]
+    words = rows.select(*key, F.explode_outer("found").alias("word")).select(*key, "word", T.token_core(F.col("word")).alias("core"))
+    words = words.select(*key, F.length("core").alias("n"), F.when((F.length("core") >= 3) & ~F.col("word").rlike(r"\p{Nd}"), F.col("core")).alias("core"))
+    known = lexicon.select(F.col("word").alias("core"), F.lit(1).alias("known"))
+    if few:
+        met = words.select(*key, "core", F.col("n").isNotNull().cast("int").alias("times"), (F.col("n") <= 2).cast("int").alias("short")).join(F.broadcast(known), "core", "left")
+    else:
+        met = words.groupBy(*key, "core").agg(F.count("n").alias("times"), F.count_if(F.col("n") <= 2).alias("short")).join(known, "core", "left")
+    total = lambda column, name: F.coalesce(F.sum(column), F.lit(0)).alias(name)
+    tallies = met.groupBy(*key).agg(total("times", "words"), total("short", "short"), total(F.when(F.col("core").isNotNull(), F.col("times")), "eligible"), total(F.when(F.col("known") == 1, F.col("times")), "hits"))
+    return tallies.select(*side, "source", "pass_order", *health_columns(has_words))
 
 
 def health_columns(has_lexicon: bool) -> list[Column]:
@@ -71,15 +79,14 @@ def best_pass(health: DataFrame, side: list[str]) -> DataFrame:
 def cross_similarity(evidence: DataFrame, side: list[str], similarity=None) -> DataFrame:
     """Median similarity of all pairs of non-empty readings of a side; 1 for fewer than two.
 
-    Pairs are formed per side from its readings (nine at most), in pass order.
+    A side's readings (nine at most) are one array, whose pairs are formed in the row, in pass order.
     """
     similarity = similarity or sequence_ratio
-    texts = reading_texts(evidence, side).select(*side, "pass_order", F.array_join(T.tokens(T.fold(T.strip_accents(F.col("text")))), " ").alias("plain"))
-    said = texts.where("plain <> ''")
-    left, right = said.select(*side, F.col("pass_order").alias("i"), F.col("plain").alias("left")), said.select(*side, F.col("pass_order").alias("j"), F.col("plain").alias("right"))
-    pairs = left.join(right, side).where("i < j")
-    medians = pairs.select(*side, similarity(F.col("left"), F.col("right")).alias("ratio")).groupBy(*side).agg(F.median("ratio").alias("similarity"))
-    return texts.select(*side).distinct().join(medians, side, "left").select(*side, F.coalesce("similarity", F.lit(1.0)).alias("similarity"))
+    plain = F.array_join(T.tokens(T.fold(T.strip_accents(F.col("text")))), " ")
+    held = reading_texts(evidence, side).select(*side, "pass_order", plain.alias("plain")).groupBy(*side).agg(F.array_sort(F.collect_list(F.when(F.col("plain") != "", F.struct("pass_order", "plain")))).alias("said"))
+    twos = F.flatten(F.transform("said", lambda a, i: F.transform(F.slice("said", i + 2, F.size("said")), lambda b: F.struct(a["plain"].alias("left"), b["plain"].alias("right")))))
+    pairs = held.select(*side, F.explode_outer(twos).alias("p"))
+    return pairs.select(*side, similarity(F.col("p.left"), F.col("p.right")).alias("ratio")).groupBy(*side).agg(F.coalesce(F.median("ratio"), F.lit(1.0)).alias("similarity"))
 
 
 REASONS = ("symbol_soup", "fragmented_words", "lexicon_collapse", "cross_pass_instability", "low_side_confidence")

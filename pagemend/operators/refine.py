@@ -14,18 +14,16 @@ def suspect_reasons(lines: DataFrame, lexicon: DataFrame | None, key: str = "lin
 
     The lexicon is met by a join of the distinct odd tokens; without one there is no dictionary reason.
     """
-    said = F.filter(F.transform("whole_candidates", lambda c: c["text"]), lambda t: t != "")
-    exact = F.array_distinct(F.transform(said, T.fold))
-    plain = F.array_distinct(F.transform(said, lambda t: T.fold(T.strip_accents(t))))
+    lines = T.pinned(lines, "__spelled", spelled())
     checks = [
-        F.when(F.size(exact) > 1, F.lit("whole_pass_disagreement")), F.when(F.size(plain) < F.size(exact), F.lit("diacritic_disagreement")),
+        F.when(F.col("__spelled.exact") > 1, F.lit("whole_pass_disagreement")), F.when(F.col("__spelled.plain") < F.col("__spelled.exact"), F.lit("diacritic_disagreement")),
         F.when(F.col("conf") < 82, F.lit("low_word_conf")), F.when(T.garbage_score(F.col("text")) >= 4, F.lit("glyph_garbage")),
     ]
     if lexicon is None:
-        return lines.withColumn("reasons", F.array_compact(F.array(*checks)))
+        return lines.withColumn("reasons", F.array_compact(F.array(*checks))).drop("__spelled")
     marked = unknown_tokens(lines, lexicon, key)
     odd = F.when(F.col("odd").isNotNull(), F.concat(F.lit("non_dictionary:"), F.array_join(F.slice("odd", 1, 4), ",")))
-    return lines.join(marked, key, "left").withColumn("reasons", F.array_compact(F.array(*checks, odd))).drop("odd")
+    return lines.join(marked, key, "left").withColumn("reasons", F.array_compact(F.array(*checks, odd))).drop("odd", "__spelled")
 
 
 def unknown_tokens(lines: DataFrame, lexicon: DataFrame, key: str = "line_id") -> DataFrame:
@@ -36,16 +34,26 @@ def unknown_tokens(lines: DataFrame, lexicon: DataFrame, key: str = "line_id") -
     return missing.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "core"))), lambda x: x["core"]).alias("odd"))
 
 
+def spelled() -> Column:
+    """How many distinct spellings the candidates have, with and without diacritics; equal texts are folded once."""
+    said = F.array_distinct(F.filter(F.transform("whole_candidates", lambda c: c["text"]), lambda t: t != ""))
+    folded = T.let(F.array_distinct(F.transform(said, T.fold)), lambda e: F.struct(F.size(e).alias("exact"), F.size(F.array_distinct(F.transform(e, lambda t: T.fold(T.strip_accents(t))))).alias("plain")))
+    return folded
+
+
 def spellings(lines: DataFrame, key: str = "line_id") -> DataFrame:
     """Distinct spellings of a line's candidates, with and without diacritics."""
-    said = F.filter(F.transform("whole_candidates", lambda c: c["text"]), lambda t: t != "")
-    return lines.select(key, F.size(F.array_distinct(F.transform(said, T.fold))).alias("exact"), F.size(F.array_distinct(F.transform(said, lambda t: T.fold(T.strip_accents(t))))).alias("plain"))
+    return T.pinned(lines, "__spelled", spelled()).select(key, F.col("__spelled.exact").alias("exact"), F.col("__spelled.plain").alias("plain"))
 
 
 def aligned_tokens(current: Column, candidate: Column) -> Column:
-    """Pairs (old, new) of tokens at the same place; none if the counts differ."""
-    old, new = T.tokens(current), T.tokens(candidate)
-    return F.when(F.size(old) == F.size(new), F.zip_with(old, new, lambda a, b: F.struct(a.alias("old"), b.alias("new")))).otherwise(F.array().cast("array<struct<old:string,new:string>>"))
+    """Pairs (old, new) of differing tokens at the same place, ``at``; none if the counts differ, and no work for equal texts."""
+
+    def pairs(t):
+        zipped = F.transform(F.arrays_zip(t["old"].alias("old"), t["new"].alias("new")), lambda p, at: F.struct(p["old"].alias("old"), p["new"].alias("new"), at.alias("at")))
+        return F.when(F.size(t["old"]) == F.size(t["new"]), F.filter(zipped, lambda p: p["old"] != p["new"]))
+
+    return F.when(current != candidate, T.let(F.struct(T.tokens(current).alias("old"), T.tokens(candidate).alias("new")), pairs))
 
 
 def token_votes(lines: DataFrame, candidates: DataFrame, key: str = "line_id", trust: float = 85.0) -> DataFrame:
@@ -55,17 +63,28 @@ def token_votes(lines: DataFrame, candidates: DataFrame, key: str = "line_id", t
     ``candidates`` has ``cand_order`` (whole before line, in pass order), ``source``, ``text``, ``conf``.
     """
     both = candidates.where("text <> ''").select(key, "cand_order", "source", "conf", F.col("text").alias("cand")).join(lines.select(key, F.col("text").alias("current")), key)
-    pairs = both.select(key, "cand_order", "source", "conf", F.posexplode(aligned_tokens(F.col("current"), F.col("cand"))).alias("at", "p")).select(key, "cand_order", "at", "source", "conf", "p.old", "p.new")
-    pairs = pairs.where("old <> new")
-    old, new = T.token_core(F.col("old")), T.token_core(F.col("new"))
-    pairs = pairs.where((old != "") & (new != "") & ((T.strip_accents(old) == T.strip_accents(new)) | (F.col("conf") >= trust)))
-    return pairs.groupBy(key, "old", "new").agg(F.count("*").alias("votes"), F.array_sort(F.collect_set("source")).alias("sources"), F.min(F.struct("cand_order", "at")).alias("first"))
+    pairs = both.select(key, "cand_order", "source", "conf", F.explode(aligned_tokens(F.col("current"), F.col("cand"))).alias("p")).select(key, "cand_order", "source", "conf", "p.*")
+    return counted(pairs, key, trust)
+
+
+def own_votes(lines: DataFrame, key: str = "line_id", trust: float = 85.0, others: Column | None = None) -> DataFrame:
+    """``token_votes`` of the lines' own ``whole_candidates`` (of ``others``, if given): nothing is joined, only differing tokens leave the row."""
+    held = F.transform("whole_candidates" if others is None else others, lambda c, n: F.struct(n.alias("cand_order"), c["source"].alias("source"), c["conf"].alias("conf"), c["text"].alias("text")))
+    each = lines.select(key, F.col("text").alias("current"), F.explode(F.filter(held, lambda c: (c["text"] != "") & (c["text"] != F.col("text")))).alias("c"))
+    pairs = each.select(key, "c.cand_order", "c.source", "c.conf", F.explode(aligned_tokens(F.col("current"), F.col("c.text"))).alias("p")).select(key, "cand_order", "source", "conf", "p.*")
+    return counted(pairs, key, trust)
+
+
+def counted(pairs: DataFrame, key: str, trust: float) -> DataFrame:
+    cores = pairs.withColumns({"a": T.token_core(F.col("old")), "b": T.token_core(F.col("new"))})
+    valid = cores.where((F.col("a") != "") & (F.col("b") != "") & ((F.col("conf") >= trust) | (T.strip_accents(F.col("a")) == T.strip_accents(F.col("b")))))
+    return valid.groupBy(key, "old", "new").agg(F.count("*").alias("votes"), F.array_sort(F.collect_set("source")).alias("sources"), F.min(F.struct("cand_order", "at")).alias("first"))
 
 
 def shape_votes(lines: DataFrame, candidates: DataFrame, key: str = "line_id") -> DataFrame:
     """Votes only between spellings of one shape, whatever the candidate's confidence."""
     both = candidates.select(key, F.col("text").alias("cand")).join(lines.select(key, F.col("text").alias("current")), key)
-    pairs = both.select(key, F.explode(aligned_tokens(F.col("current"), F.col("cand"))).alias("p")).select(key, "p.old", "p.new").where("old <> new")
+    pairs = both.select(key, F.explode(aligned_tokens(F.col("current"), F.col("cand"))).alias("p")).select(key, "p.old", "p.new")
     old, new = T.token_core(F.col("old")), T.token_core(F.col("new"))
     return pairs.where((old != "") & (new != "") & (T.strip_accents(old) == T.strip_accents(new))).groupBy(key, "old", "new").agg(F.count("*").alias("votes"))
 

@@ -39,7 +39,7 @@ def run_deep(provider, audit: DataFrame, texts: DataFrame, config: DeepConfig =
     side = ["book", "page", "side"]
     pages = marker_text.page_lines(texts)
     admitted = stage(queue.admit(audit, pages, side))
-    items = stage(queue.batches(queue.queue(admitted), config.batch_size, ["book"], ["item_id"]))
+    items = stage(queue.batches(queue.queue(admitted, pages, side), config.batch_size, ["book"], ["item_id"]))
     asked = queue.prompts(items, ["book"], "item_id").repartition(config.workers)  # as many calls at once as workers
     replies = stage(json_files.extract_json(provider.reply(asked), "reply"))
     calls = replies.count()

@@ -61,10 +61,11 @@ class LocalRun:
 def run_local(provider, sides: DataFrame, lexicon: DataFrame, thresholds: HealthThresholds = HealthThresholds(), similarity=None) -> LocalRun:
     """``sides`` has book, page, side.  Engines are asked for collapsed sides and suspect lines only."""
     base = stage(provider.read_sides(sides, SIDE))
-    has_words = health.lexicon_size(lexicon) > 0
+    facts = health.lexicon_facts(lexicon)
+    has_words = facts[0]
 
     def report(evidence):
-        return health.side_health(health.pass_health(evidence, lexicon, SIDE), health.cross_similarity(evidence, SIDE, similarity), sides, SIDE, thresholds)
+        return health.side_health(health.pass_health(evidence, lexicon, SIDE, facts), health.cross_similarity(evidence, SIDE, similarity), sides, SIDE, thresholds)
 
     before = stage(report(base))
     evidence = stage(base.unionByName(provider.read_fallback(before.where("catastrophic"), SIDE)))

@@ -119,7 +119,7 @@ def suspect_reasons(spark, d):
 
 def token_votes(spark, d):
     held = A.held_lines(spark, d)
-    return refine.token_votes(held, A.exploded(held).where("source <> 'p0'")).select("line_id", "old", "new", "votes", F.array_join("sources", ",").alias("sources"))
+    return refine.own_votes(held, others=F.filter("whole_candidates", lambda c: c["source"] != "p0")).select("line_id", "old", "new", "votes", F.array_join("sources", ",").alias("sources"))
 
 
 def shape_votes(spark, d):
@@ -129,7 +129,7 @@ def shape_votes(spark, d):
 
 def _refined(spark, d):
     held = A.consensus_lines(spark, d)
-    return refine.refine(held, refine.token_votes(held, A.exploded(held)), None)
+    return refine.refine(held, refine.own_votes(held), None)
 
 
 def refined_lines(spark, d):
@@ -200,7 +200,7 @@ def queue_dispositions(spark, d):
 
 
 def deep_queue(spark, d):
-    out = queue.queue(_admitted(spark, d))
+    out = queue.queue(_admitted(spark, d), A.page_arrays(spark, d), DOC)
     return out.select("doc_id", "row_no", "current", "output_line", F.md5("context").alias("context_md5"), F.array_join("candidates", "|").alias("candidates"))
 
 
@@ -216,7 +216,7 @@ def micro_batches(spark, d):
 
 
 def prompt_batches(spark, d):
-    items = queue.queue(_admitted(spark, d)).withColumn("item_id", F.format_string("%012d-%06d", "doc_id", "row_no"))
+    items = queue.queue(_admitted(spark, d), A.page_arrays(spark, d), DOC).withColumn("item_id", F.format_string("%012d-%06d", "doc_id", "row_no"))
     made = queue.prompts(queue.batches(items, 6, DOC, ["item_id"]), DOC, "item_id")
     return made.select("doc_id", "batch_no", F.startswith("prompt", F.lit(queue.INSTRUCTION)).alias("instructed"), F.size(F.from_json(F.substring_index("prompt", "INPUT:\n", -1), "array<struct<id:string>>")).cast("long").alias("items"))
 
