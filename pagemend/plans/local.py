@@ -29,6 +29,10 @@ class LocalRun:
     paragraphs: DataFrame
     texts: DataFrame
 
+    def again(self) -> DataFrame:
+        """The second readings of single lines as arrays: (line_id, line_candidates)."""
+        return align.gather(self.candidates.where("cand_order >= 1000"), "line", "line_candidates")
+
     def health_audit(self) -> DataFrame:
         return health.rescues(self.before, self.after, SIDE)
 

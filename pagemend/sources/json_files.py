@@ -53,12 +53,12 @@ def extract_json(df: DataFrame, column: str, name: str = "json") -> DataFrame:
     return df.withColumn(name, find(F.col(column)))
 
 
-def reply_items(replies: DataFrame, json_col: str = "json", order: str = "batch_no") -> DataFrame:
-    """``(item_id, ops)`` from replies ``{"items": [{"id", "ops"}]}``; of repeated ids the row of the last batch counts.
+def reply_items(replies: DataFrame, json_col: str = "json", order: str = "batch_no", by: tuple[str, ...] = ()) -> DataFrame:
+    """``(by, item_id, ops)`` from replies ``{"items": [{"id", "ops"}]}``; of repeated ids the row of the last batch counts.
 
     Operations are parsed one by one, so one that is no object becomes null and the others stay.
     """
-    parsed = replies.select(order, F.posexplode(F.from_json(F.get_json_object(json_col, "$.items"), "array<string>")).alias("at", "item"))
-    raw = parsed.select(order, "at", F.from_json("item", "struct<id:string,ops:array<string>>").alias("x"))
-    rows = raw.where("coalesce(x.id, '') <> ''").select(F.col("x.id").alias("item_id"), F.struct(order, "at").alias("o"), F.transform(F.coalesce("x.ops", F.array().cast("array<string>")), lambda o: F.from_json(o, "struct<kind:string,old:string,new:string,confidence:string>")).alias("ops"))
-    return rows.groupBy("item_id").agg(F.max_by("ops", "o").alias("ops"))
+    parsed = replies.select(*by, order, F.posexplode(F.from_json(F.get_json_object(json_col, "$.items"), "array<string>")).alias("at", "item"))
+    raw = parsed.select(*by, order, "at", F.from_json("item", "struct<id:string,ops:array<string>>").alias("x"))
+    rows = raw.where("coalesce(x.id, '') <> ''").select(*by, F.col("x.id").alias("item_id"), F.struct(order, "at").alias("o"), F.transform(F.coalesce("x.ops", F.array().cast("array<string>")), lambda o: F.from_json(o, "struct<kind:string,old:string,new:string,confidence:string>")).alias("ops"))
+    return rows.groupBy(*by, "item_id").agg(F.max_by("ops", "o").alias("ops"))

@@ -1,17 +1,18 @@
+import functools
 import io
 import json
+import sys
 import time
 import zipfile
 
 import numpy as np
 import pytest
 
-from pagemend import cli
-from pagemend.config import DeepConfig, make_layout
+from pagemend import cli, config
 from pagemend.operators import queue
 from pagemend.plans.deep import run_deep
 from pagemend.plans.local import run_local
-from pagemend.plans.providers import TableProvider, find_program
+from pagemend.plans.providers import EngineProvider, TableProvider, ask, find_program, installed_languages, png
 from pagemend.schemas import AUDIT, EVIDENCE
 from pagemend.sinks import epub
 from pagemend.sinks.logs import RunLog
@@ -61,7 +62,7 @@ def deep_inputs(spark):
 def test_deep_run_patches_what_evidence_supports(spark):
     audit, texts = deep_inputs(spark)
     reply = 'thinking…\n```json\n{"items":[{"id":"1","ops":[{"kind":"replace","old":"mot","new":"một","confidence":0.95},"junk"]},{"id":"9","ops":[]}]}\n```'
-    run = run_deep(TableProvider(None, replies=spark.createDataFrame([(0, reply)], "batch_no long, reply string")), audit, texts)
+    run = run_deep(TableProvider(None, replies=spark.createDataFrame([("b", 0, reply)], "book string, batch_no long, reply string")), audit, texts)
     assert {r.item_id: r.disposition for r in run.admitted.collect()} == {"1": "queued", "2": "queued", "3": "done", "4": "collapsed", "5": "unresolved", "6": "blank"}
     assert run.patched.first().text == TEXT
     got = run.summary().first().asDict()
@@ -71,10 +72,116 @@ def test_deep_run_patches_what_evidence_supports(spark):
 
 def test_an_unanswered_batch_stops_everything(spark):
     audit, texts = deep_inputs(spark)
-    provider = TableProvider(None, replies=spark.createDataFrame([(0, "no json")], "batch_no long, reply string"))
+    provider = TableProvider(None, replies=spark.createDataFrame([("b", 0, "no json")], "book string, batch_no long, reply string"))
     with pytest.raises(RuntimeError, match="1 of 1"):
         run_deep(provider, audit, texts)
-    assert DeepConfig().batch_size == 6
+
+
+def test_books_with_the_same_batch_numbers_keep_their_replies(spark):
+    audit, texts = deep_inputs(spark)
+    both = audit.unionByName(audit.withColumn("book", queue.F.lit("c")))
+    reply = lambda new: json.dumps({"items": [{"id": "1", "ops": [{"kind": "replace", "old": "mot", "new": new, "confidence": 0.99}]}]})
+    replies = spark.createDataFrame([("b", 0, reply("một")), ("c", 0, reply("mốt"))], "book string, batch_no long, reply string")
+    run = run_deep(TableProvider(None, replies=replies), both, texts.unionByName(texts.withColumn("book", queue.F.lit("c"))))
+    assert run.calls == 2
+    assert {r.book: r.corrected for r in run.gated.where("item_id = '1'").collect()} == {"b": "Đoạn một.", "c": "Đoạn mốt."}
+
+
+def program(path, body):
+    """A stand-in for an outside program."""
+    path.write_text(f"#!{sys.executable}\n{body}", encoding="utf-8")
+    path.chmod(0o755)
+    return str(path)
+
+
+ENGINE = """
+import pathlib, sys, zlib
+if "--list-langs" in sys.argv:
+    print("List of languages (2):\\neng\\nvie")
+    sys.exit()
+log = pathlib.Path(__file__).with_name("calls")
+marked = pathlib.Path(__file__).with_name("marked").exists()
+images = pathlib.Path(sys.argv[1]).read_text().split()
+language, psm = sys.argv[sys.argv.index("-l") + 1], sys.argv[sys.argv.index("--psm") + 1]
+with log.open("a") as f:
+    f.write(f"{len(images)} {language} {psm}\\n")
+print("level\\tpage_num\\tblock_num\\tpar_num\\tline_num\\tword_num\\tleft\\ttop\\twidth\\theight\\tconf\\ttext")
+for n, name in enumerate(images, 1):
+    data = pathlib.Path(name).read_bytes()
+    assert data[:4] == b"\\x89PNG"
+    mark = "Trang " + "abcdefghij"[zlib.crc32(data[16:24]) % 10] * 3 + str(int.from_bytes(data[16:20], "big")) + ". "
+    lines = ["Người đọc có thể hiểu nội dung chính của trang sách này một cách rõ ràng.", "Các câu văn được nối tiếp nhau bằng những ý tưởng đầy đủ và tự nhiên."]
+    for row, line in enumerate(lines if psm in "34" else lines[:1], 1):
+        for k, word in enumerate(((mark if marked else "") + line).split(), 1):
+            print(f"5\\t{n}\\t1\\t1\\t{row}\\t{k}\\t{100 * k}\\t{300 * row}\\t90\\t50\\t{80 if language == 'vie' else 75}\\t{word}")
+"""
+
+
+def test_engine_reads_sides_and_lines_in_batches(spark, tmp_path):
+    engine = program(tmp_path / "engine", ENGINE)
+    assert installed_languages(engine) == {"eng", "vie"}
+    image = np.full((60, 80), 255, np.uint8)
+    sides = spark.createDataFrame([("b", page, side, 60, 80, 1, image.tobytes()) for page in (1, 2) for side in "LR"], "book string, page int, side string, height int, width int, channels int, pixels binary")
+    provider = EngineProvider(sides, engine, workers=1)
+    keys = ["book", "page", "side"]
+    whole = provider.read_sides(sides.where("page = 1 or side = 'L'"), keys).collect()
+    calls = lambda: [x.split() for x in (tmp_path / "calls").read_text().split("\n") if x]
+    assert sorted(c[0] for c in calls()) == sorted(["2"] * 5 + ["1"] * 5)  # three sides, two at once, five passes
+    assert len(whole) == 3 * 5 * 2 and {r.pass_order for r in whole} == set(range(5)) and {r.row_no for r in whole} == {1, 2}
+    first = next(r for r in whole if r.row_no == 1 and r.source == "base_ve_25")
+    assert first.text.startswith("Người đọc") and (first.x, first.y, first.conf) == (40, 120, 75.0)
+    (tmp_path / "calls").unlink()
+    again = provider.read_fallback(sides.where("page = 2"), keys).collect()
+    assert {c[0] for c in calls()} == {"1"} and len(calls()) == 8 and {r.pass_order for r in again} == {5, 6, 7, 8}
+    (tmp_path / "calls").unlink()
+    asked = spark.createDataFrame([("b", 1, "L", f"l{n:02d}", 1, n, 30, 10) for n in range(30)], "book string, page int, side string, line_id string, x int, y int, w int, h int")
+    read = provider.read_lines(asked).collect()
+    assert sorted(c[0] for c in calls()) == sorted(["28"] * 5 + ["2"] * 5) and len(read) == 150 and {r.conf for r in read} == {75.0, 80.0}
+    assert png(image)[:8] == b"\x89PNG\r\n\x1a\n"
+    bad = EngineProvider(sides, program(tmp_path / "bad", "import sys; sys.exit('no')"), workers=1)
+    with pytest.raises(Exception, match="recognition by base_ve_25 failed"):
+        bad.read_sides(sides, keys).collect()
+
+
+def test_replies_of_a_program(spark, tmp_path):
+    asked = spark.createDataFrame([("b", n, f"prompt {n} é") for n in range(3)], "book string, batch_no long, prompt string")
+    said = program(tmp_path / "said", "import sys, json; t = open(sys.argv[1], encoding='utf-8').read(); print('ok', json.dumps({'items': [], 'said': t})) if '1' not in t else sys.exit('broken')")
+    replies = {r.batch_no: r.reply for r in EngineProvider(None, "", command=[said, "{prompt}"]).reply(asked).collect()}
+    assert json.loads(json_files.first_json(replies[0]))["said"] == "prompt 0 é" and replies[1] is None and replies[2]
+    locked = program(tmp_path / "locked", f"import sys, pathlib; p = pathlib.Path({str(tmp_path / 'n')!r}); n = len(p.read_text()) if p.exists() else 0; p.write_text('x' * (n + 1)); sys.exit('database is locked') if n < 2 else print('[]')")
+    assert ask([locked, "{prompt}"], "x", 20, (0.01, 0.01)).strip() == "[]"
+    with pytest.raises(RuntimeError):
+        ask([program(tmp_path / "broken", "import sys; sys.exit(3)")], "x", 20, (0.01,))
+
+
+def test_book_to_book_by_command_line(spark, tmp_path, monkeypatch):
+    engine = program(tmp_path / "engine", ENGINE)
+    (tmp_path / "scan.pdf").write_bytes(b"xx")
+    (tmp_path / "marked").touch()
+
+    def draw(path, index, scale):
+        page = np.full((400, 900, 3), 255, np.uint8)
+        page[50:350, 50 : 300 + 40 * index] = 0
+        page[50:350, 500 : 700 + 90 * index] = 0
+        return page
+
+    monkeypatch.setattr(pdf, "sides", functools.partial(pdf.sides, renderer=(lambda path: 2, draw)))
+    out = tmp_path / "out"
+    assert cli.main([str(tmp_path / "scan.pdf"), "--start", "1", "--end", "2", "--output", str(out), "--tesseract", engine, "--workers", "2", "--batch-sides", "2"]) == 0
+    paths = config.outputs(config.LOCAL_OUTPUTS, "scan_1_2", str(out))
+    text = open(paths["text"], encoding="utf-8").read()
+    assert text.count("=====") == 8 and "Người đọc" in text and zipfile.is_zipfile(paths["book"])
+    assert json.load(open(paths["summary"]))["sides_in"] == 4 and len(json.load(open(paths["health"]))) == 4
+    said = program(tmp_path / "model", "import json; print(json.dumps({'items': []}))")
+    assert cli.main([str(tmp_path / "scan.pdf"), "--start", "1", "--end", "2", "--output", str(out), "--deep-only", "--reply-program", said, "--model", "m"]) == 0
+    assert open(config.outputs(config.DEEP_OUTPUTS, "scan_1_2", str(out))["text"], encoding="utf-8").read() == text
+
+
+def test_compiled_word_list(spark, tmp_path):
+    unpack = program(tmp_path / "unpack", "import sys; [open(sys.argv[3] + x, 'w').write('x') for x in ('lstm-unicharset', 'lstm-word-dawg')]")
+    listed = program(tmp_path / "list", "import sys; open(sys.argv[3], 'w').write('Sách\\n\\nđọc\\nsách\\n')")
+    assert sorted(r.word for r in lexicon.compiled_lexicon(spark, "vie.traineddata", unpack, listed).collect()) == ["sách", "đọc"]
+    assert lexicon.compiled_lexicon(spark, "vie.traineddata", "/no/such", listed).count() == 0
 
 
 def test_stream_of_replies(spark, tmp_path):
@@ -107,6 +214,21 @@ def test_epub_round_trip_and_source(spark, tmp_path):
     names = zipfile.ZipFile(io.BytesIO(bytes(made.epub))).namelist()
     assert names[0] == "mimetype" and {"EPUB/p001.xhtml", "EPUB/p002.xhtml"} <= set(names) and made.pages == 2
     epub.validate(bytes(made.epub))
+
+    def altered(change):
+        old, out = zipfile.ZipFile(io.BytesIO(bytes(made.epub))), io.BytesIO()
+        with zipfile.ZipFile(out, "w") as new:
+            for entry in old.infolist():
+                name, content = change(entry.filename, old.read(entry.filename).decode())
+                if name:
+                    new.writestr(name, content)
+        return epub.faults(out.getvalue())
+
+    assert altered(lambda name, content: (name, content)) == []
+    assert altered(lambda name, content: (name, content.replace("<p>", "<q>"))) and altered(lambda name, content: (None if "p002" in name else name, content)) == ["EPUB/p002.xhtml is missing"]
+    assert altered(lambda name, content: (name.replace("p002", "p009"), content)) == ["EPUB/p002.xhtml is missing", "EPUB/p009.xhtml is not in the manifest"]
+    assert altered(lambda name, content: (name, content.replace('idref="p2"', 'idref="p7"'))) == ["the reading order names p7, which the manifest does not"]
+    assert altered(lambda name, content: (name, "other" if name == "mimetype" else content)) and epub.faults(b"x")
     with pytest.raises(ValueError):
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w") as z:
@@ -151,7 +273,7 @@ def test_images(spark):
 
 def test_pages_of_a_book(spark, tmp_path):
     (tmp_path / "book.pdf").write_bytes(b"xxx")
-    drawn = (len, lambda content, index, scale: np.full((30, 60, 3), 10 * index, np.uint8))
+    drawn = (lambda path: len(open(path, 'rb').read()), lambda path, index, scale: np.full((30, 60, 3), 10 * index, np.uint8))
     got = pdf.sides(spark, str(tmp_path / "book.pdf"), 2, 3, renderer=drawn).collect()
     assert sorted((r.page, r.side) for r in got) == [(2, "L"), (2, "R"), (3, "L"), (3, "R")] and all(r.channels == 3 for r in got)
     with pytest.raises(ValueError):
@@ -170,9 +292,10 @@ def test_command_line(spark, tmp_path):
     provider.fallback.drop("book").write.parquet(str(tmp_path / "f"))
     base = [str(tmp_path / "book.pdf"), "--start", "1", "--end", "9", "--output", str(tmp_path / "out")]
     assert cli.main([*base, "--evidence", str(tmp_path / "e"), "--fallback", str(tmp_path / "f")]) == 0
-    layout = make_layout(tmp_path / "book.pdf", 1, 9, tmp_path / "out")
-    assert json.loads(layout.file("summary.json").read_text())["sides_in"] == 3 and zipfile.is_zipfile(layout.epub)
+    paths, later = config.outputs(config.LOCAL_OUTPUTS, "book_1_9", str(tmp_path / "out")), config.outputs(config.DEEP_OUTPUTS, "book_1_9", str(tmp_path / "out"))
+    assert json.load(open(paths["summary"]))["sides_in"] == 3 and zipfile.is_zipfile(paths["book"])
     assert cli.main([*base, "--deep-only"]) == 0
-    assert layout.deep_text.read_text(encoding="utf-8") == layout.text.read_text(encoding="utf-8")
+    assert open(later["text"], encoding="utf-8").read() == open(paths["text"], encoding="utf-8").read()
+    assert json.load(open(later["summary"]))["ai_calls"] >= 0
     with pytest.raises(FileNotFoundError):
         find_program(None, "NO_SUCH_VARIABLE", ("no-such-program",))
