@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
@@ -12,6 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
+def book() -> Column:
+    """The book of a document: fifty neighbouring documents are its sides, so a book stays a book however large the corpus is."""
+    return F.concat(F.lit("b"), F.expr("doc_id div 50").cast("string")).alias("book")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A table of fewer partitions than cores dealt out evenly: a small file is one row group, and so one task.  Others stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -21,7 +26,7 @@ def spread(df: DataFrame) -> DataFrame:
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of every document with a box and a confidence: (book, doc_id, row_no, text, conf, x, y, w, h)."""
     docs = table(spark, sf_dir, "documents")
-    rows = docs.select(F.col("source").alias("book"), "doc_id", F.posexplode(F.split("text", "\n")).alias("row_no", "raw"))
+    rows = docs.select(book(), "doc_id", F.posexplode(F.split("text", "\n")).alias("row_no", "raw"))
     i = F.col("row_no")
     return rows.select(
         "book", "doc_id", "row_no", F.trim("raw").alias("text"), (60 + (F.col("doc_id") * 31 + i * 17) % 41).cast("double").alias("conf"),
@@ -80,7 +85,7 @@ def furniture_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("doc_id") % 7 == 0, F.array(F.lit(""))).otherwise(F.array().cast("array<string>")),
         F.array((F.col("doc_id") % 500).cast("string")),
     )
-    rows = docs.select(F.col("source").alias("book"), "doc_id", F.posexplode(extra).alias("row_no", "text"))
+    rows = docs.select(book(), "doc_id", F.posexplode(extra).alias("row_no", "text"))
     return rows.withColumn("conf", (60 + (F.col("doc_id") * 31 + F.col("row_no") * 17) % 41).cast("double"))
 
 

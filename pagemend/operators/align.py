@@ -5,32 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.similarity import best_match
+from ..functions.similarity import best_matches
 from ..schemas import CANDIDATE
 
 
 def align(lines: DataFrame, rows: DataFrame, side: list[str], at_least: float = 0.45) -> DataFrame:
     """``(line_id, source, pass_order, text, conf)``: for each line and reading the row of highest similarity, if it reaches ``at_least``.
 
-    A reading's rows of one side meet the line as one array, so no line-by-row pairs are shuffled; the comparison prunes by
-    upper bounds and is exact.  Ties go to the earlier row.
+    A side's lines and the rows of its readings meet once, in one group; the comparison prunes by upper bounds and is exact.  Ties
+    go to the earlier row.
     """
-    packed = rows.groupBy(*side, "source", "pass_order").agg(F.array_sort(F.collect_list(F.struct("row_no", "text", "conf"))).alias("rows"))
-    both = lines.select(*side, "line_id", F.col("text").alias("anchor")).join(packed, side)
     kind = dict(lines.dtypes)["line_id"]
 
-    def run(batches):
+    def run(key, anchors, found):
         import pandas as pd
 
-        for frame in batches:
-            out = []
-            for line, source, order, anchor, found in zip(frame["line_id"], frame["source"], frame["pass_order"], frame["anchor"], frame["rows"], strict=True):
-                at = best_match(anchor, [r["text"] for r in found], at_least)
+        out = []
+        for (source, order), own in found.sort_values("row_no", kind="stable").groupby(["source", "pass_order"], sort=False):
+            said, conf = own["text"].tolist(), own["conf"].tolist()
+            for line, at in zip(anchors["line_id"], best_matches(anchors["anchor"].tolist(), said, at_least), strict=True):
                 if at is not None:
-                    out.append((line, source, order, found[at]["text"], found[at]["conf"]))
-            yield pd.DataFrame(out, columns=["line_id", "source", "pass_order", "text", "conf"])
+                    out.append((line, source, order, said[at], conf[at]))
+        return pd.DataFrame(out, columns=["line_id", "source", "pass_order", "text", "conf"])
 
-    return both.select("line_id", "source", "pass_order", "anchor", "rows").mapInPandas(run, f"line_id {kind}, source string, pass_order int, text string, conf double")
+    anchors = lines.select(*side, "line_id", F.col("text").alias("anchor")).groupBy(*side)
+    readings = rows.select(*side, "source", "pass_order", "row_no", "text", "conf").groupBy(*side)
+    return anchors.cogroup(readings).applyInPandas(run, f"line_id {kind}, source string, pass_order int, text string, conf double")
 
 
 def gather(readings: DataFrame, kind: str, name: str, passes: DataFrame | None = None) -> DataFrame:

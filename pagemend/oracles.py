@@ -58,7 +58,7 @@ def score_of(x: str) -> str:
 
 LINES = f"""lines AS (
   SELECT book, doc_id, i, trim(raw) AS text, (60 + (doc_id * 31 + i * 17) % 41)::DOUBLE AS conf, 0 AS x, 24 * i + 20 * (i // 5) AS y, 10 * length(trim(raw)) AS w, 20 + i % 3 AS h
-  FROM (SELECT source AS book, doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents))"""
+  FROM (SELECT 'b' || (doc_id // 50) AS book, doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents))"""
 READINGS = f"""reads AS (
   SELECT book, doc_id, i, text AS anchor, conf AS line_conf, unnest([0, 1, 2, 3, 4]) AS o, conf - 2 * unnest([0, 1, 2, 3, 4]) AS conf,
     unnest([text, {plain('text')}, lower(text), CASE WHEN (doc_id + i) % 7 = 0 THEN replace(text, 'e', 'c') ELSE text END, CASE WHEN doc_id % 11 = 0 THEN text || ' ###' ELSE text END]) AS text FROM lines)"""
@@ -140,7 +140,7 @@ REVIEW = f"""review AS (
   FROM suspects s JOIN reads r USING (doc_id, i) WHERE s.conf < 82 OR len(s.reasons) > 0 GROUP BY s.doc_id, s.i)"""
 
 FURNITURE = """extra AS (
-  SELECT source AS book, doc_id, list_concat(string_split(text, chr(10)), CASE WHEN doc_id % 5 = 0 THEN ['***', '**'] ELSE [] END, CASE WHEN doc_id % 7 = 0 THEN [''] ELSE [] END, [(doc_id % 500)::VARCHAR]) AS ls FROM documents
+  SELECT 'b' || (doc_id // 50) AS book, doc_id, list_concat(string_split(text, chr(10)), CASE WHEN doc_id % 5 = 0 THEN ['***', '**'] ELSE [] END, CASE WHEN doc_id % 7 = 0 THEN [''] ELSE [] END, [(doc_id % 500)::VARCHAR]) AS ls FROM documents
 ), fur AS (SELECT book, doc_id, len(ls) AS n, unnest(range(len(ls))) AS i, unnest(ls) AS text FROM extra
 ), furn AS (SELECT *, (60 + (doc_id * 31 + i * 17) % 41)::DOUBLE AS conf FROM fur)"""
 
@@ -151,7 +151,7 @@ def header_key(x: str) -> str:
 
 HEADERS = f"""heads AS (
   SELECT book, key, count(*) AS times FROM (SELECT book, {header_key('text')} AS key FROM furn WHERE i < 3) WHERE length(key) BETWEEN 8 AND 90 GROUP BY book, key
-), headers AS (SELECT book, key, times FROM heads JOIN (SELECT source AS book, count(*) AS n FROM documents GROUP BY source) USING (book) WHERE times >= greatest(3, floor(n * 0.08::DOUBLE)))"""
+), headers AS (SELECT book, key, times FROM heads JOIN (SELECT 'b' || (doc_id // 50) AS book, count(*) AS n FROM documents GROUP BY ALL) USING (book) WHERE times >= greatest(3, floor(n * 0.08::DOUBLE)))"""
 DROPS = f"""kinds AS (
   SELECT doc_id, {stripped('text')} AS text, conf, CASE WHEN {stripped('text')} = '' THEN 'empty'
     WHEN regexp_full_match({stripped('text')}, '[{SPACE}\\-—–_]*[Il|1O0-9]{{1,5}}[{SPACE}\\-—–_.]*') AND (i <= 2 OR i >= n - 3) THEN 'page_number'
@@ -244,6 +244,9 @@ def required(base: str, votes: str, same: str) -> str:
 
 XHTML_HEAD = '<?xml version="1.0" encoding="utf-8"?>\n<!DOCTYPE html>\n<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops" lang="vi" xml:lang="vi">\n'
 
+XHTML_PAGES = f"""WITH p AS (SELECT doc_id, '{XHTML_HEAD}<head><title>PDF' || doc_id || '</title><link rel="stylesheet" type="text/css" href="style.css"/></head>\n<body><h1>PDF' || doc_id || '</h1>' ||
+        array_to_string(list_transform(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^{SPACE}]')), lambda x: '<p>' || {escaped('x')} || '</p>'), chr(10)) || '</body>\n</html>' AS x FROM documents)"""
+
 SQL = {
     "pass_health": f"{BASE}, {health()} SELECT {COLUMNS} FROM health",
     "pass_health_no_lexicon": f"{BASE}, {health(False)} SELECT {COLUMNS} FROM health",
@@ -269,8 +272,8 @@ SQL = {
       FROM furn WHERE regexp_matches(text, '[^{SPACE}]')""",
     "crop_boxes": f"""WITH {LINES}, p AS (SELECT *, 900 + doc_id % 100 AS iw, 1400 + doc_id % 50 AS ih FROM lines), q AS (SELECT *, greatest(25, trunc(iw * 0.06::DOUBLE)) AS px, greatest(22, trunc(ih * 0.025::DOUBLE)) AS py FROM p)
       SELECT doc_id, i::INT AS row_no, greatest(0, x - px)::BIGINT AS x0, greatest(0, y - py)::BIGINT AS y0, least(iw, x + w + px)::BIGINT AS x1, least(ih, y + h + py)::BIGINT AS y1 FROM q""",
-    "side_jobs": f"""SELECT book, chunk, name, count(*) AS sides, min(doc_id) AS first_doc FROM (SELECT source AS book, doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 2 AS chunk FROM documents), (SELECT unnest([{PASS_LIST}]) AS name) GROUP BY ALL""",
-    "line_jobs": f"""{BASE}, {SPELLED}, {SUSPECTS}, s AS (SELECT source AS book, doc_id, i FROM suspects JOIN documents USING (doc_id) WHERE len(reasons) > 0),
+    "side_jobs": f"""SELECT book, chunk, name, count(*) AS sides, min(doc_id) AS first_doc FROM (SELECT 'b' || (doc_id // 50) AS book, doc_id, (row_number() OVER (PARTITION BY doc_id // 50 ORDER BY doc_id) - 1) // 2 AS chunk FROM documents), (SELECT unnest([{PASS_LIST}]) AS name) GROUP BY ALL""",
+    "line_jobs": f"""{BASE}, {SPELLED}, {SUSPECTS}, s AS (SELECT 'b' || (doc_id // 50) AS book, doc_id, i FROM suspects JOIN documents USING (doc_id) WHERE len(reasons) > 0),
       c AS (SELECT book, (row_number() OVER (PARTITION BY book ORDER BY doc_id, i) - 1) // 28 AS chunk FROM s) SELECT book, name, count(*) AS lines, count(DISTINCT chunk) AS processes FROM c, (SELECT unnest([{LINE_PASS_LIST}]) AS name) GROUP BY ALL""",
     "spellings": f"{BASE}, {SPELLED} SELECT {LINE_ID}, exact::INT AS exact, plain::INT AS plain FROM spelled",
     "suspect_reasons": f"""{BASE}, {SPELLED}, {SUSPECTS}, tk AS (SELECT doc_id, i, unnest({tokens('text')}) AS token, unnest(range(len({tokens('text')}))) AS spot FROM suspects),
@@ -290,7 +293,7 @@ SQL = {
     "cleanup_reason_counts": f"WITH {FURNITURE}, {HEADERS}, {DROPS} SELECT reason, count(*) AS lines FROM drops GROUP BY reason",
     "paragraphs": f"WITH {LINES}, {PARAGRAPHS} SELECT doc_id, par, text FROM pars",
     "cleaned_text": f"WITH {LINES}, {PARAGRAPHS}, {SIDES} SELECT doc_id, md5(text) AS text_md5, length(text)::BIGINT AS n_chars FROM sides",
-    "book_texts": f"""WITH {LINES}, {PARAGRAPHS}, {SIDES}, b AS (SELECT source AS book, string_agg(sides.text, chr(10) || chr(10) || chr(10) ORDER BY doc_id) || chr(10) AS text FROM sides JOIN documents USING (doc_id) GROUP BY source)
+    "book_texts": f"""WITH {LINES}, {PARAGRAPHS}, {SIDES}, b AS (SELECT 'b' || (doc_id // 50) AS book, string_agg(sides.text, chr(10) || chr(10) || chr(10) ORDER BY doc_id) || chr(10) AS text FROM sides GROUP BY ALL)
       SELECT book, md5(text) AS text_md5, length(text)::BIGINT AS n_chars FROM b""",
     "marker_sides": f"""WITH {MARKED}, s AS (SELECT doc_id, nth, max(pg) AS pg, max(sd) AS sd, string_agg(line, chr(10) ORDER BY spot) FILTER (pg = '') AS body FROM nths WHERE nth > 0 GROUP BY doc_id, nth),
       p AS (SELECT *, list_filter(list_transform(string_split(coalesce(body, ''), chr(10) || chr(10)), lambda x: {stripped('x')}), lambda x: x <> '') AS ps FROM s)
@@ -314,10 +317,10 @@ SQL = {
         THEN {{'t': replace(acc.t, s.o, s.o || '+'), 'o': '', 'a': acc.a + 1, 'm': acc.m}} ELSE {{'t': acc.t, 'o': '', 'a': acc.a, 'm': acc.m + 1}} END, {{'t': text, 'o': '', 'a': 0, 'm': 0}}) END AS done FROM documents LEFT JOIN p USING (doc_id))
       SELECT doc_id, md5(done.t) AS text_md5, done.a::BIGINT AS patched, done.m::BIGINT AS missed FROM d""",
     "xhtml_escape": f"SELECT page_id, md5({escaped('html')}) AS html_md5, regexp_replace(url, '[^A-Za-z0-9_.-]+', '_', 'g') AS name FROM pages",
-    "xhtml_pages": f"""WITH p AS (SELECT doc_id, '{XHTML_HEAD}<head><title>PDF' || doc_id || '</title><link rel="stylesheet" type="text/css" href="style.css"/></head>\n<body><h1>PDF' || doc_id || '</h1>' ||
-        array_to_string(list_transform(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^{SPACE}]')), lambda x: '<p>' || {escaped('x')} || '</p>'), chr(10)) || '</body>\n</html>' AS x FROM documents)
+    "xhtml_pages": f"""{XHTML_PAGES}
       SELECT doc_id, length(x)::BIGINT AS n_chars, md5(x) AS xhtml_md5 FROM p""",
-    "epub_books": "SELECT source AS book, count(*)::INT AS pages, true AS written FROM documents GROUP BY source",
+    "epub_books": f"""{XHTML_PAGES}
+      SELECT 'b' || (doc_id // 50) AS book, count(*)::INT AS pages, count(*)::INT AS read, md5(string_agg(x, '' ORDER BY doc_id)) AS xhtml_md5 FROM p GROUP BY ALL""",
     "extract_json": "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events",
     "fenced_json": "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN props ELSE '' END AS json FROM events",
     "clean_confidences": f"WITH {LINES}, {WORD_ROWS} SELECT doc_id, sum(coalesce(try_cast(conf AS DOUBLE), -1)) AS conf_sum, count(*) FILTER (coalesce(try_cast(conf AS DOUBLE), -1) >= 0) AS known FROM word_rows GROUP BY doc_id",

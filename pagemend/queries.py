@@ -93,7 +93,7 @@ def crop_boxes(spark, d):
 
 def side_jobs(spark, d):
     """How many sides each recognition process would read: sides by passes, chunked in books."""
-    sides = A.table(spark, d, "documents").select(F.col("source").alias("book"), "doc_id")
+    sides = A.table(spark, d, "documents").select(A.book(), "doc_id")
     jobs = lines.jobs(sides, pass_table(spark, WHOLE_PASSES).select("name", "pass_order"), 2, ["book"], ["doc_id"])
     return jobs.groupBy("book", "chunk", "name").agg(F.count("*").alias("sides"), F.min("doc_id").alias("first_doc"))
 
@@ -153,7 +153,7 @@ def _furniture(spark, d):
 
 
 def repeated_headers(spark, d):
-    sides = A.table(spark, d, "documents").select(F.col("source").alias("book"), "doc_id")
+    sides = A.table(spark, d, "documents").select(A.book(), "doc_id")
     return cleanup.repeated_headers(_furniture(spark, d), sides, "book")
 
 
@@ -176,7 +176,7 @@ def cleaned_text(spark, d):
 
 
 def book_texts(spark, d):
-    books = A.table(spark, d, "documents").select("doc_id", F.col("source").alias("book"))
+    books = A.table(spark, d, "documents").select("doc_id", A.book())
     sides = cleanup.side_texts(paragraphs(spark, d), DOC, F.concat(F.lit("PDF"), F.col("doc_id").cast("string"))).join(books, "doc_id")
     return cleanup.book_texts(sides, "book", DOC).select("book", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n_chars"))
 
@@ -250,8 +250,11 @@ def xhtml_pages(spark, d):
 
 
 def epub_books(spark, d):
-    docs = A.table(spark, d, "documents").select(F.col("source").alias("book"), "doc_id", F.split("text", "\n").alias("paragraphs"))
-    return epub.books(docs, "book", "doc_id", F.col("doc_id").cast("string"), F.col("paragraphs")).select("book", "pages", (F.length("epub") > 0).alias("written"))
+    """Every book made, taken apart again: its pages in reading order and the digest of all their XHTML."""
+    docs = A.table(spark, d, "documents").select(A.book(), "doc_id", F.split("text", "\n").alias("paragraphs"))
+    made = epub.books(docs, "book", "doc_id", F.concat(F.lit("PDF"), F.col("doc_id").cast("string")), F.col("paragraphs"))
+    read = F.udf(epub.read_pages, "array<string>", useArrow=True)
+    return made.select("book", "pages", read("epub").alias("x")).select("book", "pages", F.size("x").alias("read"), F.md5(F.array_join("x", "")).alias("xhtml_md5"))
 
 
 def _replies(spark, d):

@@ -67,4 +67,4 @@ def test_rounding_is_exact(spark):
 def test_best_match_equals_comparing_with_all(text, rows):
     scores = [similarity.ratio(similarity.folded(text), similarity.folded(r)) for r in rows]
     best = max(range(len(rows)), key=lambda i: scores[i], default=None)
-    assert similarity.best_match(text, rows, 0.45) == (best if best is not None and scores[best] >= 0.45 else None)
+    assert similarity.best_matches([text], rows, 0.45) == [best if best is not None and scores[best] >= 0.45 else None]
