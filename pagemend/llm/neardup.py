@@ -309,12 +309,12 @@ def links_of_blocks(ids: list, labels: list, blocks: list, sigs: list, texts: li
     return links
 
 
-def compared_in_blocks(rest: DataFrame, buckets: DataFrame, texts: DataFrame, at_least: float, block: int) -> DataFrame:
+def compared_in_blocks(rest: DataFrame, buckets: DataFrame, nodes: DataFrame, texts: DataFrame, at_least: float, block: int) -> DataFrame:
     """Links found by comparing each with each in these buckets, block by block."""
     many = buckets.select("sig", F.ceil(F.greatest(F.col("n") / block, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("parts"))
     held = rest.join(many, "sig").withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("sig", "band", "node", "label", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
-    held = held.join(texts, "node")
+    held = held.join(nodes.select("node", "sigs").join(held.select("node").distinct(), "node", "left_semi").join(texts, "node"), "node")
 
     def run(rows):
         import pyarrow as pa
@@ -342,9 +342,9 @@ def near_duplicates(
     every = nodes.select("node", "n_words", "size", F.posexplode("sigs").alias("band", "sig"))
     crowded = every.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1")
     members = settle(every.join(crowded.select("sig"), "sig", "left_semi"))  # whoever shares a bucket with another text
-    involved = small(settle(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "same", "sigs")))
+    involved = small(settle(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "same")))
     texts = docs.select(F.sha2(F.col(text_col).cast("binary"), 256).alias("same"), F.col(text_col).alias("text")).join(involved, "same")
-    texts = settle(texts.dropDuplicates(["node"]).select("node", "sigs", "text"))
+    texts = settle(texts.dropDuplicates(["node"]).select("node", "text"))
 
     def labelled_by(labels: DataFrame) -> DataFrame:
         return relabel(members.withColumn("label", F.col("node")), "label", labels)
@@ -367,7 +367,7 @@ def near_duplicates(
     large = (F.col("n") > at_once) | (F.col("bytes") > BLOCK_BYTES)
     links = compared(rest, buckets.where(~large), tried, texts, at_least)
     if not buckets.where(large).isEmpty():
-        links = links.unionByName(compared_in_blocks(rest, buckets.where(large), texts, at_least, block))
+        links = links.unionByName(compared_in_blocks(rest, buckets.where(large), nodes, texts, at_least, block))
     label = joined(label, links)
     # rows by the class of their text
     keyed = rows.groupBy("id", "same").agg(F.count("*").alias("copies"))
