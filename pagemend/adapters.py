@@ -140,3 +140,30 @@ def op_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     third = word(2)
     ops = F.array(op("replace", word(0), F.replace(word(0), F.lit("e"), F.lit("c"))), op("", word(1), T.strip_accents(word(1))), op("segment", third, F.concat(F.substring(third, 1, 2), F.lit(" "), F.substring(third, F.lit(3), F.length(third)))))
     return rows.select("doc_id", "row_no", F.col("text").alias("current"), F.array(T.strip_accents(F.col("text")), F.replace("text", F.lit("e"), F.lit("c"))).alias("candidates"), ops.alias("ops"))
+
+
+def noisy_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``evidence`` in which recognition failed on every thirteenth document: letters read as signs, with little confidence."""
+    failed = F.col("doc_id") % 13 == 0
+    rows = evidence(spark, sf_dir)
+    return rows.withColumns({"text": F.when(failed, F.translate("text", "aeinrst", "~#|{}^@")).otherwise(F.col("text")), "conf": F.when(failed, F.col("conf") - 40).otherwise(F.col("conf"))})
+
+
+def tsv_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an engine would print for each document: one TSV text with a header line and a row a word."""
+    rows = word_rows(spark, sf_dir)
+    cells = [F.lit("5"), F.lit("1"), F.col("block"), F.col("par"), F.col("line"), F.col("word_no"), F.col("left"), F.col("top"), F.col("width"), F.col("height"), F.col("conf"), F.col("text")]
+    line = F.array_join(F.array(*[c.cast("string") for c in cells]), "\t")
+    head = "level page_num block_num par_num line_num word_num left top width height conf text".replace(" ", "\t")
+    packed = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line", "word_no", line.alias("cells")))).alias("rows"))
+    return packed.select("doc_id", F.concat(F.lit(head + "\n"), F.array_join(F.transform("rows", lambda r: r["cells"]), "\r\n")).alias("tsv"))
+
+
+def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reply for every three lines of a document: an operation on the first word of each, one that is no object, and an item without an id."""
+    rows = lines(spark, sf_dir).select("book", "doc_id", "row_no", F.regexp_extract("text", r"[\p{L}]+", 0).alias("word"))
+    op = F.to_json(F.struct(F.lit("replace").alias("kind"), F.col("word").alias("old"), F.upper("word").alias("new"), F.lit(0.99).alias("confidence")))
+    item = F.concat(F.lit('{"id":"'), F.col("doc_id").cast("string"), F.lit("-"), F.col("row_no").cast("string"), F.lit('","ops":['), op, F.lit(',"none"]}'))
+    batch = F.floor(F.col("row_no") / 3).cast("long")
+    packed = rows.groupBy("book", "doc_id", batch.alias("batch_no")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", item.alias("item")))), lambda x: x["item"]), ",").alias("items"))
+    return packed.select("book", "doc_id", "batch_no", F.concat(F.lit("Here you are: "), F.lit('{"items":['), F.col("items"), F.lit(',{"ops":[]}]} as you asked')).alias("reply"))

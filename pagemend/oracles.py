@@ -247,7 +247,34 @@ XHTML_HEAD = '<?xml version="1.0" encoding="utf-8"?>\n<!DOCTYPE html>\n<html xml
 XHTML_PAGES = f"""WITH p AS (SELECT doc_id, '{XHTML_HEAD}<head><title>PDF' || doc_id || '</title><link rel="stylesheet" type="text/css" href="style.css"/></head>\n<body><h1>PDF' || doc_id || '</h1>' ||
         array_to_string(list_transform(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^{SPACE}]')), lambda x: '<p>' || {escaped('x')} || '</p>'), chr(10)) || '</body>\n</html>' AS x FROM documents)"""
 
+# recognition failed on every thirteenth document; collapsed sides get second readings
+FAILED = "CASE WHEN doc_id % 13 = 0 THEN {} ELSE {} END"
+NOISY = f"""WITH {LINES}, {READINGS.replace('reads AS', 'clean AS', 1)}, reads AS (
+  SELECT book, doc_id, i, anchor, line_conf, o, {FAILED.format('conf - 40', 'conf')} AS conf, {FAILED.format("translate(text, 'aeinrst', '~#|{}^@')".replace('{', '{{').replace('}', '}}').format(), 'text')} AS text FROM clean), {LEXICON}"""
+NOISY_REPORT = f"{NOISY}, {health()}, {BEST}, {SIMILAR}, {REPORT}"
+RESCUE = f"""again AS (SELECT doc_id, o + 5 AS o, conf, text, i FROM clean WHERE o >= 3 AND doc_id IN (SELECT doc_id FROM judged WHERE catastrophic)), joint AS (SELECT doc_id, o, conf, text, i FROM reads UNION ALL SELECT doc_id, o, conf, text, i FROM again)"""
+FIRST_OPS = rf"""ops AS (SELECT book, doc_id, i, regexp_extract(text, '[\p{{L}}]+') AS w FROM lines)"""
+MERGED = f"""{SPELLED.replace('spelled AS', 'c_spelled AS', 1).replace('FROM reads', 'FROM consensus')}, asked AS (
+  SELECT doc_id, i FROM (SELECT *, CASE WHEN exact > 1 OR plain < exact OR conf < 82 OR {score_of('text')} >= 4 THEN 1 END AS s FROM c_spelled) WHERE s = 1 AND doc_id NOT IN (SELECT doc_id FROM judged WHERE catastrophic))"""
+
 SQL = {
+    "collapsed_sides": f"{NOISY_REPORT} SELECT doc_id, source AS best_source, array_to_string(reasons, ',') AS reasons FROM judged WHERE catastrophic",
+    "evidence_union": f"{NOISY_REPORT}, {RESCUE} SELECT doc_id, CASE WHEN o < 5 THEN 'p' || o ELSE 'fallback_p' || (o - 5) END AS source, count(*) AS lines, sum(conf) AS conf_sum FROM joint GROUP BY ALL",
+    "rescued_sides": f"""WITH first_ AS ({NOISY_REPORT} SELECT doc_id FROM judged WHERE catastrophic),
+      second_ AS ({NOISY_REPORT.replace('texts AS (', "seen AS (SELECT doc_id, o, conf, text, i FROM reads UNION ALL SELECT doc_id, o + 5, conf, text, i FROM clean WHERE o >= 3 AND doc_id IN (SELECT doc_id FROM first_)), texts AS (", 1).replace('FROM reads GROUP BY doc_id, o)', 'FROM seen GROUP BY doc_id, o)')} SELECT doc_id, catastrophic FROM judged)
+      SELECT doc_id, NOT catastrophic AS rescued, catastrophic FROM first_ JOIN second_ USING (doc_id)""",
+    "side_reviews": f"{NOISY_REPORT} SELECT doc_id, 'review_whole_side' AS action, 'whole_side_catastrophe_after_fallback' AS reason, source AS selected_pass FROM judged WHERE catastrophic",
+    "asked_lines": f"{NOISY_REPORT}, {CONSENSUS}, {MERGED} SELECT doc_id, count(*) AS lines, sum(i)::BIGINT AS rows_sum FROM asked GROUP BY doc_id",
+    "merged_lines": f"""{NOISY_REPORT}, {REFINED.replace(' pairs AS', ' c_pairs AS').replace('FROM pairs', 'FROM c_pairs')}, {MERGED}
+      SELECT r.doc_id, r.doc_id || '-' || r.i AS line_id, CASE WHEN a.doc_id IS NULL THEN c.anchor ELSE done.t END AS text, CASE WHEN a.doc_id IS NULL THEN 0 ELSE done.k END::BIGINT AS n_edits
+      FROM refined r JOIN (SELECT DISTINCT doc_id, i, anchor FROM consensus) c USING (doc_id, i) LEFT JOIN asked a USING (doc_id, i)""",
+    "report_json": f"""{NOISY_REPORT}, f AS (SELECT doc_id, max(CASE WHEN o = 4 THEN words END) AS last_words FROM health GROUP BY doc_id)
+      SELECT doc_id, catastrophic, source AS best_source, {rounded('similarity', 4)} AS similarity, 'p0' AS first_source, last_words::BIGINT AS last_words, len(reasons)::BIGINT AS n_reasons FROM judged JOIN f USING (doc_id)""",
+    "average_confidences": f"{NOISY}, {health()} SELECT doc_id, source, average_confidence FROM health",
+    "tsv_words": f"""WITH {LINES}, {WORD_ROWS} SELECT doc_id, i // 10 AS block, i::INT AS line, count(*) AS words, sum(l)::BIGINT AS left_sum, md5(string_agg(text, ' ' ORDER BY k)) AS text_md5 FROM word_rows GROUP BY doc_id, i""",
+    "lexicon_words": f"SELECT DISTINCT {folded(stripped('w'))} AS word FROM (SELECT unnest(regexp_split_to_array(text, '\\s')) AS w FROM benchmark) WHERE {stripped('w')} <> ''",
+    "reply_ops": f"WITH {LINES}, {FIRST_OPS} SELECT book, doc_id || '-' || i AS item_id, 2::BIGINT AS n_ops, w AS old, upper(w) AS new, true AS second_is_none FROM ops",
+    "queue_with_replies": f"{BASE}, {SPELLED}, {SUSPECTS}, {AUDIT} SELECT doc_id, i::INT AS row_no, CASE WHEN doc_id % 3 <> 0 THEN 2 ELSE 0 END::BIGINT AS n_ops FROM disposed WHERE disposition = 'queued'",
     "pass_health": f"{BASE}, {health()} SELECT {COLUMNS} FROM health",
     "pass_health_no_lexicon": f"{BASE}, {health(False)} SELECT {COLUMNS} FROM health",
     "best_pass": f"{BASE}, {health()}, {BEST} SELECT doc_id, source, score FROM best",

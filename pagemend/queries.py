@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from . import adapters as A
 from . import oracles
 from .config import LINE_PASSES, WHOLE_PASSES
+from .functions import numbers
 from .functions import text as T
 from .operators import align, cleanup, gate, health, lines, patch, queue, refine, review
 from .plans.providers import pass_table
 from .sinks import epub
-from .sources import json_files, marker_text
+from .sources import json_files, lexicon, marker_text, tsv
 
 DOC = ["doc_id"]
 
@@ -62,6 +63,89 @@ def side_scores(spark, d):
     return health.side_score(A.evidence(spark, d), DOC)
 
 
+def _noisy(spark, d):
+    return _reports(spark, d, A.noisy_evidence(spark, d))
+
+
+def collapsed_sides(spark, d):
+    """Sides that a second way of reading is asked for."""
+    return _noisy(spark, d).where("catastrophic").select("doc_id", "best_source", F.array_join("reasons", ",").alias("reasons"))
+
+
+def _union(spark, d):
+    """Evidence of all sides with second readings of the collapsed ones."""
+    again = A.evidence(spark, d).where("pass_order >= 3").withColumns({"source": F.concat(F.lit("fallback_"), "source"), "pass_order": F.col("pass_order") + 5})
+    return A.noisy_evidence(spark, d).unionByName(again.join(collapsed_sides(spark, d).select("doc_id"), "doc_id", "left_semi"))
+
+
+def evidence_union(spark, d):
+    return _union(spark, d).groupBy("doc_id", "source").agg(F.count("*").alias("lines"), F.sum("conf").alias("conf_sum"))
+
+
+def rescued_sides(spark, d):
+    """Every side that was collapsed, and whether its second readings rescued it."""
+    return health.rescues(_noisy(spark, d), _reports(spark, d, _union(spark, d)), DOC).where("fallback_used").select("doc_id", "rescued", "catastrophic")
+
+
+def side_reviews(spark, d):
+    return review.review_sides(_noisy(spark, d)).select("doc_id", "action", "reason", F.col("best_source").alias("selected_pass"))
+
+
+def _asked(spark, d):
+    """Suspect lines of sides that are not collapsed."""
+    held = refine.suspect_reasons(A.consensus_lines(spark, d), None).where("size(reasons) > 0")
+    return held.join(collapsed_sides(spark, d).select("doc_id"), "doc_id", "left_anti")
+
+
+def asked_lines(spark, d):
+    return _asked(spark, d).groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum("row_no").alias("rows_sum"))
+
+
+def merged_lines(spark, d):
+    """Asked lines repaired by their readings, put back among the others."""
+    asked = _asked(spark, d).select("doc_id", "line_id", "text", "whole_candidates")
+    repaired = refine.refine(asked, refine.own_votes(asked), None).select("doc_id", "line_id", "text", F.size("edits").cast("long").alias("n_edits"))
+    still = A.consensus_lines(spark, d).join(asked.select("line_id"), "line_id", "left_anti").select("doc_id", "line_id", "text", F.lit(0).cast("long").alias("n_edits"))
+    return repaired.unionByName(still)
+
+
+def report_json(spark, d):
+    """Reports as the JSON of an audit, read back by path."""
+    rows = _noisy(spark, d).select("doc_id", F.to_json(F.struct("catastrophic", "best_source", "cross_pass_similarity", "reasons", "passes"), {"ignoreNullFields": "false"}).alias("j"))
+    at = lambda path, kind: F.get_json_object("j", path).cast(kind)
+    return rows.select("doc_id", at("$.catastrophic", "boolean").alias("catastrophic"), at("$.best_source", "string").alias("best_source"), at("$.cross_pass_similarity", "double").alias("similarity"), at("$.passes[0].source", "string").alias("first_source"), at("$.passes[4].words", "long").alias("last_words"), F.size(F.from_json(F.get_json_object("j", "$.reasons"), "array<string>")).cast("long").alias("n_reasons"))
+
+
+def average_confidences(spark, d):
+    """Mean confidence of each reading's rows that say something."""
+    return health.reading_texts(A.noisy_evidence(spark, d), DOC).select("doc_id", "source", numbers.rounded(F.when(F.col("conf_n") > 0, F.col("conf_sum") / F.col("conf_n")).otherwise(F.lit(0.0)), 4).alias("average_confidence"))
+
+
+def tsv_words(spark, d):
+    """Words read back from an engine's TSV texts."""
+    words = tsv.parse_words(A.tsv_texts(spark, d), DOC)
+    return words.groupBy("doc_id", "block", "line").agg(F.count("*").alias("words"), F.sum(F.col("left").cast("long")).alias("left_sum"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_no", "text"))), lambda w: w["text"]), " ")).alias("text_md5"))
+
+
+def lexicon_words(spark, d):
+    rows = A.table(spark, d, "benchmark").select(F.explode(F.split("text", r"\s")).alias("w"))
+    return lexicon.words_from(rows, F.col("w"))
+
+
+def reply_ops(spark, d):
+    """Operations found in noisy replies, by book and item."""
+    found = json_files.reply_items(json_files.extract_json(A.replies(spark, d), "reply"), by=("book",))
+    first = F.get("ops", F.lit(0))
+    return found.select("book", "item_id", F.size("ops").cast("long").alias("n_ops"), first["old"].alias("old"), first["new"].alias("new"), F.get("ops", F.lit(1))["old"].isNull().alias("second_is_none"))
+
+
+def queue_with_replies(spark, d):
+    """The queue with what was answered about its lines; lines without an answer stay."""
+    items = queue.queue(_admitted(spark, d), A.page_arrays(spark, d), DOC).select("doc_id", "row_no", F.concat_ws("-", F.col("doc_id").cast("string"), F.col("row_no").cast("string")).alias("item_id"))
+    ops = json_files.reply_items(json_files.extract_json(A.replies(spark, d).where("doc_id % 3 <> 0"), "reply"))
+    return items.join(ops, "item_id", "left").select("doc_id", "row_no", F.coalesce(F.size("ops"), F.lit(0)).cast("long").alias("n_ops"))
+
+
 def garbage_scores(spark, d):
     return A.table(spark, d, "documents").select("doc_id", T.garbage_score(F.col("text")).alias("garbage_score"), T.garbage(F.col("text")).cast("long").alias("weird"), T.visible(F.col("text")).cast("long").alias("visible"))
 
@@ -289,6 +373,7 @@ def run_summary(spark, d):
 
 
 NAMES = (
+    "collapsed_sides evidence_union rescued_sides side_reviews asked_lines merged_lines report_json average_confidences tsv_words lexicon_words reply_ops queue_with_replies "
     "pass_health pass_health_no_lexicon best_pass chosen_pass_counts side_health rescue_counts cross_pass_similarity side_scores garbage_scores token_forms words_to_lines words_to_readings anchor_lines crop_boxes side_jobs line_jobs "
     "aligned_candidates spellings suspect_reasons token_votes shape_votes refined_lines review_items refine_audit repeated_headers cleanup_drops cleanup_reason_counts paragraphs cleaned_text book_texts marker_sides marker_lines "
     "queue_dispositions deep_queue queue_context micro_batches prompt_batches gate_required_confidence gate_apply patched_text xhtml_escape xhtml_pages epub_books extract_json fenced_json clean_confidences run_summary"

@@ -56,7 +56,7 @@ def extract_json(df: DataFrame, column: str, name: str = "json") -> DataFrame:
 def reply_items(replies: DataFrame, json_col: str = "json", order: str = "batch_no", by: tuple[str, ...] = ()) -> DataFrame:
     """``(by, item_id, ops)`` from replies ``{"items": [{"id", "ops"}]}``; of repeated ids the row of the last batch counts.
 
-    Operations are parsed one by one, so one that is no object becomes null and the others stay.
+    Operations are parsed one by one, so one that is no object becomes an operation of nulls and the others stay.
     """
     parsed = replies.select(*by, order, F.posexplode(F.from_json(F.get_json_object(json_col, "$.items"), "array<string>")).alias("at", "item"))
     raw = parsed.select(*by, order, "at", F.from_json("item", "struct<id:string,ops:array<string>>").alias("x"))
