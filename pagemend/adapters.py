@@ -162,7 +162,7 @@ def tsv_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A reply for every three lines of a document: an operation on the first word of each, one that is no object, and an item without an id."""
     rows = lines(spark, sf_dir).select("book", "doc_id", "row_no", F.regexp_extract("text", r"[\p{L}]+", 0).alias("word"))
-    op = F.to_json(F.struct(F.lit("replace").alias("kind"), F.col("word").alias("old"), F.upper("word").alias("new"), F.lit(0.99).alias("confidence")))
+    op = F.to_json(F.struct(F.lit("replace").alias("kind"), F.col("word").alias("old"), F.concat("word", F.lit("+")).alias("new"), F.lit(0.99).alias("confidence")))
     item = F.concat(F.lit('{"id":"'), F.col("doc_id").cast("string"), F.lit("-"), F.col("row_no").cast("string"), F.lit('","ops":['), op, F.lit(',"none"]}'))
     batch = F.floor(F.col("row_no") / 3).cast("long")
     packed = rows.groupBy("book", "doc_id", batch.alias("batch_no")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", item.alias("item")))), lambda x: x["item"]), ",").alias("items"))

@@ -273,7 +273,7 @@ SQL = {
     "average_confidences": f"{NOISY}, {health()} SELECT doc_id, source, average_confidence FROM health",
     "tsv_words": f"""WITH {LINES}, {WORD_ROWS} SELECT doc_id, i // 10 AS block, i::INT AS line, count(*) AS words, sum(l)::BIGINT AS left_sum, md5(string_agg(text, ' ' ORDER BY k)) AS text_md5 FROM word_rows GROUP BY doc_id, i""",
     "lexicon_words": f"SELECT DISTINCT {folded(stripped('w'))} AS word FROM (SELECT unnest(regexp_split_to_array(text, '\\s')) AS w FROM benchmark) WHERE {stripped('w')} <> ''",
-    "reply_ops": f"WITH {LINES}, {FIRST_OPS} SELECT book, doc_id || '-' || i AS item_id, 2::BIGINT AS n_ops, w AS old, upper(w) AS new, true AS second_is_none FROM ops",
+    "reply_ops": f"WITH {LINES}, {FIRST_OPS} SELECT book, doc_id || '-' || i AS item_id, 2::BIGINT AS n_ops, w AS old, w || '+' AS new, true AS second_is_none FROM ops",
     "queue_with_replies": f"{BASE}, {SPELLED}, {SUSPECTS}, {AUDIT} SELECT doc_id, i::INT AS row_no, CASE WHEN doc_id % 3 <> 0 THEN 2 ELSE 0 END::BIGINT AS n_ops FROM disposed WHERE disposition = 'queued'",
     "pass_health": f"{BASE}, {health()} SELECT {COLUMNS} FROM health",
     "pass_health_no_lexicon": f"{BASE}, {health(False)} SELECT {COLUMNS} FROM health",
