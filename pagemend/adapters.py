@@ -71,11 +71,6 @@ def consensus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("text", anchor)
 
 
-def exploded(held: DataFrame) -> DataFrame:
-    """Candidates of held lines as rows."""
-    return held.select("line_id", F.posexplode("whole_candidates").alias("cand_order", "c")).select("line_id", "cand_order", F.col("c.source").alias("source"), F.col("c.text").alias("text"), F.col("c.conf").alias("conf"))
-
-
 def furniture_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with page furniture: a page number at the end; ornaments and an empty line in some documents."""
     docs = table(spark, sf_dir, "documents")

@@ -81,12 +81,12 @@ def counted(pairs: DataFrame, key: str, trust: float) -> DataFrame:
     return valid.groupBy(key, "old", "new").agg(F.count("*").alias("votes"), F.array_sort(F.collect_set("source")).alias("sources"), F.min(F.struct("cand_order", "at")).alias("first"))
 
 
-def shape_votes(lines: DataFrame, candidates: DataFrame, key: str = "line_id") -> DataFrame:
-    """Votes only between spellings of one shape, whatever the candidate's confidence."""
-    both = candidates.select(key, F.col("text").alias("cand")).join(lines.select(key, F.col("text").alias("current")), key)
-    pairs = both.select(key, F.explode(aligned_tokens(F.col("current"), F.col("cand"))).alias("p")).select(key, "p.old", "p.new")
-    old, new = T.token_core(F.col("old")), T.token_core(F.col("new"))
-    return pairs.where((old != "") & (new != "") & (T.strip_accents(old) == T.strip_accents(new))).groupBy(key, "old", "new").agg(F.count("*").alias("votes"))
+def shape_votes(lines: DataFrame, key: str = "line_id") -> DataFrame:
+    """Votes of the lines' own candidates between spellings of one shape, whatever the candidate's confidence."""
+    each = lines.select(key, F.col("text").alias("current"), F.explode(F.filter(F.transform("whole_candidates", lambda c: c["text"]), lambda t: t != F.col("text"))).alias("cand"))
+    pairs = each.select(key, F.explode(aligned_tokens(F.col("current"), F.col("cand"))).alias("p")).select(key, "p.old", "p.new")
+    cores = pairs.withColumns({"a": T.token_core(F.col("old")), "b": T.token_core(F.col("new"))})
+    return cores.where((F.col("a") != "") & (F.col("b") != "") & (T.strip_accents(F.col("a")) == T.strip_accents(F.col("b")))).groupBy(key, "old", "new").agg(F.count("*").alias("votes"))
 
 
 def decide(votes: DataFrame, lexicon: DataFrame | None, at_least: int = 3, margin: int = 4) -> DataFrame:

@@ -207,8 +207,7 @@ def token_votes(spark, d):
 
 
 def shape_votes(spark, d):
-    held = A.held_lines(spark, d)
-    return refine.shape_votes(held, A.exploded(held))
+    return refine.shape_votes(A.held_lines(spark, d))
 
 
 def _refined(spark, d):
@@ -222,14 +221,13 @@ def refined_lines(spark, d):
 
 def review_items(spark, d):
     held = refine.suspect_reasons(A.held_lines(spark, d), None).withColumn("edits", F.array().cast("array<string>"))
-    found = review.review_lines(held, A.exploded(held))
+    found = review.review_lines(held)
     return found.select("line_id", "conf", F.array_join(F.transform("alts", lambda a: a["text"]), "|").alias("alts"), F.size("alts").cast("long").alias("n_alts"))
 
 
 def refine_audit(spark, d):
     held = refine.suspect_reasons(_refined(spark, d), None).withColumn("selected_pass", F.lit("q1"))
-    readings = A.exploded(A.consensus_lines(spark, d))
-    return review.audit(held, readings).select("line_id", "before", "after", F.size("edits").cast("long").alias("n_edits"))
+    return review.audit(held).select("line_id", "before", "after", F.size("edits").cast("long").alias("n_edits"))
 
 
 def _furniture(spark, d):
