@@ -17,10 +17,16 @@ def book() -> Column:
     return F.concat(F.lit("b"), F.expr("doc_id div 50").cast("string")).alias("book")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A table of fewer partitions than cores dealt out evenly: a small file is one row group, and so one task.  Others stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def spread(df: DataFrame, least: int = 1 << 18) -> DataFrame:
+    """A table of fewer partitions than cores dealt out evenly, ``least`` bytes of file and more to each; others stay as they are.
+
+    A small file is one row group, and so one task, however many partitions are planned for it.
+    """
+    cores, parts = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    if parts >= cores:
+        return df
+    wanted = min(cores, int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // least)
+    return df.repartition(wanted) if wanted > 1 else df
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:

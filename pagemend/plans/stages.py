@@ -6,24 +6,36 @@ import atexit
 import shutil
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_CONSTRAINTS = "spark.sql.constraintPropagation.enabled"
 
-def stage(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder of ``spark.checkpoint.dir``; one of its own only where driver and executors are one process."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+
+def shared_checkpoints(spark: SparkSession) -> str:
+    """The folder of checkpoints: that of ``spark.checkpoint.dir``; one of its own only where driver and executors are one process."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
-            if not spark.sparkContext.master.startswith("local"):
+            if not context.master.startswith("local"):
                 raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             folder = tempfile.mkdtemp(prefix="pagemend-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(folder)
-    constraints = "spark.sql.constraintPropagation.enabled"  # else a checkpoint carries along all that was inferred about its rows
-    before = spark.conf.get(constraints)
-    spark.conf.set(constraints, "false")
+        context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """``df`` computed once and written to the shared folder, its lineage cut.
+
+    A checkpoint would carry along what the optimizer had inferred about its rows, which grows without bound over rounds of joins;
+    so that inference is off while it is made.
+    """
+    spark = df.sparkSession
+    shared_checkpoints(spark)
+    before = spark.conf.get(_CONSTRAINTS)
+    spark.conf.set(_CONSTRAINTS, "false")
     try:
         return df.checkpoint()
     finally:
-        spark.conf.set(constraints, before)
+        spark.conf.set(_CONSTRAINTS, before)
