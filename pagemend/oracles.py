@@ -334,7 +334,7 @@ SQL = {
       SELECT doc_id, i::INT AS row_no, cur AS current, target AS output_line, md5({context('whole', 'target')}) AS context_md5, array_to_string(cs[1:8], '|') AS candidates FROM cand""",
     "queue_context": f"""WITH h AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls FROM documents), g AS (SELECT doc_id, array_to_string(ls, chr(10) || chr(10)) AS whole, coalesce(ls[2], 'no such line') AS target FROM h)
       SELECT doc_id, md5({context('whole', 'target')}) AS context_md5, length({context('whole', 'target')})::BIGINT AS n_chars FROM g""",
-    "micro_batches": "SELECT conv_id, turn, conv_id % 4 AS lane, (row_number() OVER (PARTITION BY conv_id % 4 ORDER BY conv_id, turn) - 1) // 6 AS batch_no FROM conversations",
+    "micro_batches": "SELECT conv_id, turn, conv_id // 64 AS lane, (row_number() OVER (PARTITION BY conv_id // 64 ORDER BY conv_id, turn) - 1) // 6 AS batch_no FROM conversations",
     "gate_required_confidence": f"""WITH r AS (SELECT (id % 4)::INT AS new_votes, id % 8 >= 4 AS same_shape, CASE WHEN id >= 8 THEN 0.91::DOUBLE ELSE 0.97::DOUBLE END AS base FROM range(12) t(id))
       SELECT new_votes, same_shape, base, round_even(CASE WHEN base = 0.97::DOUBLE THEN {required('0.97', 'new_votes', 'same_shape')} ELSE {required('0.91', 'new_votes', 'same_shape')} END, 6) AS required FROM r""",
     "gate_apply": f"WITH {LINES}, {OPS}, {gate_step(1)}, {gate_step(2)}, {gate_step(3)} SELECT doc_id, i::INT AS row_no, t3 AS corrected, gate1 || ',' || gate2 || ',' || gate3 AS gates FROM g3",
