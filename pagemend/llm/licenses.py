@@ -227,13 +227,15 @@ def scan_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``over`` is the score above the floor in thousandths.
     """
     spark, fitted = docs.sparkSession, fitted or model()
-    text = F.lower(F.col(text_col))
-    rows = docs.select(*identity(id_col, text_col), text.alias("text")).where(gated(F.col("text")))
-    rows = rows.select("key", "text_hash", F.explode(F.array(F.split("text", "\n"))).alias("ls"))
-    wide = lambda i, n: F.slice(F.col("ls"), i, n)
-    whole = lambda i, n: (i + n <= F.size("ls") + 1) & ((n == 1) | ~F.exists(wide(i, n), lambda x: ~x.rlike(r"[^\x20\x09-\x0D]")))
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.size("ls")), lambda i: F.transform(F.filter(F.sequence(F.lit(1), F.lit(WRAP)), lambda n: whole(i, n)), lambda n: F.struct(i.alias("line"), n.alias("wide"), F.array_join(wide(i, n), "\n").alias("said")))))
-    lines = rows.select("key", "text_hash", F.explode(spans).alias("p")).select("key", "text_hash", "p.*").where(gated(F.col("said")))
+    # the lower-case text is kept apart by a one-row generator: as a plain column it would be computed anew for every gate word
+    rows = docs.select(*identity(id_col, text_col), F.explode(F.array(F.lower(F.col(text_col)))).alias("text")).where(gated(F.col("text")))
+    rows = settle(rows.select("key", "text_hash", F.split("text", "\n").alias("ls")))  # few texts: those with a gate word
+    wide = lambda name, i, n: F.slice(F.col(name), i, n)
+    blank = lambda x: ~x.rlike(r"[^\x20\x09-\x0D]")
+    marked = rows.select("*", F.explode(F.array(F.transform("ls", lambda x: F.struct(gated(x).alias("gate"), blank(x).alias("blank"))))).alias("m"))
+    whole = lambda i, n: (i + n <= F.size("ls") + 1) & F.exists(wide("m", i, n), lambda x: x["gate"]) & ((n == 1) | ~F.exists(wide("m", i, n), lambda x: x["blank"]))
+    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.size("ls")), lambda i: F.transform(F.filter(F.sequence(F.lit(1), F.lit(WRAP)), lambda n: whole(i, n)), lambda n: F.struct(i.alias("line"), n.alias("wide"), F.array_join(wide("ls", i, n), "\n").alias("said")))))
+    lines = marked.select("key", "text_hash", F.explode(spans).alias("p")).select("key", "text_hash", "p.*")
     lines = lines.select("key", "text_hash", "line", "wide", F.explode(F.array(F.array_remove(F.split("said", _BETWEEN), ""))).alias("w"))
 
     def runs(w, n):
