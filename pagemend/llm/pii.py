@@ -78,20 +78,23 @@ PREFIXES = r"AKIA|ASIA|AIza|(?:sk|pk|rk)_(?:live|test)_|sk-|gh[opsur]_|github_pa
 # How a password is announced in the four languages of the corpus and in settings.
 PASSWORDS = r"password|passwd|passphrase|passcode|pwd|passwort|kennwort|contraseña|clave|mot de passe|pin"
 
-# Wide generators: kind, what a text must hold for the pattern to be tried, and the pattern; group 1, where there is one, is the span.
+_DIGITS = tuple("0123456789")
+_BEGINNINGS = ("akia", "asia", "aiza", "sk_", "pk_", "rk_", "sk-", "gho_", "ghp_", "ghs_", "ghu_", "ghr_", "github_pat_", "glpat-", "xox", "npm_", "hf_", "sg.", "eyj")  # the same, as plain strings
+
+# Wide generators: kind, what a text (in lower case) must hold for the pattern to be tried, and the pattern; group 1, where there is one, is the span.
 GENERATORS = (
-    ("email", re.compile(r"[@\[(]"), re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,}+\s?(?:@|\(at\)|\[at\])\s?[A-Za-z0-9-]{2,}+\s?(?:\.|\(dot\)|\[dot\])\s?[A-Za-z]{2,}+\b", re.I)),
-    ("ip", re.compile(r":"), re.compile(r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f]*:[0-9A-Fa-f]*:)[0-9A-Fa-f:]{3,39}+(?![0-9A-Za-z:])")),
-    ("card", re.compile(r"[0-9]{4}"), re.compile(r"(?<![0-9])[0-9]{4}(?P<mark>[ .-]?)[0-9]{4}(?P=mark)[0-9]{4}(?P=mark)[0-9]{2,7}(?![0-9])")),
-    ("phone", re.compile(r"[0-9]{3}"), re.compile(r"(?<![0-9.+-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9]|[.-][0-9])")),
-    ("phone", re.compile(r"0"), re.compile(r"(?<![0-9.+-])\(?0[0-9]{1,4}\)?[ /-]{1,3}[0-9]{3,8}(?:[ -][0-9]{2,5}){0,2}(?![0-9]|[.-][0-9])")),
-    ("phone", re.compile(r"0"), re.compile(r"(?<![0-9.+-])0[1-9](?:[ .-]?[0-9]{2}){4}(?![0-9]|[.-][0-9])")),
-    ("account", re.compile(r"[0-9]{2}"), re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b")),
-    ("identity", re.compile(r"[0-9]-[0-9]"), re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
-    ("secret", re.compile(r"[:=]"), re.compile(r"""[:=]\s{0,2}["']?([A-Za-z0-9_+/=.-]{12,}+)""")),
-    ("secret", re.compile(r"[0-9]"), re.compile(r"(?<![A-Za-z0-9])([A-Fa-f0-9]{32,}+)(?![A-Za-z0-9])")),
-    ("secret", re.compile(PREFIXES), re.compile(rf"(?<![A-Za-z0-9_])((?:{PREFIXES})[A-Za-z0-9_.-]{{8,}}+)")),
-    ("secret", re.compile(PASSWORDS, re.I), re.compile(rf"""(?<![A-Za-z])(?:{PASSWORDS})(?![A-Za-z])["']?\s{{0,2}}(?:[:=]|is|ist|es|est)\s{{0,2}}["']?([^\s"']{{4,}}+)""", re.I)),
+    ("email", ("@", "(at)", "[at]"), re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,}+\s?(?:@|\(at\)|\[at\])\s?[A-Za-z0-9-]{2,}+\s?(?:\.|\(dot\)|\[dot\])\s?[A-Za-z]{2,}+\b", re.I)),
+    ("ip", (":",), re.compile(r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f]*:[0-9A-Fa-f]*:)[0-9A-Fa-f:]{3,39}+(?![0-9A-Za-z:])")),
+    ("card", _DIGITS, re.compile(r"(?<![0-9])[0-9]{4}(?P<mark>[ .-]?)[0-9]{4}(?P=mark)[0-9]{4}(?P=mark)[0-9]{2,7}(?![0-9])")),
+    ("phone", _DIGITS, re.compile(r"(?<![0-9.+-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9]|[.-][0-9])")),
+    ("phone", ("0",), re.compile(r"(?<![0-9.+-])\(?0[0-9]{1,4}\)?[ /-]{1,3}[0-9]{3,8}(?:[ -][0-9]{2,5}){0,2}(?![0-9]|[.-][0-9])")),
+    ("phone", ("0",), re.compile(r"(?<![0-9.+-])0[1-9](?:[ .-]?[0-9]{2}){4}(?![0-9]|[.-][0-9])")),
+    ("account", _DIGITS, re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b")),
+    ("identity", ("-",), re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
+    ("secret", (":", "="), re.compile(r"""[:=]\s{0,2}["']?([A-Za-z0-9_+/=.-]{12,}+)""")),
+    ("secret", _DIGITS, re.compile(r"(?<![A-Za-z0-9])([A-Fa-f0-9]{32,}+)(?![A-Za-z0-9])")),
+    ("secret", _BEGINNINGS, re.compile(rf"(?<![A-Za-z0-9_])((?:{PREFIXES})[A-Za-z0-9_.-]{{8,}}+)")),
+    ("secret", tuple(PASSWORDS.split("|")), re.compile(rf"""(?<![A-Za-z])(?:{PASSWORDS})(?![A-Za-z])["']?\s{{0,2}}(?:[:=]|is|ist|es|est)\s{{0,2}}["']?([^\s"']{{4,}}+)""", re.I)),
 )
 _NAMED = re.compile(r"[A-Za-z_]{3,24}\s{0,2}$")
 _KNOWN = re.compile(PREFIXES)
@@ -112,9 +115,9 @@ AGAINST = ("order", "isbn", "invoice", "version", "sha", "commit", "checksum", "
 
 def propose(text: str) -> list[tuple[str, int, int]]:
     """All spans of all generators; they may overlap."""
-    found = []
+    found, low = [], text.lower()
     for kind, needs, pattern in GENERATORS:
-        if not needs.search(text):
+        if not any(x in low for x in needs):
             continue
         for m in pattern.finditer(text):
             if kind == "secret" and m[0][0] in ":=" and not _NAMED.search(text[max(0, m.start() - 28) : m.start()]):
