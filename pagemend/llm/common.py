@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 from collections.abc import Callable
 from functools import reduce
 
@@ -13,6 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..adapters import spread
+from ..plans.stages import shared_checkpoints  # noqa: F401  (for the pipeline)
+from ..plans.stages import stage as settle  # noqa: F401  (for the operators)
+
 #: Rows handled at once inside a Python worker; bounds what a batch of very long texts occupies.
 ROWS_AT_ONCE = 64
 
@@ -24,7 +25,8 @@ FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 o
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one that is a single small file is dealt out over the cores, others are read as they lie."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def fold_words(text: str | None) -> list[bytes]:
@@ -59,38 +61,6 @@ def identity(id_col: str, text_col: str) -> list[Column]:
     return [F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("null")).alias("key"), F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0)).alias("text_hash")]
 
 
-def shared_checkpoints(spark: SparkSession) -> None:
-    """Use the folder the cluster names in ``spark.checkpoint.dir``; one of its own only where driver and executors are one process."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-            folder = tempfile.mkdtemp(prefix="pagemend-")
-            atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        context.setCheckpointDir(folder)
-
-
-_CONSTRAINTS = "spark.sql.constraintPropagation.enabled"
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Compute once, write to the shared checkpoint folder, and cut the lineage.
-
-    A checkpoint would carry along what the optimizer had inferred about its rows, which grows without bound over rounds of
-    joins; so that inference is off while it is made.
-    """
-    spark = df.sparkSession
-    shared_checkpoints(spark)
-    before = spark.conf.get(_CONSTRAINTS)
-    spark.conf.set(_CONSTRAINTS, "false")
-    try:
-        return df.checkpoint()
-    finally:
-        spark.conf.set(_CONSTRAINTS, before)
-
-
 def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """A settled side, marked for broadcast only if its values and 16 bytes a column and row were summed up and are few enough bytes."""
     wide = [F.octet_length(c) if kind in ("string", "binary") else F.lit(0) for c, kind in df.dtypes]
