@@ -73,6 +73,11 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, rf"[{SPACE}]+"), lambda t: t != "")
 
 
+def squeezed(text: Column) -> Column:
+    """The tokens of a text with one blank between."""
+    return F.btrim(F.regexp_replace(text, f"[{SPACE}]+", " "), F.lit(" "))
+
+
 def token_core(token: Column) -> Column:
     """A token without punctuation at its edges, case-folded."""
     return fold(F.btrim(token, F.lit(TOKEN_EDGES)))
@@ -96,8 +101,12 @@ def count_of(text: Column, pattern: str) -> Column:
 
 
 def visible(text: Column) -> Column:
-    """Characters that are no white space."""
-    return count_of(text, f"[^{SPACE}]")
+    """Characters that are no white space.  Runs of the others are taken out: counting matches would make one for each character."""
+    return F.length(F.regexp_replace(text, f"[{SPACE}]+", ""))
+
+
+def letters(text: Column) -> Column:
+    return F.length(F.regexp_replace(text, r"\P{L}+", ""))
 
 
 def garbage(text: Column) -> Column:
@@ -121,7 +130,7 @@ def diacritic_only(old: Column, new: Column) -> Column:
 def header_key(text: Column) -> Column:
     """Key under which repeated page headers meet: folded, without diacritics (the barred d stays) and punctuation."""
     plain = strip_accents(fold(text), fold_d=False)
-    return F.array_join(tokens(F.regexp_replace(plain, rf"[^a-z0-9đ{SPACE}]", " ")), " ")
+    return squeezed(F.regexp_replace(plain, rf"[^a-z0-9đ{SPACE}]", " "))
 
 
 def spelled_once(text: Column, part: Column) -> Column:

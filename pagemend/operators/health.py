@@ -42,7 +42,7 @@ def pass_health(evidence: DataFrame, lexicon: DataFrame, side: list[str], facts:
     """
     has_words, few = facts or lexicon_facts(lexicon)
     text, key = F.col("text"), [*side, "source", "pass_order"]
-    measured = [F.length(text).alias("length"), F.length(T.strip(text)).alias("chars"), T.visible(text).alias("visible"), T.garbage(text).alias("weird"), T.count_of(text, r"\p{L}").alias("letters")]
+    measured = [F.length(text).alias("length"), F.length(T.strip(text)).alias("chars"), T.visible(text).alias("visible"), T.garbage(text).alias("weird"), T.letters(text).alias("letters")]
     rows = reading_texts(evidence, side).select(*key, "conf_sum", "conf_n", *measured, T.words(text).alias("found"))
     key = [*key, "conf_sum", "conf_n", "length", "chars", "visible", "weird", "letters"]
     words = rows.select(*key, F.explode_outer("found").alias("word")).select(*key, "word", T.token_core(F.col("word")).alias("core"))
@@ -82,7 +82,7 @@ def cross_similarity(evidence: DataFrame, side: list[str], similarity=None) -> D
     A side's readings (nine at most) are one array, whose pairs are formed in the row, in pass order.
     """
     similarity = similarity or sequence_ratio
-    plain = F.array_join(T.tokens(T.fold(T.strip_accents(F.col("text")))), " ")
+    plain = T.squeezed(T.fold(T.strip_accents(F.col("text"))))
     held = reading_texts(evidence, side).select(*side, "pass_order", plain.alias("plain")).groupBy(*side).agg(F.array_sort(F.collect_list(F.when(F.col("plain") != "", F.struct("pass_order", "plain")))).alias("said"))
     twos = F.flatten(F.transform("said", lambda a, i: F.transform(F.slice("said", i + 2, F.size("said")), lambda b: F.struct(a["plain"].alias("left"), b["plain"].alias("right")))))
     pairs = held.select(*side, F.explode_outer(twos).alias("p"))
