@@ -77,6 +77,21 @@ def consensus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("text", anchor)
 
 
+def damaged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of which every fourth was misread in the anchor and one more reading, while three readings are right."""
+    rows = lines(spark, sf_dir)
+    anchor = F.when((F.col("doc_id") + F.col("row_no")) % 4 == 0, F.replace("text", F.lit("e"), F.lit("c"))).otherwise(F.col("text"))
+    named = [(f"q{n}", F.col("text")) for n in range(1, 4)] + [(f"q{n}", anchor) for n in (4, 5)]
+    out = rows.withColumns({"line_id": F.concat_ws("-", F.col("doc_id").cast("string"), F.col("row_no").cast("string")), "whole_candidates": candidates_of(rows, named)})
+    return out.withColumn("text", anchor)
+
+
+def word_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every second document."""
+    said = lines(spark, sf_dir).where("doc_id % 2 = 0").select(F.explode(T.tokens(F.col("text"))).alias("token"))
+    return said.select(T.token_core(F.col("token")).alias("word")).where("word <> ''").distinct()
+
+
 def furniture_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with page furniture: a page number at the end; ornaments and an empty line in some documents."""
     docs = table(spark, sf_dir, "documents")

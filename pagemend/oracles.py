@@ -125,16 +125,28 @@ def token_pairs(source: str) -> str:
 CONSENSUS = f"""consensus AS (
   SELECT doc_id, i, CASE WHEN doc_id % 3 = 0 THEN {plain('text')} ELSE text END AS anchor, conf AS line_conf, unnest([0, 1, 2, 3, 4]) AS o, conf - 2 * unnest([0, 1, 2, 3, 4]) AS conf,
     unnest([text, text, text, text, CASE WHEN doc_id % 3 = 0 THEN {plain('text')} ELSE text END]) AS text FROM lines)"""
-REFINED = f"""{CONSENSUS}, {token_pairs('consensus')}, votes AS (
+def refined(source: str, reason: str) -> str:
+    """Repairs of the lines of ``source`` (which ends in ``consensus``): ``reason`` is null where a vote allows none; the fold keeps text, count and reasons."""
+    start = "{'t': anchor, 'o': '', 'n': '', 'k': 0, 'r': ''}"
+    return f"""{source}, {token_pairs('consensus')}, votes AS (
   SELECT doc_id, i, old, new, any_value(old_core) AS old_core, any_value(new_core) AS new_core, count(*) AS votes, min(o * 1000000 + spot) AS first_at
   FROM named WHERE old_core <> '' AND new_core <> '' AND ({plain('old_core')} = {plain('new_core')} OR conf >= 85) GROUP BY doc_id, i, old, new
-), decided AS (
-  SELECT * FROM votes WHERE votes >= 4 AND ((old_core <> new_core AND {folded(plain('old_core'))} = {folded(plain('new_core'))}) OR (lower(old) <> lower(new) AND old_core = new_core))
-), plan AS (SELECT doc_id, i, list({{'t': '', 'o': old, 'n': new, 'k': 0}} ORDER BY votes DESC, first_at) AS steps FROM decided GROUP BY doc_id, i
+), decided AS (SELECT * FROM (SELECT *, {reason} AS reason FROM votes) WHERE reason IS NOT NULL
+), plan AS (SELECT doc_id, i, list({{'t': '', 'o': old, 'n': new, 'k': 0, 'r': reason}} ORDER BY votes DESC, first_at) AS steps FROM decided GROUP BY doc_id, i
 ), refined AS (
-  SELECT doc_id, i, anchor, CASE WHEN steps IS NULL THEN {{'t': anchor, 'o': '', 'n': '', 'k': 0}} ELSE list_reduce(steps, lambda acc, s:
-      CASE WHEN length(acc.t) - length(replace(acc.t, s.o, '')) = length(s.o) THEN {{'t': replace(acc.t, s.o, s.n), 'o': '', 'n': '', 'k': acc.k + 1}} ELSE acc END, {{'t': anchor, 'o': '', 'n': '', 'k': 0}}) END AS done
+  SELECT doc_id, i, anchor, CASE WHEN steps IS NULL THEN {start} ELSE list_reduce(steps, lambda acc, s:
+      CASE WHEN length(acc.t) - length(replace(acc.t, s.o, '')) = length(s.o) THEN {{'t': replace(acc.t, s.o, s.n), 'o': '', 'n': '', 'k': acc.k + 1, 'r': acc.r || CASE WHEN acc.k > 0 THEN ',' ELSE '' END || s.r}} ELSE acc END, {start}) END AS done
   FROM (SELECT DISTINCT doc_id, i, anchor FROM consensus) LEFT JOIN plan USING (doc_id, i))"""
+
+
+BY_VOTES = f"""WHEN votes >= 4 AND old_core <> new_core AND {folded(plain('old_core'))} = {folded(plain('new_core'))} THEN 'valid_diacritic_visual_margin'
+  WHEN votes >= 4 AND lower(old) <> lower(new) AND old_core = new_core THEN 'case_visual_consensus' END"""
+REFINED = refined(CONSENSUS, f"CASE {BY_VOTES}")
+DAMAGED = f"""consensus AS (
+  SELECT doc_id, i, a AS anchor, conf AS line_conf, unnest([0, 1, 2, 3, 4]) AS o, conf - 2 * unnest([0, 1, 2, 3, 4]) AS conf, unnest([text, text, text, a, a]) AS text
+  FROM (SELECT *, CASE WHEN (doc_id + i) % 4 = 0 THEN replace(text, 'e', 'c') ELSE text END AS a FROM lines)
+), list_ AS (SELECT DISTINCT {core('t')} AS word FROM (SELECT unnest({tokens('text')}) AS t FROM lines WHERE doc_id % 2 = 0) WHERE {core('t')} <> '')"""
+BY_LIST = refined(DAMAGED, f"CASE WHEN votes >= 3 AND old_core NOT IN (SELECT word FROM list_) AND new_core IN (SELECT word FROM list_) THEN 'invalid_to_valid_visual_consensus' {BY_VOTES}")
 REVIEW = f"""review AS (
   SELECT s.doc_id, s.i, {rounded('any_value(s.conf)', 2)} AS conf, array_to_string(list(r.text ORDER BY r.conf DESC, r.o)[1:4], '|') AS alts, least(4, count(*)) AS n_alts
   FROM suspects s JOIN reads r USING (doc_id, i) WHERE s.conf < 82 OR len(s.reasons) > 0 GROUP BY s.doc_id, s.i)"""
@@ -327,6 +339,9 @@ SQL = {
       SELECT doc_id, nth AS ord, pg::INT AS page, sd AS side, len(ps)::BIGINT AS n_paragraphs, md5(array_to_string(ps, '|')) AS paragraphs_md5 FROM p""",
     "marker_lines": f"""WITH {MARKED}, s AS (SELECT doc_id, trim(line) AS line, spot, pg, max(pg) OVER w AS p, max(sd) OVER w AS s FROM nths WINDOW w AS (PARTITION BY doc_id, nth))
       SELECT doc_id, p::INT AS page, s AS side, count(*)::BIGINT AS n_lines, md5(string_agg(line, '|' ORDER BY spot)) AS lines_md5 FROM s WHERE pg = '' AND line <> '' AND p <> '' GROUP BY doc_id, p, s""",
+    "refined_with_lexicon": f"WITH {LINES}, {BY_LIST} SELECT {LINE_ID}, done.t AS text, done.k::BIGINT AS n_edits, done.r AS reasons FROM refined",
+    "prompt_batches": f"""{BASE}, {SPELLED}, {SUSPECTS}, {AUDIT}, b AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1) // 6 AS batch_no FROM disposed WHERE disposition = 'queued')
+      SELECT doc_id, batch_no, true AS instructed, count(*) AS items FROM b GROUP BY ALL""",
     "queue_dispositions": f"{BASE}, {SPELLED}, {SUSPECTS}, {AUDIT} SELECT doc_id, i::INT AS row_no, disposition FROM disposed",
     "deep_queue": f"""{BASE}, {SPELLED}, {SUSPECTS}, {AUDIT}, w AS (SELECT *, array_to_string(ls, chr(10) || chr(10)) AS whole FROM disposed WHERE disposition = 'queued'),
       said AS (SELECT r.doc_id, r.i, list({stripped('r.text')} ORDER BY CASE WHEN o < 2 THEN o - 10 ELSE o END) AS c0 FROM reads r GROUP BY r.doc_id, r.i),

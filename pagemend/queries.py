@@ -219,6 +219,13 @@ def refined_lines(spark, d):
     return _refined(spark, d).select("line_id", "text", F.size("edits").cast("long").alias("n_edits"))
 
 
+def refined_with_lexicon(spark, d):
+    """Repairs of misread words that a word list lacks into words that it holds."""
+    held = A.damaged_lines(spark, d)
+    done = refine.refine(held, refine.own_votes(held), A.word_list(spark, d))
+    return done.select("line_id", "text", F.size("edits").cast("long").alias("n_edits"), F.array_join(F.transform("edits", lambda e: e["reason"]), ",").alias("reasons"))
+
+
 def review_items(spark, d):
     held = refine.suspect_reasons(A.held_lines(spark, d), None).withColumn("edits", F.array().cast("array<string>"))
     found = review.review_lines(held)
@@ -373,7 +380,7 @@ def run_summary(spark, d):
 NAMES = (
     "collapsed_sides evidence_union rescued_sides side_reviews asked_lines merged_lines report_json average_confidences tsv_words lexicon_words reply_ops queue_with_replies "
     "pass_health pass_health_no_lexicon best_pass chosen_pass_counts side_health rescue_counts cross_pass_similarity side_scores garbage_scores token_forms words_to_lines words_to_readings anchor_lines crop_boxes side_jobs line_jobs "
-    "aligned_candidates spellings suspect_reasons token_votes shape_votes refined_lines review_items refine_audit repeated_headers cleanup_drops cleanup_reason_counts paragraphs cleaned_text book_texts marker_sides marker_lines "
+    "aligned_candidates spellings suspect_reasons token_votes shape_votes refined_lines refined_with_lexicon review_items refine_audit repeated_headers cleanup_drops cleanup_reason_counts paragraphs cleaned_text book_texts marker_sides marker_lines "
     "queue_dispositions deep_queue queue_context micro_batches prompt_batches gate_required_confidence gate_apply patched_text xhtml_escape xhtml_pages epub_books extract_json fenced_json clean_confidences run_summary"
 ).split()
 
