@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +38,33 @@ def stage(df: DataFrame) -> DataFrame:
     before = spark.conf.get(_CONSTRAINTS)
     spark.conf.set(_CONSTRAINTS, "false")
     try:
-        return df.checkpoint()
+        out = df.checkpoint()
     finally:
         spark.conf.set(_CONSTRAINTS, before)
+    for made in _MADE:
+        made.append(out)
+    return out
+
+
+_MADE: list[list[DataFrame]] = []
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of the shared storage."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """What ``stage`` writes inside goes at the end: for work whose result is written as a table of its own."""
+    made: list[DataFrame] = []
+    _MADE.append(made)
+    try:
+        yield
+    finally:
+        _MADE[:] = [x for x in _MADE if x is not made]
+        for df in made:
+            file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+            if file.isDefined():
+                remove(spark, file.get())
