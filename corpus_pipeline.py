@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemend.llm import bpe, decontaminate, langid, neardup, pii
-from pagemend.llm.common import map_rows, shared_checkpoints, table
+from pagemend.llm.common import map_rows, table
+from pagemend.plans.stages import cleared, remove, shared_checkpoints
 
 #: No stage's model or alignment can be stated in SQL.
 ORACLE_SQL = None
@@ -71,18 +72,16 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("language", language), ("near_dedup", near_dedup), ("decontaminate", decontaminated), ("redact", redact), ("tokenize", tokenize)]
 
 
-def remove(spark: SparkSession, folder: str) -> None:
-    """Deletes a folder of the shared storage."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what lies between them is written to the shared checkpoint folder, and goes when its successor is written."""
+    """All stages over documents; what lies between them is written to the shared checkpoint folder, and goes when its successor is written.
+
+    A stage's own checkpoints go with its end.
+    """
     folder = f"{shared_checkpoints(spark)}/pipeline-{uuid.uuid4().hex}"
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        with cleared(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
         if before:
             remove(spark, before)
