@@ -11,7 +11,6 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..adapters import spread
-from ..plans.stages import shared_checkpoints  # noqa: F401  (for the pipeline)
 from ..plans.stages import stage as settle  # noqa: F401  (for the operators)
 
 #: Rows handled at once inside a Python worker; bounds what a batch of very long texts occupies.

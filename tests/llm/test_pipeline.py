@@ -1,4 +1,5 @@
 import base64
+from pathlib import Path
 
 import public_tokenizers
 import tiktoken
@@ -19,7 +20,11 @@ def tables(prose, put):
 
 def test_run_equals_the_operators_one_by_one(spark, put, prose):
     d, docs = tables(prose, put)
+    held = lambda: {str(p) for p in Path(CP.shared_checkpoints(spark).removeprefix("file:")).iterdir()}
+    before = held()
     out = {r.doc_id: r for r in CP.run(spark, d).collect()}
+    left = [Path(p) for p in held() - before]
+    assert [p.name.split("-")[0] for p in left] == ["pipeline"] and [p.name for p in left[0].iterdir()] == ["redact"]  # only what the last stage reads
     assert set(out) == {*range(30), 103}
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
     enc = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
