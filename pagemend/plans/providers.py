@@ -226,6 +226,3 @@ def _rows(batches) -> Iterator:
     """Rows of pandas batches, one at a time."""
     for frame in batches:
         yield from frame.itertuples(index=False)
-
-
-PASSES = {"whole": WHOLE_PASSES, "fallback": FALLBACK_PASSES, "line": LINE_PASSES}

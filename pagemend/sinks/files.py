@@ -31,7 +31,7 @@ def as_json(df: DataFrame, whole: bool = False) -> str:
     style = {"pretty": "true", "ignoreNullFields": "false"}
     if whole:
         return df.select(F.to_json(F.struct("*"), style)).first()[0]
-    return df.agg(F.to_json(F.collect_list(F.struct("*")), style)).first()[0] or "[]"
+    return df.agg(F.to_json(F.collect_list(F.struct("*")), style)).first()[0]
 
 
 def write_rows(df: DataFrame, path: str) -> None:

@@ -14,7 +14,7 @@ from pagemend.plans.deep import run_deep
 from pagemend.plans.local import run_local
 from pagemend.plans.providers import EngineProvider, TableProvider, ask, find_program, installed_languages, png
 from pagemend.schemas import AUDIT, EVIDENCE
-from pagemend.sinks import epub
+from pagemend.sinks import epub, files
 from pagemend.sinks.logs import RunLog
 from pagemend.sources import images, json_files, lexicon, marker_text, pdf
 from pagemend.streaming import queue_stream
@@ -251,6 +251,22 @@ def test_lexicon(spark, tmp_path):
     assert lexicon.read_lexicon(spark, str(tmp_path / "none.txt")).count() == 0
 
 
+def test_files_of_rows_and_single_files(spark, tmp_path):
+    rows = spark.createDataFrame([("é", [1, 2], None), ("b", [], "x\ny")], "id string, held array<int>, said string")
+    files.write_rows(rows, str(tmp_path / "rows"))
+    back = json_files.read_json(spark, str(tmp_path / "rows" / "*.json"), "id string, held array<int>, said string")
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
+    assert sorted(json.loads(files.as_json(rows)), key=str) == sorted([{"id": "é", "held": [1, 2], "said": None}, {"id": "b", "held": [], "said": "x\ny"}], key=str)
+    assert json.loads(files.as_json(rows.limit(0))) == [] and json.loads(files.as_json(rows.where("id = 'b'"), whole=True))["said"] == "x\ny"
+    place = str(tmp_path / "new" / "one.txt")
+    for text in (TEXT, "shorter é\n"):
+        files.put(spark, place, text)
+        assert files.get(spark, place) == text
+    files.put(spark, str(tmp_path / "book.txt"), TEXT)
+    read = marker_text.read_texts(spark, str(tmp_path / "book.txt")).collect()
+    assert len(read) == 1 and read[0].text.rstrip("\n") == TEXT.rstrip("\n")
+
+
 def test_images(spark):
     page = np.full((200, 400, 3), 255, np.uint8)
     page[50:60, 30:100] = 0
