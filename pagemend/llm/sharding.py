@@ -11,8 +11,6 @@ Null texts count no bytes besides the fixed part and have crc 0; an empty table
 
 from __future__ import annotations
 
-from bisect import bisect_right
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,11 +87,6 @@ def shard(df: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col:
     return dealt.select("doc_id", "size", "text_crc32", "shard", (F.col("nth") - begins[F.col("shard")]).cast("long").alias("slot"))
 
 
-def shard_of(at: int, size: int, cuts: list[int]) -> int:
-    """The same rule in plain Python, for tests."""
-    return bisect_right(cuts, at + size // 2)
-
-
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards under the law ``bytes``."""
     dealt = shard(table(spark, sf_dir, "documents"))
