@@ -9,7 +9,7 @@ threshold must stay in, similarity ``2 * common / (words a + words b)``.  Pairs
 joined by links are a class, named by its smallest id.
 
 ``K``, ``PICKS`` and ``SKETCHES`` are set for the threshold: at an alignment of 0.8 by words replaced all over a text the labelled
-word pairs agree to 0.47, and such a pair meets in a sample with probability ``1 - (1 - 0.47 ** 3) ** 40``, 0.98 and more.
+word pairs agree to 0.47, and such a pair meets in a sample with probability ``1 - (1 - 0.47 ** 3) ** 48``, 0.99 and more.
 
 Equal texts are collapsed first; a node is a distinct text.  In a few of the samples each text is compared with the leader of its
 buckets, and then, in all buckets that hold more than one class, with the first and the last member: so classes of copies come
@@ -33,7 +33,9 @@ from .common import FOLD, fold_words, map_rows, settle, small, table
 #: Words of a k-mer.
 K = 2
 #: Hash orders, and labelled k-mers that each samples.
-SKETCHES, PICKS = 40, 3
+SKETCHES, PICKS = 48, 3
+#: Texts of fewer words are sampled in more orders: few k-mers agree by fits and starts.
+SHORT, SHORT_SKETCHES = 40, 128
 #: Members of a bucket whose pairs are written out as rows; larger buckets are compared in blocks.
 AT_ONCE = 32
 #: Documents of a block, and bytes of their texts, about.
@@ -103,10 +105,12 @@ def seeds_of(lo: int, hi: int) -> np.ndarray:
 
 
 def sketch(text: str | None, k: int = K, sketches: int = SKETCHES, picks: int = PICKS) -> list[int]:
-    """One signed 64-bit signature for each hash order; empty without words."""
-    kmers = kmer_hashes(word_hashes(text), k)
+    """One signed 64-bit signature for each hash order; empty without words.  Short texts have more orders, the first are those of all."""
+    words = word_hashes(text)
+    kmers = kmer_hashes(words, k)
     if not len(kmers):
         return []
+    sketches = max(sketches, SHORT_SKETCHES) if len(words) < SHORT else sketches
     kmers = labelled(kmers)
     out = np.empty(sketches, np.uint64)
     at_once = max(1, (1 << 18) // len(kmers))  # hash orders computed together
@@ -173,14 +177,15 @@ def similar(a: str, b: str, at_least: float = SIMILARITY) -> bool:
     return 2 * common_length(x, y, band) >= at_least * total
 
 
-def sketches_of(docs: DataFrame, id_col: str, text_col: str, k: int, sketches: int, picks: int) -> DataFrame:
-    """(id, same: hash of the text, null for null text, n_words, size in bytes, sigs)."""
-    rows = docs.select(F.col(id_col).alias("id"), F.when(F.col(text_col).isNotNull(), F.sha2(F.col(text_col).cast("binary"), 256)).alias("same"), F.octet_length(text_col).alias("size"), F.col(text_col).alias("text"))
+def sketches_of(docs: DataFrame, text_col: str, k: int, sketches: int, picks: int) -> DataFrame:
+    """(same: hash of the text, n_words, size in bytes, sigs) of every text that is not null."""
+    text = F.col(text_col)
+    rows = docs.where(text.isNotNull()).select(F.sha2(text.cast("binary"), 256).alias("same"), F.octet_length(text).alias("size"), text.alias("text"))
 
     def setup():
-        return lambda key, same, size, text: (key, same, len(fold_words(text)), size, sketch(text, k, sketches, picks))
+        return lambda same, size, text: (same, len(fold_words(text)), size, sketch(text, k, sketches, picks))
 
-    return map_rows(rows, ["id", "same", "size", "text"], f"id {dict(rows.dtypes)['id']}, same string, n_words int, size int, sigs array<long>", setup)
+    return map_rows(rows, ["same", "size", "text"], "same string, n_words int, size int, sigs array<long>", setup)
 
 
 def reaches(words_a: Column, words_b: Column, at_least: float) -> Column:
@@ -287,7 +292,7 @@ def possible(hashes: list[np.ndarray], at_least: float) -> np.ndarray:
 def links_of_blocks(ids: list, labels: list, blocks: list, sigs: list, texts: list, band: int, at_least: float) -> list[tuple[int, int]]:
     """Links between two blocks of a bucket, or within one, enough to join all that are alike; pairs of an earlier bucket are left to that."""
     open_pairs = np.triu(possible([word_hashes(t) for t in texts], at_least), 1)
-    label, block, sigs = np.array(labels), np.array(blocks), np.array(sigs)
+    label, block, sigs = np.array(labels), np.array(blocks), np.array([s[:band] for s in sigs])  # short texts have more
     open_pairs &= label[:, None] != label
     if len(set(blocks)) > 1:
         open_pairs &= block[:, None] != block
@@ -336,9 +341,8 @@ def near_duplicates(
     ``class_id`` and ``class_same`` are those of the class's first row, by id and then by ``same``, and so tell classes apart even
     where one id has several texts.
     """
-    rows = settle(sketches_of(docs, id_col, text_col, k, sketches, picks))
     # a node is a distinct text; its number is fixed by being written
-    nodes = settle(rows.where("same is not null").groupBy("same").agg(F.first("n_words").alias("n_words"), F.first("size").alias("size"), F.first("sigs").alias("sigs")).withColumn("node", F.monotonically_increasing_id()))
+    nodes = settle(sketches_of(docs, text_col, k, sketches, picks).groupBy("same").agg(F.first("n_words").alias("n_words"), F.first("size").alias("size"), F.first("sigs").alias("sigs")).withColumn("node", F.monotonically_increasing_id()))
     every = nodes.select("node", "n_words", "size", F.posexplode("sigs").alias("band", "sig"))
     crowded = every.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1")
     members = settle(every.join(crowded.select("sig"), "sig", "left_semi"))  # whoever shares a bucket with another text
@@ -370,7 +374,7 @@ def near_duplicates(
         links = links.unionByName(compared_in_blocks(rest, buckets.where(large), nodes, texts, at_least, block))
     label = joined(label, links)
     # rows by the class of their text
-    keyed = rows.groupBy("id", "same").agg(F.count("*").alias("copies"))
+    keyed = docs.select(F.col(id_col).alias("id"), F.sha2(F.col(text_col).cast("binary"), 256).alias("same")).groupBy("id", "same").agg(F.count("*").alias("copies"))
     told = relabel(keyed.where("same is not null").join(nodes.select("same", F.col("node").alias("label")), "same"), "label", label)
     named = told.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "same")).alias("head"))
     out = told.join(named, "label").select("id", "same", "copies", F.col("head.id").alias("class_id"), F.col("head.same").alias("class_same"))
