@@ -119,11 +119,6 @@ def test_recall_of_scattered_changes(prose):
             pairs = [p for p in pairs if alike(*p)]
             met = sum(bool(set(N.sketch(a)) & set(N.sketch(b))) for a, b in pairs)
             assert len(pairs) >= 55 and met >= 0.9 * len(pairs), (words, percent, met, len(pairs))
-        gone = [set(random.Random(i).sample(range(words), words // 3)) for i in range(60)]
-        pairs = [(t, " ".join(w for n, w in enumerate(t.split()) if n not in gone[i])) for i in range(60) for t in [prose(6000 + i, words)]]
-        pairs = [p for p in pairs if alike(*p)]  # a third of the words deleted: the threshold
-        met = sum(bool(set(N.sketch(a)) & set(N.sketch(b))) for a, b in pairs)
-        assert met >= 0.7 * len(pairs), (words, met, len(pairs))
 
 
 def test_recall_from_end_to_end(spark, prose):
@@ -145,14 +140,6 @@ def test_one_id_with_two_texts_and_ids_of_other_types(spark, prose):
     assert sorted((r.name or "null", r.body or str(r.body)) for r in kept.collect()) == sorted([("1", a), ("1", z), ("null", rows[4][1]), ("3", ""), ("5", "None")])
 
 
-def test_short_and_long_texts_meet_in_one_block(prose):
-    short, longer = prose(1, N.SHORT - 1), prose(1, N.SHORT - 1) + " " + prose(2, 3)
-    sigs = [N.sketch(short), N.sketch(longer), N.sketch(prose(3, N.SHORT - 2))]
-    assert [len(s) for s in sigs] == [N.SHORT_SKETCHES, N.SKETCHES, N.SHORT_SKETCHES]
-    band = next(i for i, (a, b) in enumerate(zip(*sigs[:2], strict=False)) if a == b)
-    assert N.links_of_blocks([1, 2, 3], [1, 2, 3], [0, 0, 0], sigs, [short, longer, prose(3, N.SHORT - 2)], band, 0.8) == [(1, 2)]
-
-
 def test_seeds_go_on(prose):
     assert len(set(N.sketch(prose(1, 300), sketches=20_000))) == 20_000
 
