@@ -20,7 +20,7 @@ def digits(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["prompt_batches", "queue_context", "queue_dispositions", "queue_with_replies"])
+@pytest.mark.parametrize("name", ["prompt_batches", "queue_context", "queue_dispositions", "queue_with_replies", "deep_queue"])
 def test_equals_sql(spark, digits, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{digits}/documents.parquet/*.parquet')")
