@@ -12,6 +12,7 @@ from .functions import numbers
 from .functions import text as T
 from .operators import align, cleanup, gate, health, lines, patch, queue, refine, review
 from .plans.providers import pass_table
+from .plans.stages import stage
 from .sinks import epub
 from .sources import json_files, lexicon, marker_text, tsv
 
@@ -39,8 +40,8 @@ def length_ratio(left, right):
     return F.least(F.length(left), F.length(right)) / F.greatest(F.length(left), F.length(right))
 
 
-def _reports(spark, d, evidence, similarity=length_ratio):
-    sides = A.table(spark, d, "documents").select("doc_id")
+def _reports(spark, d, evidence, similarity=length_ratio, sides=None):
+    sides = A.table(spark, d, "documents").select("doc_id") if sides is None else sides
     return health.side_health(health.pass_health(evidence, A.lexicon(spark, d), DOC), health.cross_similarity(evidence, DOC, similarity), sides, DOC)
 
 
@@ -72,41 +73,46 @@ def collapsed_sides(spark, d):
     return _noisy(spark, d).where("catastrophic").select("doc_id", "best_source", F.array_join("reasons", ",").alias("reasons"))
 
 
-def _union(spark, d):
+def _collapsed(spark, d):
+    """The ids of collapsed sides, judged once for all that is asked of them."""
+    return stage(_noisy(spark, d).where("catastrophic").select("doc_id"))
+
+
+def _union(spark, d, collapsed):
     """Evidence of all sides with second readings of the collapsed ones."""
     again = A.evidence(spark, d).where("pass_order >= 3").withColumns({"source": F.concat(F.lit("fallback_"), "source"), "pass_order": F.col("pass_order") + 5})
-    return A.noisy_evidence(spark, d).unionByName(again.join(collapsed_sides(spark, d).select("doc_id"), "doc_id", "left_semi"))
+    return A.noisy_evidence(spark, d).unionByName(again.join(collapsed, "doc_id", "left_semi"))
 
 
 def evidence_union(spark, d):
-    return _union(spark, d).groupBy("doc_id", "source").agg(F.count("*").alias("lines"), F.sum("conf").alias("conf_sum"))
+    return _union(spark, d, collapsed_sides(spark, d).select("doc_id")).groupBy("doc_id", "source").agg(F.count("*").alias("lines"), F.sum("conf").alias("conf_sum"))
 
 
 def rescued_sides(spark, d):
-    """Every side that was collapsed, and whether its second readings rescued it."""
-    return health.rescues(_noisy(spark, d), _reports(spark, d, _union(spark, d)), DOC).where("fallback_used").select("doc_id", "rescued", "catastrophic")
+    """Every side that was collapsed, and whether its second readings rescued it; only these sides are judged again."""
+    held = _collapsed(spark, d)
+    after = _reports(spark, d, _union(spark, d, held).join(held, "doc_id", "left_semi"), sides=held)
+    return health.rescues(held.withColumn("catastrophic", F.lit(True)), after, DOC).select("doc_id", "rescued", "catastrophic")
 
 
 def side_reviews(spark, d):
     return review.review_sides(_noisy(spark, d)).select("doc_id", "action", "reason", F.col("best_source").alias("selected_pass"))
 
 
-def _asked(spark, d):
+def _asked(spark, d, collapsed):
     """Suspect lines of sides that are not collapsed."""
     held = refine.suspect_reasons(A.consensus_lines(spark, d), None).where("size(reasons) > 0")
-    return held.join(collapsed_sides(spark, d).select("doc_id"), "doc_id", "left_anti")
+    return held.join(collapsed, "doc_id", "left_anti")
 
 
 def asked_lines(spark, d):
-    return _asked(spark, d).groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum("row_no").alias("rows_sum"))
+    return _asked(spark, d, collapsed_sides(spark, d).select("doc_id")).groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum("row_no").alias("rows_sum"))
 
 
 def merged_lines(spark, d):
-    """Asked lines repaired by their readings, put back among the others."""
-    asked = _asked(spark, d).select("doc_id", "line_id", "text", "whole_candidates")
-    repaired = refine.refine(asked, refine.own_votes(asked), None).select("doc_id", "line_id", "text", F.size("edits").cast("long").alias("n_edits"))
-    still = A.consensus_lines(spark, d).join(asked.select("line_id"), "line_id", "left_anti").select("doc_id", "line_id", "text", F.lit(0).cast("long").alias("n_edits"))
-    return repaired.unionByName(still)
+    """Asked lines repaired by their readings, among the others, which have no votes and so stay as they are."""
+    asked = _asked(spark, d, _collapsed(spark, d))
+    return refine.refine(A.consensus_lines(spark, d), refine.own_votes(asked), None).select("doc_id", "line_id", "text", F.size("edits").cast("long").alias("n_edits"))
 
 
 def report_json(spark, d):
