@@ -28,6 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.stages import released
 from .common import FOLD, fold_words, map_rows, settle, small, table
 
 #: Words of a k-mer.
@@ -212,6 +213,7 @@ def classes_of(links: DataFrame) -> DataFrame:
         moved = edges.join(up.select(F.col("node").alias("a"), F.col("top").alias("x")), "a").join(up.select(F.col("node").alias("b"), F.col("top").alias("y")), "b")
         edges = settle(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         rounds += 1
+        released(edges.sparkSession)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")) if labels is None else labels
 
 
@@ -345,6 +347,7 @@ def near_duplicates(
     involved = small(settle(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "same")))
     texts = docs.select(F.sha2(F.col(text_col).cast("binary"), 256).alias("same"), F.col(text_col).alias("text")).join(involved, "same")
     texts = settle(texts.dropDuplicates(["node"]).select("node", "text"))
+    released(docs.sparkSession)
 
     def labelled_by(labels: DataFrame) -> DataFrame:
         return relabel(members.withColumn("label", F.col("node")), "label", labels)
@@ -356,9 +359,11 @@ def near_duplicates(
     label = classes_of(links)
     # in all bands, what is not yet of one class with the bucket's first or last member
     rest = settle(labelled_by(label))
+    released(docs.sparkSession)
     strange = rest.join(mixed(rest), "sig").where("label <> lead_label and label <> last_label or node = last and label <> lead_label")
     pairs = strange.select(F.explode(F.array(F.struct(F.col("lead").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("last").alias("b")))).alias("p")).select("p.*").where("a <> b").distinct()
     tried = settle(verified(pairs, texts, at_least))
+    released(docs.sparkSession)
     label = joined(label, tried.where("linked").select("a", "b"))
     # whatever two classes still meet in a bucket, every pair of theirs
     rest = labelled_by(label)
@@ -369,6 +374,7 @@ def near_duplicates(
     if not buckets.where(large).isEmpty():
         links = links.unionByName(compared_in_blocks(rest, buckets.where(large), nodes, texts, at_least, block))
     label = joined(label, links)
+    released(docs.sparkSession)
     # rows by the class of their text
     keyed = docs.select(F.col(id_col).alias("id"), F.sha2(F.col(text_col).cast("binary"), 256).alias("same")).groupBy("id", "same").agg(F.count("*").alias("copies"))
     told = relabel(keyed.where("same is not null").join(nodes.select("same", F.col("node").alias("label")), "same"), "label", label)
