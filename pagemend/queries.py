@@ -149,7 +149,7 @@ def queue_with_replies(spark, d):
     """The queue with what was answered about its lines; lines without an answer stay."""
     items = queue.queue(_admitted(spark, d), A.page_arrays(spark, d), DOC).select("doc_id", "row_no", F.concat_ws("-", F.col("doc_id").cast("string"), F.col("row_no").cast("string")).alias("item_id"))
     ops = json_files.reply_items(json_files.extract_json(A.replies(spark, d).where("doc_id % 3 <> 0"), "reply"))
-    return items.join(ops, "item_id", "left").select("doc_id", "row_no", F.coalesce(F.size("ops"), F.lit(0)).cast("long").alias("n_ops"))
+    return items.join(ops, "item_id", "left").select("doc_id", "row_no", F.size(F.coalesce("ops", F.array())).cast("long").alias("n_ops"))
 
 
 def garbage_scores(spark, d):

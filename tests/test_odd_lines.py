@@ -27,13 +27,25 @@ def wanted(d, name, columns):
     return con.execute(f"SELECT {', '.join(columns)} FROM ({queries.oracle_sql()[name]})").fetchall()
 
 
-@pytest.mark.parametrize("name", ["queue_dispositions"])
+@pytest.mark.parametrize("name", ["queue_dispositions", "queue_with_replies"])
 def test_equals_sql(spark, odd, name):
     got = queries.queries()[name](spark, odd)
     want = wanted(odd, name, got.columns)
     assert sorted(map(tuple, got.collect())) == sorted(want) and want
 
 
+def test_lines_without_an_answer(spark, odd):
+    """The size of no array is -1 where the session is not ANSI."""
+    was = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        got = queries.queries()["queue_with_replies"](spark, odd)
+        want = wanted(odd, "queue_with_replies", got.columns)
+        assert sorted(map(tuple, got.collect())) == sorted(want) and {0, 2} == {n for *_, n in want}
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", was)
+
+
 def test_accents_of_all_scripts(spark):
     texts = [*ODD, "ǅ ﬃ ḗ ᾧ Й ガ क़ \ufb2a"]
     plain = ["".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn") for t in texts]
